@@ -35,7 +35,8 @@ MARGIN = 1.0
 MIN_Z = 3.0
 MIN_SCORE = 2.0
 MIN_CONTEXTS = 3
-PREFIX = 5
+#: Unknown tokens fall back to their prefixes of these lengths, the longest first.
+PREFIXES = (6, 5, 4)
 #: Segments with more than this many expected by chance in a clean text are not passages.
 MAX_E_VALUE = 0.5
 
@@ -51,11 +52,17 @@ class Model:
     tail_lambda: float = 1.0
 
     def score(self, word: str) -> float:
-        s = self.tokens.get(word)
-        if s is None and len(word) > PREFIX:
-            s = self.prefixes.get(word[:PREFIX])
+        s = self.entry(word)
         return self.background if s is None else s
 
+    def entry(self, word: str) -> float | None:
+        s = self.tokens.get(word)
+        if s is None and len(word) > PREFIXES[-1]:
+            for n in PREFIXES:
+                if len(word) > n and (s := self.prefixes.get(word[:n])) is not None:
+                    return s
+        return s
+
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, by one left-to-right scan."""
@@ -80,12 +87,8 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 def sparse_segments(model: Model, words: list[str]) -> list[tuple[int, int, float]]:
     """The same segments; runs of background words enter the scan as one negative step."""
-    tokens, prefixes, bg = model.tokens, model.prefixes, model.background
-    at = [
-        (i, s)
-        for i, w in enumerate(words)
-        if (s := tokens.get(w)) is not None or (len(w) > PREFIX and (s := prefixes.get(w[:PREFIX])) is not None)
-    ]
+    bg, scored = model.background, {w: s for w in set(words) if (s := model.entry(w)) is not None}
+    at = [(i, scored[w]) for i, w in enumerate(words) if w in scored] if scored else []
     if not at:
         return []
     steps, place, last = [], [], -1
@@ -157,10 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
         )
         return {r[0]: float(r[1]) for r in rows}
 
-    stems = both.where(F.length("word") > PREFIX).groupBy(F.substring("word", 1, PREFIX).alias("stem"))
-    model = Model(
-        entries(both, "word"), entries(stems.agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "stem")
-    )
+    model = Model(entries(both, "word"))
+    for n in PREFIXES:
+        stems = both.where(F.length("word") > n).groupBy(F.substring("word", 1, n).alias("stem"))
+        model.prefixes |= entries(stems.agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "stem")
     return calibrated(model, texts)
 
 
@@ -215,7 +218,7 @@ def detect(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
     """doc_id, score and significant passages of every text, and the columns of ``keep``.
 
     Null and empty texts score 0 and hold no passage. Rows are judged one by one: repeated rows
-    and null ids are ordinary. The model (at most ``2 * MAX_ENTRIES`` entries) travels with the tasks.
+    and null ids are ordinary. The model (at most ``4 * MAX_ENTRIES`` entries) travels with the tasks.
     """
     source = common.spread(docs.select(F.col("doc_id").cast("long"), "text", *keep))
     extra = [source.schema[c] for c in keep]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontam, langid, packing, toxicity
+from termforge.llm import decontam, jaccard, langid, packing, toxicity
 from termforge.llm.common import fold_remainder, table
 
 
@@ -19,6 +19,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.detect(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -62,13 +66,35 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+l AS (
+  SELECT doc_id, n, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS l
+  FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w)),
+s AS (SELECT DISTINCT doc_id, array_to_string(l, ' ') AS sh FROM l WHERE len(l) = 5 OR (n < 5 AND i = 1)),
+sizes AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * c >= 75 * (a.k + b.k - c)),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  SELECT links.v, reach.r FROM reach JOIN links ON links.u = reach.doc_id)
+SELECT w.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_shingles, coalesce(c, w.doc_id) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) USING (doc_id)
+"""
+
 QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }

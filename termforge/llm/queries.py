@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontam, jaccard, langid, packing, toxicity
+from termforge.llm import decontam, jaccard, langid, packing, quality, toxicity
 from termforge.llm.common import fold_remainder, table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.rate(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        (fold_remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -87,6 +98,7 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM
 """
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import decontam, jaccard, langid, packing, quality, toxicity
+from termforge.llm import coverdedup, decontam, jaccard, langid, packing, quality, toxicity
 from termforge.llm.common import fold_remainder, table
 
 
@@ -30,6 +30,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group_documents(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,23 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT links.v, reach.r FROM reach JOIN links ON links.u = reach.vec_id)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, e.vec_id = c AS kept
+FROM embeddings e LEFT JOIN (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)
+JOIN (SELECT vec_id, min(r) AS c FROM reach GROUP BY 1) USING (vec_id)
+"""
+
 OP8_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -101,6 +122,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
+    "op6_cover_tree": op6_cover_tree,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_pack_sequences": op10_pack_sequences,
@@ -108,5 +130,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
+    "op6_cover_tree": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
 }

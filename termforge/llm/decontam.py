@@ -43,20 +43,24 @@ def fingerprints(df: DataFrame, gram: int, run: int) -> DataFrame:
     Each step is a projection of its own and the explode an outer one: a filter that the optimizer
     infers for an inner explode would be pushed below and compute the arrays again for every element.
     """
+    # elements are read by position: slices inside a lambda would copy the whole array every time
     keep = [c for c in df.columns if c != "words"]
     grams = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).select(
         *keep,
         F.transform(
             _starts(F.size("h"), gram),
-            lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, gram)).alias("fp"), i.alias("pos")),
+            lambda i: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(gram))).alias("fp"), i.alias("pos")),
         ).alias("g"),
     )
     if run > 1:
         grams = grams.select(
             *keep,
-            F.array_distinct(
-                F.transform(_starts(F.size("g"), run), lambda i: F.array_min(F.slice("g", i + 1, run)))
-            ).alias("g"),
+            F.transform(
+                _starts(F.size("g"), run), lambda i: F.least(*(F.get("g", i + j) for j in range(run)))
+            ).alias("m"),
+        ).select(
+            *keep,  # a minimum stays for consecutive windows
+            F.filter("m", lambda x, i: (i == 0) | (x["pos"] != F.get("m", i - 1)["pos"])).alias("g"),
         )
     return grams.select(*keep, F.explode_outer("g").alias("g")).select(*keep, "g.fp", "g.pos")
 
@@ -141,7 +145,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
                 F.when(
                     F.size("eq") >= F.col("window"), F.sequence(F.lit(0), F.size("eq") - F.col("window"))
                 ).otherwise(F.array().cast("array<int>")),
-                lambda i: F.forall(F.slice("eq", i + 1, F.col("window")), lambda x: x),
+                lambda i: F.forall(F.sequence(F.lit(0), F.col("window") - 1), lambda j: F.get("eq", i + j)),
             ).alias("starts"),
         )
     )

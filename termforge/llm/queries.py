@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import coverdedup, decontam, jaccard, langid, packing, quality, toxicity
+from termforge.llm import coverdedup, decontam, htmlmain, jaccard, langid, packing, quality, toxicity
 from termforge.llm.common import fold_remainder, table
 
 
@@ -34,6 +34,10 @@ def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group_documents(table(spark, sf_dir, "documents"))
 
@@ -123,6 +127,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_cover_tree": op6_cover_tree,
+    "op7_main_text": op7_main_text,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_pack_sequences": op10_pack_sequences,

@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the language first
     in alphabetical order. Rows are judged one by one: repeated rows and null ids are ordinary.
     """
-    source = common.spread(docs.select(F.col("doc_id").cast("long"), "text", *keep))
+    source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
     schema = T.StructType([*RESULT.fields, *(source.schema[c] for c in keep)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

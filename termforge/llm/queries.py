@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import coverdedup, decontam, htmlmain, jaccard, langid, packing, quality, toxicity
+from termforge.llm import coverdedup, decontam, htmlmain, jaccard, langid, licences, packing, quality, toxicity, urls
 from termforge.llm.common import fold_remainder, table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.rate(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -20,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -58,6 +66,36 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP3_SQL = f"""
+WITH t(licence, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(t)})" for a, t in licences.TEMPLATES)}),
+u AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)),
+    list_filter(regexp_split_to_array(text, '\\n[ \\t]*\\n'), lambda p: contains(trim(p, chr(10)), chr(10))))) AS unit
+  FROM documents),
+uw AS (
+  SELECT doc_id, unit, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w FROM u),
+up AS (SELECT doc_id, unit, x || ' ' || lead(x) OVER (PARTITION BY doc_id, unit ORDER BY i) AS p
+  FROM (SELECT doc_id, unit, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM uw)),
+ub AS (SELECT doc_id, unit, list(DISTINCT p) AS b FROM up WHERE p IS NOT NULL GROUP BY 1, 2),
+tw AS (SELECT licence, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w FROM t),
+tb AS (SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
+m AS (
+  SELECT doc_id, licence, list_sort(ub.b) AS unit, 2.0 * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) AS dice
+  FROM ub JOIN tb ON len(ub.b) > 0 AND 2 * least(len(ub.b), len(tb.b)) >= 0.75 * (len(ub.b) + len(tb.b)) - 1e-6),
+k AS (SELECT * FROM m WHERE dice >= 0.75),
+g AS (
+  SELECT doc_id, count(DISTINCT unit) AS n_units, max(dice) AS score FROM k GROUP BY 1),
+l AS (SELECT k.doc_id, min(licence) AS licence FROM k JOIN g ON k.doc_id = g.doc_id AND dice = score GROUP BY 1),
+s AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM (SELECT DISTINCT doc_id, licence FROM k) GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, licence, CAST(coalesce(score, 0) AS DOUBLE) AS score,
+  coalesce(licences, '') AS licences
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
 OP5_SQL = """
 WITH w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -123,7 +161,9 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM
 """
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
+    "op3_licence_scan": op3_licence_scan,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_cover_tree": op6_cover_tree,
@@ -134,6 +174,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_licence_scan": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
     "op6_cover_tree": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,

@@ -220,7 +220,7 @@ def detect(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
     Null and empty texts score 0 and hold no passage. Rows are judged one by one: repeated rows
     and null ids are ordinary. The model (at most ``4 * MAX_ENTRIES`` entries) travels with the tasks.
     """
-    source = common.spread(docs.select(F.col("doc_id").cast("long"), "text", *keep))
+    source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
     extra = [source.schema[c] for c in keep]
     schema = T.StructType([*RESULT.fields, *extra])
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,4 +1,517 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the test tables, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termforge.functions import analysis, porter
+from termforge.operators import boolean, expand, feedback, index, langmodel, rank
+from termforge.sources.readers import spread
+from termforge.sources.sinks import prediction_lines
+
+RANKED_QUERIES = [
+    (1, "the of and thing the"),
+    (2, "que la ciónzz de AND los"),
+    (3, "und der in in the zzzunknown license"),
+    (4, "apache License version mit-style 2.0"),
+    (5, "zzznothing qqqabsent"),
+]
+BOOLEAN_QUERIES = [
+    (1, "the AND of"),
+    (2, "the OR und"),
+    (3, "NOT the"),
+    (4, "the AND NOT of"),
+    (5, "(the OR que) AND NOT (in OR la)"),
+    (6, "zzznothing OR license"),
+    (7, "the OR of AND und"),
+    (8, "NOT NOT mit"),
+    (9, "NOT the AND NOT que"),
+    (10, "zzznothing AND the"),
+    (11, "well-known OR the"),
+    (12, ""),
+]
+DERIVATIONS = [("license", "licensed"), ("thing", "things"), ("version", "versions"), ("version", "versioned")]
+STOP_WORDS = ["the", "of", "in", "la", "que", "der", "und"]
+COURT_WEIGHTS = [("src0", 1.4), ("src1", 1.4), ("src2", 1.2), ("src3", 1.2), ("src4", 1.2)]
+TITLE = "substring_index(text, chr(10), 1)"
+K = 10
+
+_held: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """An index that several queries of a session share; it is computed anew if its blocks are lost."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _held:
+        _held[key] = make().persist()
+    return _held[key]
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def n_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*").alias("n"))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as zoned cases: the first line is the title, the date follows from the id, the source is the court."""
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return rows.select(
+        "doc_id",
+        F.col("text").alias("content"),
+        F.expr(TITLE).alias("title"),
+        F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int")), "yyyy-MM-dd").alias("date_posted"),
+        F.col("source").alias("court"),
+    )
+
+
+def queries_of(spark: SparkSession, rows=None) -> DataFrame:
+    return spark.createDataFrame(rows or RANKED_QUERIES, "query_id long, query string")
+
+
+def bool_postings(s: SparkSession, d: str) -> DataFrame:
+    return _kept(s, d, "bool", lambda: index.boolean_index(docs(s, d)))
+
+
+def tf_postings(s: SparkSession, d: str) -> DataFrame:
+    return _kept(s, d, "tf", lambda: index.tf_index(docs(s, d)))
+
+
+def zoned_postings(s: SparkSession, d: str) -> DataFrame:
+    return _kept(s, d, "zoned", lambda: index.zoned_index(cases(s, d)))
+
+
+def zone_tf(s: SparkSession, d: str) -> DataFrame:
+    return zoned_postings(s, d).select(
+        "term",
+        "doc_id",
+        (F.col("tf_content") + F.col("tf_title") + F.col("tf_date") + F.col("tf_court")).cast("long").alias("tf"),
+        "tf_title",
+    )
+
+
+def stats(s: SparkSession, d: str) -> DataFrame:
+    return _kept(s, d, "stats", lambda: index.doc_stats(zone_tf(s, d)))
+
+
+def ltc(s: SparkSession, d: str) -> DataFrame:
+    terms = rank.query_terms(queries_of(s), keep=None)
+    return rank.query_weights(terms, index.dictionary(tf_postings(s, d)), n_docs(s, d), "t")
+
+
+def lpn(s: SparkSession, d: str) -> DataFrame:
+    terms = rank.query_terms(queries_of(s), operator_words=("AND",))
+    return rank.query_weights(terms, index.dictionary(zone_tf(s, d)), n_docs(s, d), "p")
+
+
+def lt_zoned(s: SparkSession, d: str) -> DataFrame:
+    terms = rank.query_terms(queries_of(s), operator_words=("AND",))
+    return rank.query_weights(terms, index.dictionary(zone_tf(s, d)), n_docs(s, d), "t")
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- SQL fragments -------------------------------------------------------------------------------
+
+_PATTERN = analysis.TOKEN.replace("'", "''")
+_RAW = f"raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_PATTERN}')) AS t FROM documents)"
+_ALNUM = f"{_RAW}, tok AS (SELECT doc_id, lower(t) AS term FROM raw WHERE regexp_matches(t, '{analysis.ALNUM}'))"
+_ALL = f"{_RAW}, tok AS (SELECT doc_id, lower(t) AS term FROM raw)"
+_TF = f"{_ALL}, p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), dict AS (SELECT term, count(*) AS df FROM p GROUP BY 1)"
+_BOOL = f"{_ALNUM}, p AS (SELECT DISTINCT term, doc_id FROM tok)"
+_ZONED = f"""
+c AS (SELECT doc_id, text AS content, split_part(text, chr(10), 1) AS title,
+  strftime(DATE '2000-01-01' + CAST(doc_id % 9000 AS INTEGER), '%Y-%m-%d') AS date_posted, source AS court FROM documents),
+z AS (SELECT doc_id, 'content' AS zone, content AS x FROM c UNION ALL SELECT doc_id, 'title', title FROM c
+  UNION ALL SELECT doc_id, 'date', date_posted FROM c UNION ALL SELECT doc_id, 'court', court FROM c),
+zt AS (SELECT doc_id, zone, lower(unnest(regexp_extract_all(x, '{_PATTERN}'))) AS term FROM z),
+zp AS (SELECT term, doc_id, CAST(count(*) FILTER (zone = 'content') AS INTEGER) AS tf_content, CAST(count(*) FILTER (zone = 'title') AS INTEGER) AS tf_title,
+  CAST(count(*) FILTER (zone = 'date') AS INTEGER) AS tf_date, CAST(count(*) FILTER (zone = 'court') AS INTEGER) AS tf_court FROM zt GROUP BY 1, 2),
+p AS (SELECT term, doc_id, CAST(tf_content + tf_title + tf_date + tf_court AS BIGINT) AS tf, tf_title FROM zp),
+dict AS (SELECT term, count(*) AS df FROM p GROUP BY 1)"""
+_Q = "q(query_id, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in RANKED_QUERIES) + ")"
+
+
+def _query_terms(keep: bool, drop_and: bool) -> str:
+    tests = [f"regexp_matches(t, '{analysis.ALNUM}')"] if keep else []
+    tests += ["t <> 'AND'"] if drop_and else []
+    where = f"WHERE {' AND '.join(tests)}" if tests else ""
+    return f"""{_Q},
+qt AS (SELECT CAST(query_id AS BIGINT) AS query_id, lower(t) AS term, count(*) AS qtf, min(i) - 1 AS first_pos FROM (
+  SELECT query_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT query_id, regexp_extract_all(query, '{_PATTERN}') AS l FROM q)) {where} GROUP BY 1, 2)"""
+
+
+_N = "nd AS (SELECT count(*) AS n FROM documents)"
+_IDF = {"t": "log10(n / CAST(df AS DOUBLE))", "p": "greatest(0.0, CASE WHEN n = df THEN 0.0 ELSE log10((n - df) / CAST(df AS DOUBLE)) END)"}
+
+
+def _weights(idf: str) -> str:
+    return f"{_N}, w AS (SELECT query_id, term, qtf, first_pos, {_IDF[idf]} * (1 + log10(qtf)) AS wq FROM qt JOIN dict USING (term), nd)"
+
+
+def _sum(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(20, 12))) AS DOUBLE)"
+
+
+_LTC = f"WITH {_TF}, {_query_terms(False, False)}, {_weights('t')}"
+_LPN = f"WITH {_ZONED}, {_query_terms(True, True)}, {_weights('p')}"
+_LT = f"WITH {_ZONED}, {_query_terms(True, True)}, {_weights('t')}"
+_STATS = f"""b AS (SELECT doc_id, max(tf) AS max_tf, CAST(sum(tf) AS BIGINT) / CAST(count(*) AS DOUBLE) AS ave_tf FROM p GROUP BY 1)"""
+_FULL = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, first_pos, doc_id DESC)"
+
+
+def _scores(weight: str, join: str = "") -> str:
+    return f"s AS (SELECT query_id, doc_id, {_sum(f'wq * ({weight})')} AS score, min(first_pos) AS first_pos FROM p JOIN w USING (term) {join} GROUP BY 1, 2)"
+
+
+def _ranked(limit: int | None = None) -> str:
+    inner = f"SELECT query_id, CAST({_FULL} AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM s"
+    return f"SELECT * FROM ({inner}) WHERE rank <= {limit}" if limit else inner
+
+
+# --- analysis and indexes ------------------------------------------------------------------------
+
+
+@register("tokens_alnum", f"WITH {_ALNUM} SELECT term, count(*) AS n FROM tok GROUP BY 1")
+def tokens_alnum(s, d):
+    return index.terms_of(docs(s, d)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@register("tokens_all", f"WITH {_ALL} SELECT term, count(*) AS n FROM tok GROUP BY 1")
+def tokens_all(s, d):
+    return index.terms_of(docs(s, d), keep=None).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@register("sentences", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text || ' ', '[.!?]\\s+'), lambda x: true)) + CASE WHEN regexp_matches(text, '[.!?]\\s+$') THEN 0 ELSE 0 END + 1 AS BIGINT) AS n FROM (SELECT doc_id, regexp_replace(text, '[.!?]*\\s*$', '') AS text FROM documents)")
+def sentence_counts(s, d):
+    """Sentences of every text without its final stop."""
+    trimmed = F.regexp_replace("text", r"[.!?]*\s*$", "")
+    return docs(s, d).select("doc_id", F.size(analysis.sentences(F.concat(trimmed, F.lit(" ")))).cast("long").alias("n"))
+
+
+@register("tokens_stemmed", f"WITH {_ALNUM}, voc AS (SELECT DISTINCT term FROM tok), st AS ({porter.stem_sql('voc')}) SELECT stem AS term, count(*) AS n FROM tok JOIN st USING (term) GROUP BY 1")
+def tokens_stemmed(s, d):
+    return index.terms_of(docs(s, d), stem=True).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@register("index_boolean", f"WITH {_BOOL} SELECT term, doc_id FROM p")
+def index_boolean(s, d):
+    return bool_postings(s, d).select("term", "doc_id")
+
+
+@register("index_tf", f"WITH {_TF} SELECT term, doc_id, tf FROM p")
+def index_tf(s, d):
+    return tf_postings(s, d).select("term", "doc_id", "tf")
+
+
+@register("dictionary_df", f"WITH {_TF} SELECT term, df FROM dict")
+def dictionary_df(s, d):
+    return index.dictionary(tf_postings(s, d))
+
+
+@register("index_zoned", f"WITH {_ZONED} SELECT * FROM zp")
+def index_zoned(s, d):
+    return zoned_postings(s, d).select("term", "doc_id", "tf_content", "tf_title", "tf_date", "tf_court")
+
+
+@register("zone_tf_total", f"WITH {_ZONED} SELECT term, doc_id, tf FROM p")
+def zone_tf_total(s, d):
+    return index.zone_total(zoned_postings(s, d))
+
+
+@register("postings_lookup", f"WITH {_TF} SELECT term, doc_id, tf FROM p WHERE term IN ('license', 'und', 'zzznothing')")
+def postings_lookup(s, d):
+    return tf_postings(s, d).where(F.col("term").isin("license", "und", "zzznothing")).select("term", "doc_id", "tf")
+
+
+@register("doc_norms", f"WITH {_TF} SELECT doc_id, round(sqrt({_sum('(1 + log10(tf)) * (1 + log10(tf))')}), 6) AS len_l FROM p GROUP BY 1")
+def doc_norms(s, d):
+    return rounded(index.doc_norms(tf_postings(s, d)), "len_l")
+
+
+def _norm(x: str) -> str:
+    return f"round(sqrt({_sum(f'({x}) * ({x})')}), 5)"
+
+
+@register("doc_stats_smart", f"""WITH {_ZONED}, {_STATS}
+SELECT doc_id, {_norm('CAST(tf AS DOUBLE)')} AS len_n, {_norm('1 + log10(tf)')} AS len_l, {_norm('0.5 + 0.5 * CAST(tf AS DOUBLE) / max_tf')} AS len_a,
+  {_norm('(1 + log10(tf)) / (1 + log10(ave_tf))')} AS len_ave, max_tf, round(ave_tf, 6) AS ave_tf
+FROM p JOIN b USING (doc_id) GROUP BY doc_id, max_tf, ave_tf""")
+def doc_stats_smart(s, d):
+    out = stats(s, d)
+    return rounded(out, "ave_tf").withColumns({n: F.round(n, 5) for n in ("len_n", "len_l", "len_a", "len_ave")})
+
+
+# --- Boolean retrieval ---------------------------------------------------------------------------
+
+
+def _has(term: str) -> str:
+    return f"list_contains(held, '{term}')"
+
+
+_HELD = f"WITH {_BOOL}, h AS (SELECT d.doc_id, coalesce(held, []) AS held FROM documents d LEFT JOIN (SELECT doc_id, list(term) AS held FROM p GROUP BY 1) USING (doc_id))"
+_BOOLEAN_SQL = {
+    1: f"{_has('the')} AND {_has('of')}",
+    2: f"{_has('the')} OR {_has('und')}",
+    3: f"NOT {_has('the')}",
+    4: f"{_has('the')} AND NOT {_has('of')}",
+    5: f"({_has('the')} OR {_has('que')}) AND NOT ({_has('in')} OR {_has('la')})",
+    6: _has("license"),
+    7: f"{_has('the')} OR ({_has('of')} AND {_has('und')})",
+    8: _has("mit"),
+    9: f"NOT {_has('the')} AND NOT {_has('que')}",
+    10: "false",
+    11: _has("the"),
+    12: "false",
+}
+for _name, _id in (("bool_and", 1), ("bool_or", 2), ("bool_not", 3), ("bool_and_not", 4), ("bool_nested", 5), ("bool_unknown_term", 6), ("bool_precedence", 7), ("bool_not_not", 8), ("bool_not_and_not", 9)):
+    def _one(s, d, query=dict(BOOLEAN_QUERIES)[_id]):
+        return boolean.search_sets(docs(s, d), bool_postings(s, d), query)
+
+    register(_name, f"{_HELD} SELECT doc_id FROM h WHERE {_BOOLEAN_SQL[_id]}")(_one)
+
+
+@register("bool_term", f"WITH {_BOOL} SELECT doc_id FROM p WHERE term = 'license'")
+def bool_term(s, d):
+    return boolean.search_sets(docs(s, d), bool_postings(s, d), "license")
+
+
+@register("bool_batch", _HELD + " SELECT query_id, coalesce(string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY doc_id), '') AS result FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT))" for i, _ in BOOLEAN_QUERIES) + ") q(query_id) LEFT JOIN (" + " UNION ALL ".join(f"SELECT {i} AS qid, doc_id FROM h WHERE {c}" for i, c in _BOOLEAN_SQL.items()) + ") ON qid = query_id GROUP BY 1")
+def bool_batch(s, d):
+    hits = boolean.search(docs(s, d), bool_postings(s, d), BOOLEAN_QUERIES)
+    return boolean.result_lines(queries_of(s, BOOLEAN_QUERIES), hits)
+
+
+# --- ranked retrieval ----------------------------------------------------------------------------
+
+
+@register("query_tf", f"WITH {_query_terms(True, True)} SELECT query_id, term, qtf, CAST(first_pos AS INTEGER) AS first_pos FROM qt")
+def query_tf(s, d):
+    return rank.query_terms(queries_of(s), operator_words=("AND",))
+
+
+@register("query_weights_ltc", f"{_LTC} SELECT query_id, term, round(wq, 6) AS wq FROM w")
+def query_weights_ltc(s, d):
+    return rounded(ltc(s, d).select("query_id", "term", "wq"), "wq")
+
+
+@register("query_weights_lpn", f"{_LPN} SELECT query_id, term, round(wq, 6) AS wq FROM w")
+def query_weights_lpn(s, d):
+    return rounded(lpn(s, d).select("query_id", "term", "wq"), "wq")
+
+
+def cosine_scores(s, d):
+    postings = tf_postings(s, d)
+    return rank.cosine(ltc(s, d), postings, index.doc_norms(postings))
+
+
+_COSINE = f"""{_LTC}, {_scores('1 + log10(tf)')},
+ld AS (SELECT doc_id, sqrt({_sum('(1 + log10(tf)) * (1 + log10(tf))')}) AS len_l FROM p GROUP BY 1),
+lq AS (SELECT query_id, sqrt({_sum('wq * wq')}) AS len_q FROM w GROUP BY 1),
+cs AS (SELECT query_id, doc_id, round(score / len_l / len_q, 6) AS score FROM s JOIN ld USING (doc_id) JOIN lq USING (query_id) WHERE len_q > 0),
+top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS cut FROM cs) WHERE cut <= {K})"""
+
+
+@register("cosine_lnc_ltc_top10", f"{_COSINE} SELECT * FROM top")
+def cosine_top10(s, d):
+    return rank.top_k(cosine_scores(s, d), K)
+
+
+@register("cosine_result_lines", f"{_COSINE} SELECT CAST(q.query_id AS BIGINT) AS query_id, coalesce(string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank), '') AS result FROM q LEFT JOIN top ON top.query_id = q.query_id GROUP BY 1")
+def cosine_result_lines(s, d):
+    return rank.result_lines(queries_of(s), cosine_top10(s, d))
+
+
+@register("rank_lnn_lpn_full", f"{_LPN}, {_scores('1 + log10(tf)')} {_ranked()}")
+def rank_lnn_lpn_full(s, d):
+    return rank.full_ranking(rank.scores(lpn(s, d), zone_tf(s, d), rank.log_tf()))
+
+
+_METHOD_SQL = {
+    "n": ("CAST(tf AS DOUBLE)", ""),
+    "l": ("1 + log10(tf)", ""),
+    "a": ("0.5 + 0.5 * CAST(tf AS DOUBLE) / max_tf", "JOIN b USING (doc_id)"),
+    "L": ("(1 + log10(tf)) / (1 + log10(ave_tf))", "JOIN b USING (doc_id)"),
+}
+for _name, _m in (("smart_n", "n"), ("smart_l", "l"), ("smart_a", "a"), ("smart_ave", "L")):
+    def _method(s, d, m=_m):
+        return rank.full_ranking(rank.smart_scores(lt_zoned(s, d), zone_tf(s, d), stats(s, d), m), K)
+
+    register(_name, f"{_LT}, {_STATS}, {_scores(*_METHOD_SQL[_m])} {_ranked(K)}")(_method)
+
+_BOOST = "(1 + log10(tf)) * CASE WHEN tf_title > 0 THEN 1.4 ELSE 1.0 END"
+
+
+@register("title_boost", f"{_LPN}, {_scores(_BOOST)} {_ranked(K)}")
+def title_boost(s, d):
+    return rank.full_ranking(rank.scores(lpn(s, d), zone_tf(s, d), rank.log_tf() * rank.title_factor()), K)
+
+
+@register("court_boost", f"""{_LPN}, {_scores('1 + log10(tf)').replace('s AS', 's0 AS', 1)},
+cw(court, weight) AS (VALUES {", ".join(f"('{c}', {w})" for c, w in COURT_WEIGHTS)}),
+s AS (SELECT query_id, doc_id, score * coalesce(CAST(weight AS DOUBLE), 1.0) AS score, first_pos FROM s0 JOIN documents d USING (doc_id) LEFT JOIN cw ON cw.court = d.source)
+{_ranked(K)}""")
+def court_boost(s, d):
+    scored = rank.scores(lpn(s, d), zone_tf(s, d), rank.log_tf())
+    courts = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("court"))
+    return rank.full_ranking(rank.court_boosted(scored, courts, s.createDataFrame(COURT_WEIGHTS, "court string, weight double")), K)
+
+
+def _grid_part(expansion: str, method: str) -> str:
+    w, j = _METHOD_SQL[method]
+    return f"SELECT '{expansion}' AS expansion, '{method}' AS tf_method, * FROM (WITH {_scores(w, j).replace(' w ', f' w_{expansion} ')} {_ranked(K)})"
+
+
+_EXPANDED = f"""dv(term, derived) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in DERIVATIONS)}),
+own AS (SELECT DISTINCT query_id, lower(t) AS term FROM (SELECT CAST(query_id AS BIGINT) AS query_id, unnest(regexp_extract_all(query, '{_PATTERN}')) AS t FROM q)
+  WHERE regexp_matches(t, '{analysis.ALPHA}') AND lower(t) NOT IN ('and', {", ".join(f"'{x}'" for x in STOP_WORDS)})),
+ex AS (SELECT query_id, term FROM own UNION SELECT query_id, derived FROM own JOIN dv USING (term))"""
+
+
+@register("expand_derivations", f"WITH {_Q}, {_EXPANDED} SELECT query_id, term FROM ex")
+def expand_derivations(s, d):
+    return expand.expand(queries_of(s), s.createDataFrame(DERIVATIONS, "term string, derived string"), STOP_WORDS, stem=False)
+
+
+@register("smart_grid", f"""{_LT}, {_STATS}, {_EXPANDED},
+w_off AS (SELECT * FROM w),
+w_on AS (SELECT query_id, term, 1 AS qtf, 0 AS first_pos, {_IDF['t']} AS wq FROM ex JOIN dict USING (term), nd)
+{" UNION ALL ".join(_grid_part(x, m) for x in ("off", "on") for m in "nlaL")}""")
+def smart_grid(s, d):
+    """Four tf methods with and without expansion; expanded terms count once each."""
+    expanded = expand_derivations(s, d).select("query_id", "term", F.lit(1).cast("long").alias("qtf"), F.lit(0).alias("first_pos"))
+    weights = {"off": lt_zoned(s, d), "on": rank.query_weights(expanded, index.dictionary(zone_tf(s, d)), n_docs(s, d), "t")}
+    out = None
+    for name, w in weights.items():
+        for m in "nlaL":
+            part = rank.full_ranking(rank.smart_scores(w, zone_tf(s, d), stats(s, d), m), K)
+            part = part.select(F.lit(name).alias("expansion"), F.lit(m).alias("tf_method"), "*")
+            out = part if out is None else out.unionAll(part)
+    return out
+
+
+# --- feedback ------------------------------------------------------------------------------------
+
+_FEEDBACK = f"""{_LPN}, {_scores(_BOOST)},
+o AS (SELECT query_id, doc_id, {_FULL} AS a,
+  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), first_pos DESC, doc_id) AS z FROM s),
+f AS (SELECT query_id, doc_id, CAST(a <= 10 AS INTEGER) AS top, CAST(z <= 10 AS INTEGER) AS low FROM o WHERE a <= 10 OR z <= 10),
+sums AS (SELECT query_id, term, {_sum('(1 + log10(tf)) * top')} AS s_top, {_sum('(1 + log10(tf)) * low')} AS s_low
+  FROM p JOIN f USING (doc_id) JOIN w USING (query_id, term) GROUP BY 1, 2),
+w2 AS (SELECT query_id, term, first_pos, wq + 0.75 * coalesce(s_top, 0) / 10 - 0.15 * coalesce(s_low, 0) / 10 AS wq FROM w LEFT JOIN sums USING (query_id, term))"""
+
+
+def _first_pass(s, d):
+    w = lpn(s, d)
+    scored = rank.scores(w, zone_tf(s, d), rank.log_tf() * rank.title_factor())
+    moved = feedback.rocchio_weights(w, zone_tf(s, d), feedback.feedback_sets(scored))
+    return scored, moved
+
+
+@register("rocchio_weights", f"{_FEEDBACK} SELECT query_id, term, round(wq, 6) AS wq FROM w2")
+def rocchio_weights(s, d):
+    return rounded(_first_pass(s, d)[1].select("query_id", "term", "wq"), "wq")
+
+
+@register("rocchio_rerank", f"{_FEEDBACK}, {_scores('1 + log10(tf)').replace('s AS', 's2 AS', 1).replace(' w ', ' w2 ')} {_ranked(K).replace('FROM s)', 'FROM s2)')}")
+def rocchio_rerank(s, d):
+    _, moved = _first_pass(s, d)
+    return rank.full_ranking(rank.scores(moved, zone_tf(s, d), rank.log_tf()), K)
+
+
+@register("rocchio_last_term", f"""{_FEEDBACK},
+lt AS (SELECT query_id, arg_max(term, first_pos) AS term, arg_max(wq, first_pos) AS wq FROM w2 GROUP BY 1),
+s2 AS (SELECT s.query_id, s.doc_id, CASE WHEN tf IS NULL THEN wq ELSE wq * (1 + log10(tf)) END AS score, s.first_pos
+  FROM s JOIN lt USING (query_id) LEFT JOIN p ON p.term = lt.term AND p.doc_id = s.doc_id)
+{_ranked(K).replace('FROM s)', 'FROM s2)')}""")
+def rocchio_last_term(s, d):
+    scored, moved = _first_pass(s, d)
+    return rank.full_ranking(feedback.rerank_last_term(scored, moved, zone_tf(s, d)), K)
+
+
+# --- language model ------------------------------------------------------------------------------
+
+
+def lm_rows(s, d):
+    rows = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
+    return rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
+
+
+def lm_train_counts(s, d):
+    return _kept(s, d, "lm", lambda: langmodel.gram_counts(lm_rows(s, d)[0]))
+
+
+_GRAMS = "unnest(list_transform(range(1, length(text) - 2), lambda i: substring(text, CAST(i AS INTEGER), 4)))"
+_LM = f"""WITH gc AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, {_GRAMS} AS gram FROM documents WHERE doc_id % 5 <> 0) GROUP BY 1, 2),
+tot AS (SELECT lang, CAST(sum(n) AS BIGINT) + (SELECT count(DISTINCT gram) FROM gc) AS total FROM gc GROUP BY 1),
+lm AS (SELECT lang, gram, (coalesce(n, 0) + 1) / CAST(total AS DOUBLE) AS p FROM (SELECT DISTINCT gram FROM gc) v CROSS JOIN tot LEFT JOIN gc USING (lang, gram))"""
+_LM_SCORES = f"""{_LM},
+tg AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, {_GRAMS} AS gram FROM documents WHERE doc_id % 5 = 0) GROUP BY 1, 2),
+sc AS (SELECT doc_id, lang, round({_sum('n * ln(p)')}, 6) AS score FROM tg JOIN lm USING (gram) GROUP BY 1, 2),
+best AS (SELECT doc_id, lang AS label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM sc) WHERE r = 1),
+pr AS (SELECT d.doc_id, d.text, d.lang, coalesce(label, 'other') AS label FROM documents d LEFT JOIN best USING (doc_id) WHERE d.doc_id % 5 = 0)"""
+
+
+@register("lm_counts", f"{_LM} SELECT lang, gram, n FROM gc")
+def lm_counts(s, d):
+    return lm_train_counts(s, d)
+
+
+@register("lm_totals", f"{_LM} SELECT lang, total FROM tot")
+def lm_totals(s, d):
+    return langmodel.totals(lm_train_counts(s, d))
+
+
+@register("lm_probs", f"{_LM} SELECT lang, gram, round(p * 1000000, 6) AS p_millionths FROM lm")
+def lm_probs(s, d):
+    p = langmodel.probabilities(lm_train_counts(s, d))
+    return p.select("lang", "gram", F.round(F.col("p") * 1000000, 6).alias("p_millionths"))
+
+
+@register("lm_scores", f"{_LM_SCORES} SELECT doc_id, lang, round(score, 4) AS score FROM sc")
+def lm_scores(s, d):
+    found = langmodel.line_scores(lm_rows(s, d)[1], langmodel.probabilities(lm_train_counts(s, d)), "doc_id")
+    return found.select("doc_id", "lang", F.round("score", 4).alias("score"))
+
+
+def _predicted(s, d):
+    return langmodel.predict(lm_rows(s, d)[1], langmodel.probabilities(lm_train_counts(s, d)), "doc_id")
+
+
+@register("lm_predict", f"{_LM_SCORES} SELECT doc_id, label || ' ' || text AS line FROM pr")
+def lm_predict(s, d):
+    return prediction_lines(lm_rows(s, d)[1], _predicted(s, d), "doc_id")
+
+
+@register("lm_predict_other", f"{_LM} SELECT doc_id, 'other' AS label FROM documents WHERE doc_id % 5 = 0")
+def lm_predict_other(s, d):
+    """Lines without any known gram (shortened below the gram length) are labelled other."""
+    short = lm_rows(s, d)[1].select("doc_id", F.substring("text", 1, 3).alias("text"))
+    return langmodel.predict(short, langmodel.probabilities(lm_train_counts(s, d)), "doc_id")
+
+
+@register("lm_accuracy", f"{_LM_SCORES} SELECT lang, label, count(*) AS n, round(avg(CAST(lang = label AS INTEGER)), 6) AS accuracy FROM pr GROUP BY 1, 2")
+def lm_accuracy(s, d):
+    rows = lm_rows(s, d)[1].select("doc_id", "lang").join(_predicted(s, d), "doc_id")
+    hit = (F.col("lang") == F.col("label")).cast("int")
+    return rows.groupBy("lang", "label").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))

@@ -37,32 +37,38 @@ def _starts(n: Column, width: int) -> Column:
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def fingerprints(df: DataFrame, gram: int, run: int) -> DataFrame:
+def fingerprints(df: DataFrame, gram: int, run: int, counted: bool = False) -> DataFrame:
     """Winnowed k-grams of ``words`` as rows (fp, pos): the leftmost smallest of every ``run`` grams.
 
     Each step is a projection of its own and the explode an outer one: a filter that the optimizer
     infers for an inner explode would be pushed below and compute the arrays again for every element.
+    ``counted`` adds a row with a null fp and the number of words as pos to every input row.
     """
     # elements are read by position: slices inside a lambda would copy the whole array every time
     keep = [c for c in df.columns if c != "words"]
+    kind = "array<struct<fp:bigint,pos:int>>"
     grams = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).select(
         *keep,
         F.transform(
             _starts(F.size("h"), gram),
             lambda i: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(gram))).alias("fp"), i.alias("pos")),
         ).alias("g"),
+        F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.size("h").alias("pos"))).alias("total"),
     )
     if run > 1:
         grams = grams.select(
             *keep,
+            "total",
             F.transform(
                 _starts(F.size("g"), run), lambda i: F.least(*(F.get("g", i + j) for j in range(run)))
             ).alias("m"),
         ).select(
-            *keep,  # a minimum stays for consecutive windows
+            *keep,
+            "total",  # a minimum stays for consecutive windows
             F.filter("m", lambda x, i: (i == 0) | (x["pos"] != F.get("m", i - 1)["pos"])).alias("g"),
         )
-    return grams.select(*keep, F.explode_outer("g").alias("g")).select(*keep, "g.fp", "g.pos")
+    rows = F.concat(F.col("total").cast(kind), F.col("g").cast(kind)) if counted else F.col("g")
+    return grams.select(*keep, F.explode_outer(rows).alias("g")).select(*keep, "g.fp", "g.pos")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -87,22 +93,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 
     # lengths of items with less than a window, at most span - 1 values
     short = [r[0] for r in items.where(F.size("item_words") < span).select(F.size("item_words")).distinct().collect()]
-    found = None
+    counts = found = None
     for size, k in [(None, gram), *((n, n) for n in sorted(short))]:
         run = span - gram + 1 if size is None else 1
         of_size = F.size("item_words") >= span if size is None else F.size("item_words") == size
         marks = fingerprints(items.where(of_size).select("item", F.col("item_words").alias("words")), k, run)
-        marks = marks.withColumnRenamed("pos", "item_pos")
-        n_marks = marks.count()
-        if not n_marks:
-            continue
-        if n_marks <= BROADCAST_ROWS:
+        marks = marks.where("fp is not null").withColumnRenamed("pos", "item_pos")
+        if marks.count() <= BROADCAST_ROWS:
             marks = F.broadcast(marks)
-        hits = fingerprints(doc_words, k, run).join(marks, "fp")
+        prints = fingerprints(doc_words, k, run, counted=size is None)
+        hits = prints.join(marks, "fp", "left" if size is None else "inner")
+        if size is None:  # one pass gives the numbers of words and the hits
+            hits = hits.where("item is not null or fp is null")
+            hits = common.written(hits.select("doc_id", "th", "fp", "pos", "item", "item_pos"), "hits")
+            counts = hits.where("fp is null and item is null").select("doc_id", "th", F.col("pos").cast("long").alias("n_words"))
+            hits = hits.where("item is not null")
         hits = hits.select("doc_id", "th", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
         found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return _report(doc_words, None)
 
     aligned = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item", "shift")).alias("at"))
     # no more than SPAN-word runs of one document: bounded by its length
@@ -170,16 +177,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
         )
         .where("n_hit > 0")
     )
-    return _report(doc_words, hit)
+    return _report(counts, hit)
 
 
-def _report(doc_words: DataFrame, hit: DataFrame | None) -> DataFrame:
-    n_words = doc_words.select("doc_id", "th", F.size("words").cast("long").alias("n_words"))
-    if hit is None:
-        joined = n_words.withColumns({"n_hit": F.lit(None).cast("long"), "ids": F.lit(None).cast("array<string>")})
-    else:
-        on = n_words["doc_id"].eqNullSafe(hit["doc_id"]) & n_words["th"].eqNullSafe(hit["th"])
-        joined = n_words.join(hit, on, "left").select(n_words["doc_id"], "n_words", "n_hit", "ids")
+def _report(counts: DataFrame, hit: DataFrame) -> DataFrame:
+    on = counts["doc_id"].eqNullSafe(hit["doc_id"]) & counts["th"].eqNullSafe(hit["th"])
+    joined = counts.join(hit, on, "left").select(counts["doc_id"], "n_words", "n_hit", "ids")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(

@@ -44,10 +44,11 @@ class Model:
             return v
         padded = f"<{w}>"
         for n in range(min(len(self.grams), len(padded)), 0, -1):
+            whole = padded if n > 1 else w  # the marks of beginning and end alone say nothing
             known = [
                 g
-                for i in range(len(padded) - n + 1)
-                if (g := self.grams[n - 1].get(padded[i : i + n])) is not None
+                for i in range(len(whole) - n + 1)
+                if (g := self.grams[n - 1].get(whole[i : i + n])) is not None
             ]
             if known:
                 return np.mean(known, axis=0)

@@ -171,7 +171,7 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
     """Fit K of E = K n exp(-lambda s) on the clean training texts; lambda is 1 as scores are log ratios.
 
     Counted is how many segments clean texts hold at or above each of some scores, per word; K is
-    the largest of the ratios to the law, with one segment added so that it is never 0.
+    the largest ratio to the law, and at least that of one segment of the smallest score.
     """
     marks = [2.0, 4.0, 6.0, 8.0, 12.0, 16.0]
 
@@ -188,7 +188,8 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
     clean = texts.where("toxic = 0").select("text").mapInArrow(tally, "n long, over array<long>")
     sums = clean.agg(F.sum("n"), *(F.sum(F.col("over")[i]) for i in range(len(marks)))).first()
     n = max(1, sums[0] or 0)
-    model.tail_k = max(((sums[1 + i] or 0) + 1) / n * math.exp(m) for i, m in enumerate(marks))
+    held = [sums[1 + i] or 0 for i in range(len(marks))]
+    model.tail_k = max(math.exp(MIN_SCORE) / n, *(k / n * math.exp(m) for k, m in zip(held, marks)))
     return model
 
 

@@ -25,14 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folders that ``written`` has made in this process, oldest first.
+_scratch: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A point in the list of scratch tables, for ``discard``."""
+    return len(_scratch)
+
+
+def discard(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Delete the scratch tables made between two marks; only when nothing will read them any more."""
+    jvm = spark.sparkContext._jvm
+    for i in range(since, len(_scratch) if until is None else until):
+        path = jvm.org.apache.hadoop.fs.Path(_scratch[i])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew only where the scan has fewer partitions than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

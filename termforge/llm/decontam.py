@@ -75,7 +75,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     """One row per document: which of its words lie in an occurrence of a benchmark window.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored.
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and text_hash (xxhash64 of the
+    text, which with the id names a row).
 
     Null and empty texts have no words and no hits. A row with a null id is an ordinary row.
     Repeated documents each get their row; repeated items count once. Without items, or without
@@ -182,7 +183,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
 
 def _report(counts: DataFrame, hit: DataFrame) -> DataFrame:
     on = counts["doc_id"].eqNullSafe(hit["doc_id"]) & counts["th"].eqNullSafe(hit["th"])
-    joined = counts.join(hit, on, "left").select(counts["doc_id"], "n_words", "n_hit", "ids")
+    joined = counts.join(hit, on, "left").select(counts["doc_id"], counts["th"], "n_words", "n_hit", "ids")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
@@ -192,4 +193,5 @@ def _report(counts: DataFrame, hit: DataFrame) -> DataFrame:
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.col("th").alias("text_hash"),
     )

@@ -8,6 +8,20 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
 
 
+def check_odd_rows(spark):
+    """Null ids, null texts, repeated rows and columns named like the operators' own."""
+    long = "the thing is in the house of that and with this for more words here " * 4
+    rows = [(1, long, "en", "s", 9, 0.5, "x"), (1, long, "en", "s", 9, 0.5, "x"), (None, long, "en", "s", None, 0.5, None), (3, None, None, None, None, None, None), (4, long, "en", None, 9, 0.5, "x"), (5, "other text entirely here now", "en", "s", 1, 0.1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, passages string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        ids = sorted((r.doc_id or 0) for r in kept.collect())
+        expected = {"toxicity": [0, 1, 1, 3, 4, 5], "language_id": [0, 1, 1, 4, 5], "jaccard_join": [0, 1, 3, 5], "decontamination": [0, 1, 1, 3, 4, 5]}
+        assert ids == expected[name], name
+        assert stage(spark, docs.limit(0), SF).collect() == []
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_stages_take_effect(spark):
     """Every stage against the operators' own brute-force versions on the rows that it receives."""
@@ -28,5 +42,6 @@ def test_stages_take_effect(spark):
         if name == "decontamination":
             assert set(after) == {r[0] for r in contaminated(list(before.items()), items) if not r[5]}
         assert len(after) > 0.3 * len(before)
+    check_odd_rows(spark)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(after)

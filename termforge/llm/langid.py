@@ -32,46 +32,60 @@ UNDETERMINED = "und"
 
 @dataclass
 class Model:
+    """Log frequencies by language in the rows of ``table``; words and n-grams name their rows."""
+
     langs: list[str] = field(default_factory=list)
-    prior: np.ndarray | None = None  # per language
-    words: dict[str, np.ndarray] = field(default_factory=dict)  # log frequency per language
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)  # by length, 1 first
+    table: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    words: dict[str, int] = field(default_factory=dict)
+    grams: list[dict[str, int]] = field(default_factory=list)  # by length, 1 first
 
-    def word(self, w: str) -> np.ndarray | None:
-        """Log frequencies of a word, by the longest grams of it that are known; None if none is."""
-        v = self.words.get(w)
-        if v is not None:
-            return v
+    def backed_off(self, w: str) -> np.ndarray | None:
+        """Mean log frequencies of the longest n-grams of an unseen word that are known; None if none is."""
         padded = f"<{w}>"
         for n in range(min(len(self.grams), len(padded)), 0, -1):
             whole = padded if n > 1 else w  # the marks of beginning and end alone say nothing
-            known = [
-                g
-                for i in range(len(whole) - n + 1)
-                if (g := self.grams[n - 1].get(whole[i : i + n])) is not None
-            ]
+            rows = self.grams[n - 1]
+            known = [r for i in range(len(whole) - n + 1) if (r := rows.get(whole[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.table[known].mean(0)
         return None
 
-
-def predict(model: Model, text: str | None, cache: dict) -> tuple[str, float]:
-    """(language, share of the posterior). No letter at all gives ``und`` with 0."""
-    counts = Counter(words_of(text))
-    if not counts or not model.langs:
-        return UNDETERMINED, 0.0
-    total = model.prior.copy()
-    for w, n in counts.items():
-        v = cache.get(w, cache)
-        if v is cache:
-            v = model.word(w)
-            if len(cache) >= CACHED:
-                cache.clear()
-            cache[w] = v
-        if v is not None:
-            total += n * v
-    best = int(np.argmax(total))
-    return model.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def word(self, w: str) -> np.ndarray | None:
+        r = self.words.get(w)
+        return self.backed_off(w) if r is None else self.table[r]
+
+
+class Scorer:
+    """Predicts by a model; keeps the back-off scores of recent unseen words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known = len(model.table)
+        self.rows = np.concatenate([model.table, np.zeros((CACHED, len(model.langs)))]) if model.langs else model.table
+        self.unseen: dict[str, int] = {}
+
+    def row(self, w: str) -> int:
+        r = self.unseen.get(w)
+        if r is None:
+            r = self.unseen[w] = self.known + len(self.unseen)
+            v = self.model.backed_off(w)
+            self.rows[r] = 0.0 if v is None else v
+        return r
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, share of the posterior). No letter at all gives ``und`` with 0."""
+        counts = Counter(words_of(text))
+        if not counts or not self.model.langs:
+            return UNDETERMINED, 0.0
+        words, total, names = self.model.words, np.zeros(len(self.model.langs)), list(counts)
+        for at in range(0, len(names), CACHED):
+            part = names[at : at + CACHED]
+            if len(self.unseen) + len(part) > CACHED:
+                self.unseen.clear()
+            rows = [r if (r := words.get(w)) is not None else self.row(w) for w in part]
+            total += np.array([counts[w] for w in part], float) @ self.rows[rows]
+        best = int(np.argmax(total))
+        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def _tables(counts: DataFrame, key: str, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
@@ -117,7 +131,8 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST)
         return Model()
     # a word seen once tells little and leaves unseen words to the n-grams, as in new texts
     words, logs = _tables(counted.where("n > 1"), "word", langs, MAX_WORDS)
-    model = Model(langs, np.zeros(len(langs)), dict(zip(words, logs)), [])
+    tables = [logs]
+    model = Model(langs, words={w: i for i, w in enumerate(words)})
     padded = counted.withColumn("padded", F.concat(F.lit("<"), "word", F.lit(">")))
     for n in range(1, longest + 1):
         starts = F.when(
@@ -128,7 +143,10 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST)
         )
         # words count once each: frequent words are in the table already
         keys, logs = _tables(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "gram", langs, MAX_GRAMS // longest)
-        model.grams.append(dict(zip(keys, logs)))
+        first = sum(map(len, tables))
+        model.grams.append({k: first + i for i, k in enumerate(keys)})
+        tables.append(logs)
+    model.table = np.concatenate(tables)
     return model
 
 
@@ -152,9 +170,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            found = [predict(model, t.as_py(), cache) for t in batch.column(1)]
+            found = [scorer.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -7,6 +7,9 @@ could reach the threshold at all, and candidates are compared by their bigram se
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from termforge.llm.decontam import lower_ascii
 
 THRESHOLD = 0.75
 WORD = "[0-9a-z]+"
+#: Words that ordinary texts hold too often to tell a licence.
+COMMON = frozenset("a all and any as at be by for from in is may of on or that the this to v was with work you".split())
 
 # Usual notices and the opening or characteristic paragraphs of licences.
 TEMPLATES = [
@@ -58,6 +63,25 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, paragraphs))
 
 
+def telling_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which every matching unit holds at least one.
+
+    A match needs more than a share of the template's bigrams, threshold / (4 - 2 threshold) of unit and
+    template together and so threshold / (2 - threshold) of the template's own. Words are chosen, the
+    longest first, until the bigrams with a chosen word are more than a match may lack.
+    """
+    chosen: set[str] = set()
+    for _, text in templates:
+        w = re.findall(WORD, text.lower())
+        pairs = set(zip(w, w[1:]))
+        spare = len(pairs) * (1 - threshold / (2 - threshold))
+        for x in sorted(set(w), key=lambda x: (x not in chosen, x in COMMON, -len(x), x)):
+            if sum(a in chosen or b in chosen for a, b in pairs) > spare + 1e-9:
+                break
+            chosen.add(x)
+    return sorted(chosen)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_units (that match a template), licence and score of the best match, licences (all, sorted).
 
@@ -77,6 +101,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     by_size = known.select(
         "licence", "m", F.col("bigrams").alias("wanted"), F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("n")
     )
+    everyone = docs.select("doc_id").distinct()
+    # most texts hold no telling word and need no bigrams
+    words, lowered = telling_words(templates, threshold), lower_ascii(F.col("text"))
+    docs = docs.select("doc_id", "text", lowered.alias("lowered"))
+    docs = docs.where(reduce(lambda a, b: a | b, (F.contains("lowered", F.lit(x)) for x in words), F.lit(False)))
     # an outer explode: for an inner one the optimizer would compute the units twice, to test their number
     found = _bigrams(docs.select("doc_id", F.explode_outer(units(F.col("text"))).alias("unit")), "unit")
     matches = (
@@ -104,7 +133,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         F.array_min(F.transform(F.filter("pairs", lambda p: p["dice"] == F.col("score")), lambda p: p["licence"])).alias("licence"),
         F.array_join("ids", ",").alias("licences"),
     )
-    everyone = docs.select("doc_id").distinct()
     out = everyone.join(best, everyone["doc_id"].eqNullSafe(best["doc_id"]), "left")
     return out.select(
         everyone["doc_id"],

@@ -10,9 +10,13 @@ from termforge.llm import common
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    n, h = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return n, int(h or 0)
+def _settled(e: DataFrame) -> bool:
+    """Whether every node is either a root or linked to exactly one root."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] == 0
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -39,15 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = common.written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    before = _state(e)
     for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
-        e = common.written(_small_star(_large_star(e).distinct()).distinct(), "edges")
-        after = _state(e)
-        if after == before:
+        if _settled(e):
             break
-        before = after
+        e = common.written(_small_star(_large_star(e)).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

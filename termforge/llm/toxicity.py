@@ -38,7 +38,7 @@ MIN_CONTEXTS = 3
 #: Unknown tokens fall back to their prefixes of these lengths, the longest first.
 PREFIXES = (6, 5, 4)
 #: Segments with more than this many expected by chance in a clean text are not passages.
-MAX_E_VALUE = 0.5
+MAX_E_VALUE = 0.001
 
 
 @dataclass
@@ -48,6 +48,7 @@ class Model:
     tokens: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
     background: float = -0.05
+    share: float = 0.1  # of toxic texts
     tail_k: float = 1.0
     tail_lambda: float = 1.0
 
@@ -105,8 +106,9 @@ def sparse_segments(model: Model, words: list[str]) -> list[tuple[int, int, floa
 def judge(model: Model, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
     """(score, significant passages as word spans with their score) of one text.
 
-    The score is the chance that a clean text of this length would *not* hold passages so strong:
-    exp(-E) for the summed score of all significant segments. Texts without words score 0.
+    With p = 1 - exp(-E), the chance that a clean text of this length holds passages so strong (for the
+    summed score of all significant segments), the score is the posterior share / (share + (1 - share) p).
+    Texts without a significant passage score 0.
     """
     words = words_of(text)
     size = len(words) * model.tail_k
@@ -116,7 +118,7 @@ def judge(model: Model, text: str | None) -> tuple[float, list[tuple[int, int, f
     if not kept:
         return 0.0, []
     e_value = size * math.exp(-min(700.0, model.tail_lambda * sum(s for _, _, s in kept)))
-    return math.exp(-e_value), kept
+    return model.share / (model.share - (1 - model.share) * math.expm1(-e_value)), kept
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
@@ -187,6 +189,8 @@ def calibrated(model: Model, texts: DataFrame) -> Model:
 
     clean = texts.where("toxic = 0").select("text").mapInArrow(tally, "n long, over array<long>")
     sums = clean.agg(F.sum("n"), *(F.sum(F.col("over")[i]) for i in range(len(marks)))).first()
+    toxic, every = texts.agg(F.sum("toxic"), F.count("*")).first()
+    model.share = min(0.5, max(0.01, toxic / every))  # the sample holds at most as many of each label
     n = max(1, sums[0] or 0)
     held = [sums[1 + i] or 0 for i in range(len(marks))]
     model.tail_k = max(math.exp(MIN_SCORE) / n, *(k / n * math.exp(m) for k, m in zip(held, marks)))

@@ -11,6 +11,7 @@ precision. A block pair gives counts of links and a spanning forest of them, not
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,17 @@ class CoverTree:
                 break
             radius /= 2
 
+    def packed(self) -> bytes:
+        """The visited levels as bytes, for tasks that compare the block with others."""
+        keep = self.levels()
+        return pickle.dumps([[getattr(self, n)[i].astype(k) for i in keep] for n, k in (("centres", "<i4"), ("nearest", "<i4"), ("spread", "<f4"))])
+
+    @staticmethod
+    def unpacked(raw: bytes) -> CoverTree:
+        tree = CoverTree.__new__(CoverTree)
+        tree.centres, tree.nearest, tree.spread = pickle.loads(raw)
+        return tree
+
     def levels(self) -> list[int]:
         """Levels worth visiting: those with at most half the centres of the last one, and the last."""
         last = len(self.centres) - 1
@@ -108,13 +120,16 @@ def members(owner: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.cumsum(np.bincount(owner, minlength=n))[:-1])
 
 
-def compare_blocks(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, same: bool, threshold: float):
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, unit vectors in single precision)."""
+    lengths = np.sqrt((x * x).sum(1))
+    return lengths, (x / lengths[:, None]).astype(np.float32)
+
+
+def compare_blocks(x: np.ndarray, nx: np.ndarray, t: CoverTree, y: np.ndarray, ny: np.ndarray, u: CoverTree, same: bool, threshold: float):
     """(links of each x weighted by ny, links of each y weighted by nx, component label of x then y)."""
     reach = reach_of(threshold)
-    lx, ly = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-    p, q = (x / lx[:, None]).astype(np.float32), (y / ly[:, None]).astype(np.float32)
-    t = CoverTree(p, reach / 2)
-    u = t if same else CoverTree(q, reach / 2)
+    (lx, p), (ly, q) = unit(x), unit(y)
     near = near_nodes(p, t, q, u, reach)
     in_t, in_u = members(t.nearest[-1], len(t.centres[-1])), members(u.nearest[-1], len(u.centres[-1]))
     cx, cy = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
@@ -243,9 +258,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
         def done() -> pa.RecordBatch:
             raw = [np.array(ids, "<i8").tobytes(), np.array(ns, "<i8").tobytes(), b"".join(vs)]
+            points = np.frombuffer(raw[2], "<f8").reshape(len(ids), -1)
+            raw.append(CoverTree(unit(points)[1], reach / 2).packed())
             return pa.RecordBatch.from_arrays(
                 [pa.array([held[0]]), pa.array([held[1]]), *(pa.array([r], pa.binary()) for r in raw)],
-                names=["cell", "part", "ids", "counts", "data"],
+                names=["cell", "part", "ids", "counts", "data", "tree"],
             )
 
         for batch in batches:
@@ -265,7 +282,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         .select("cell", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep", "n", "vector")
         .repartition("cell", "part")
         .sortWithinPartitions("cell", "part")
-        .mapInArrow(pack, "cell long, part long, ids binary, counts binary, data binary")
+        .mapInArrow(pack, "cell long, part long, ids binary, counts binary, data binary, tree binary")
     )
     blocks = common.written(blocks, "blocks")
     left = blocks.select(*(F.col(c).alias(f"l_{c}") for c in blocks.columns))
@@ -284,12 +301,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
                 same = get("l_cell") == get("r_cell") and get("l_part") == get("r_part")
                 ids, n = np.frombuffer(get("l_ids"), "<i8"), np.frombuffer(get("l_counts"), "<i8")
                 x = np.frombuffer(get("l_data"), "<f8").reshape(len(ids), -1)
+                t = CoverTree.unpacked(get("l_tree"))
                 if same:
-                    others, m, y = ids, n, x
+                    others, m, y, u = ids, n, x, t
                 else:
+                    u = CoverTree.unpacked(get("r_tree"))
                     others, m = np.frombuffer(get("r_ids"), "<i8"), np.frombuffer(get("r_counts"), "<i8")
                     y = np.frombuffer(get("r_data"), "<f8").reshape(len(others), -1)
-                cx, cy, label = compare_blocks(x, n, y, m, same, threshold)
+                cx, cy, label = compare_blocks(x, n, t, y, m, u, same, threshold)
                 every = ids if same else np.concatenate([ids, others])
                 counts = cx if same else np.concatenate([cx, cy])
                 hit = np.flatnonzero(counts)

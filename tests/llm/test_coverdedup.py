@@ -52,6 +52,8 @@ def test_traversal_keeps_every_near_pair():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 6))
     y = np.concatenate([x[:100] + rng.normal(size=(100, 6)) * 0.1, rng.normal(size=(100, 6))])
-    cx, cy, label = coverdedup.compare_blocks(x, np.ones(300, int), y, np.ones(200, int), False, 0.95)
+    t, u = (coverdedup.CoverTree(coverdedup.unit(z)[1], 0.16) for z in (x, y))
+    u = coverdedup.CoverTree.unpacked(u.packed())
+    cx, cy, label = coverdedup.compare_blocks(x, np.ones(300, int), t, y, np.ones(200, int), u, False, 0.95)
     cos = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= 0.95
     assert (cx == cos.sum(1)).all() and (cy == cos.sum(0)).all()

@@ -510,6 +510,29 @@ def lm_predict_other(s, d):
     return langmodel.predict(short, langmodel.probabilities(lm_train_counts(s, d)), "doc_id")
 
 
+def lm_all(s, d):
+    return spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
+
+
+def lm_all_counts(s, d):
+    return _kept(s, d, "lm_all", lambda: langmodel.gram_counts(lm_all(s, d)))
+
+
+def _all_rows(sql: str) -> str:
+    """The SQL over all documents instead of the folds."""
+    return sql.replace("WHERE doc_id % 5 <> 0", "WHERE lang IS NOT NULL").replace(" WHERE doc_id % 5 = 0", "").replace(" WHERE d.doc_id % 5 = 0", "")
+
+
+def _all_predicted(s, d):
+    return langmodel.predict(lm_all(s, d), langmodel.probabilities(lm_all_counts(s, d)), "doc_id")
+
+
+@register("lm_predict_other_full", f"{_all_rows(_LM_SCORES)} SELECT doc_id, label FROM pr")
+def lm_predict_other_full(s, d):
+    """The label of every whole text; texts without any known gram are labelled other."""
+    return _all_predicted(s, d)
+
+
 @register("lm_accuracy", f"{_LM_SCORES} SELECT lang, label, count(*) AS n, round(avg(CAST(lang = label AS INTEGER)), 6) AS accuracy FROM pr GROUP BY 1, 2")
 def lm_accuracy(s, d):
     rows = lm_rows(s, d)[1].select("doc_id", "lang").join(_predicted(s, d), "doc_id")

@@ -34,3 +34,30 @@ def test_against_sql(spark, name):
     names = list(got.columns)
     order = [list(expected.columns).index(n) for n in names]
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in order) for r in expected.fetchall())
+
+
+def documents(folder, rows):
+    """A documents table of (doc_id, text, lang); the folder's path."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?, 'src0')", rows)
+    c.execute(f"COPY documents TO '{folder}/documents.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def both(spark, folder, name):
+    """(rows of the plan, rows of its SQL), sorted."""
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got, expected = entry.queries()[name](spark, folder), c.sql(entry.oracle_sql()[name])
+    assert list(got.columns) == list(expected.columns)
+    return sorted(map(tuple, got.collect())), sorted(expected.fetchall())
+
+
+#: No document of the held-out fold alone, a short text, and languages of every fold.
+LM_ROWS = [(1, "abcdabcd", "x"), (2, "bcdefbcdef", "y"), (3, "abcde", "x"), (5, "bcdefg", "y"), (6, "abc", "x"), (10, "", "y"), (11, "qrstu", None)]
+
+
+def test_other_is_predicted_on_whole_texts(spark, tmp_path):
+    got, expected = both(spark, documents(tmp_path, LM_ROWS), "lm_predict_other_full")
+    assert got == expected == [(1, "x"), (2, "y"), (3, "x"), (5, "y"), (6, "other"), (10, "other"), (11, "other")]

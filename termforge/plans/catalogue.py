@@ -523,10 +523,36 @@ def _all_rows(sql: str) -> str:
     return sql.replace("WHERE doc_id % 5 <> 0", "WHERE lang IS NOT NULL").replace(" WHERE doc_id % 5 = 0", "").replace(" WHERE d.doc_id % 5 = 0", "")
 
 
+@register("lm_counts_full", f"{_all_rows(_LM)} SELECT lang, gram, n FROM gc")
+def lm_counts_full(s, d):
+    return lm_all_counts(s, d)
+
+
+@register("lm_totals_full", f"{_all_rows(_LM)} SELECT lang, total FROM tot")
+def lm_totals_full(s, d):
+    return langmodel.totals(lm_all_counts(s, d))
+
+
+@register("lm_probs_full", f"{_all_rows(_LM)} SELECT lang, gram, round(p * 1000000, 6) AS p_millionths FROM lm")
+def lm_probs_full(s, d):
+    p = langmodel.probabilities(lm_all_counts(s, d))
+    return p.select("lang", "gram", F.round(F.col("p") * 1000000, 6).alias("p_millionths"))
+
+
+@register("lm_scores_full", f"{_all_rows(_LM_SCORES)} SELECT doc_id, lang, score FROM sc")
+def lm_scores_full(s, d):
+    return langmodel.line_scores(lm_all(s, d), langmodel.probabilities(lm_all_counts(s, d)), "doc_id")
+
+
 def _all_predicted(s, d):
     return langmodel.predict(lm_all(s, d), langmodel.probabilities(lm_all_counts(s, d)), "doc_id")
 
 
+@register("lm_predict_full", f"{_all_rows(_LM_SCORES)} SELECT doc_id, label || ' ' || text AS line FROM pr")
+def lm_predict_full(s, d):
+    return prediction_lines(lm_all(s, d), _all_predicted(s, d), "doc_id")
+
+
 @register("lm_predict_other_full", f"{_all_rows(_LM_SCORES)} SELECT doc_id, label FROM pr")
 def lm_predict_other_full(s, d):
     """The label of every whole text; texts without any known gram are labelled other."""
@@ -538,3 +564,11 @@ def lm_accuracy(s, d):
     rows = lm_rows(s, d)[1].select("doc_id", "lang").join(_predicted(s, d), "doc_id")
     hit = (F.col("lang") == F.col("label")).cast("int")
     return rows.groupBy("lang", "label").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
+@register("lm_accuracy_full", f"{_all_rows(_LM_SCORES)} SELECT lang, label, count(*) AS n, round(avg(CAST(lang = label AS INTEGER)), 6) AS accuracy FROM pr GROUP BY 1, 2")
+def lm_accuracy_full(s, d):
+    """Over the documents that the model has learned from; ``lm_accuracy`` has the held-out fold."""
+    rows = lm_all(s, d).select("doc_id", "lang").join(_all_predicted(s, d), "doc_id")
+    hit = (F.col("lang") == F.col("label")).cast("int")
+    return rows.groupBy("lang", "label").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))

@@ -367,6 +367,11 @@ def title_boost(s, d):
     return rank.full_ranking(rank.scores(lpn(s, d), zone_tf(s, d), rank.log_tf() * rank.title_factor()), K)
 
 
+@register("title_boost_full", f"{_LPN}, {_scores(_BOOST)} {_ranked()}")
+def title_boost_full(s, d):
+    return rank.full_ranking(rank.scores(lpn(s, d), zone_tf(s, d), rank.log_tf() * rank.title_factor()))
+
+
 @register("court_boost", f"""{_LPN}, {_scores('1 + log10(tf)').replace('s AS', 's0 AS', 1)},
 cw(court, weight) AS (VALUES {", ".join(f"('{c}', {w})" for c, w in COURT_WEIGHTS)}),
 s AS (SELECT query_id, doc_id, score * coalesce(CAST(weight AS DOUBLE), 1.0) AS score, first_pos FROM s0 JOIN documents d USING (doc_id) LEFT JOIN cw ON cw.court = d.source)
@@ -449,6 +454,22 @@ def rocchio_last_term(s, d):
     return rank.full_ranking(feedback.rerank_last_term(scored, moved, zone_tf(s, d)), K)
 
 
+@register("rocchio_rerank_full", f"{_FEEDBACK}, {_scores('1 + log10(tf)').replace('s AS', 's2 AS', 1).replace(' w ', ' w2 ')} {_ranked().replace('FROM s', 'FROM s2')}")
+def rocchio_rerank_full(s, d):
+    _, moved = _first_pass(s, d)
+    return rank.full_ranking(rank.scores(moved, zone_tf(s, d), rank.log_tf()))
+
+
+@register("rocchio_last_term_full", f"""{_FEEDBACK},
+lt AS (SELECT query_id, arg_max(term, first_pos) AS term, arg_max(wq, first_pos) AS wq FROM w2 GROUP BY 1),
+s2 AS (SELECT s.query_id, s.doc_id, CASE WHEN tf IS NULL THEN wq ELSE wq * (1 + log10(tf)) END AS score, s.first_pos
+  FROM s JOIN lt USING (query_id) LEFT JOIN p ON p.term = lt.term AND p.doc_id = s.doc_id)
+{_ranked().replace('FROM s', 'FROM s2')}""")
+def rocchio_last_term_full(s, d):
+    scored, moved = _first_pass(s, d)
+    return rank.full_ranking(feedback.rerank_last_term(scored, moved, zone_tf(s, d)))
+
+
 # --- language model ------------------------------------------------------------------------------
 
 

@@ -69,3 +69,12 @@ def test_language_model_of_all_documents(spark, tmp_path, name, size):
     folder = documents(tmp_path, LM_ROWS)
     got, expected = both(spark, folder, name)
     assert got == expected and len(got) == size
+
+
+@pytest.mark.parametrize("name", ["title_boost_full", "rocchio_rerank_full", "rocchio_last_term_full"])
+def test_rankings_hold_every_match(spark, tmp_path, name):
+    rows = [(i, "the thing\n" * (1 + i % 4) + "of " * (i % 5) + ("zzz " * i), "x") for i in range(1, 31)]
+    folder = documents(tmp_path, [*rows, (31, "que la", "y"), (32, "nothing here", "x")])
+    got, expected = both(spark, folder, name)
+    assert got == expected
+    assert {r[2] for r in got if r[0] == 1} == set(range(1, 31))

@@ -93,6 +93,13 @@ class CoverTree:
         return [i for i in range(last) if 2 * len(self.centres[i]) <= len(self.centres[last])] + [last]
 
 
+def live_nodes(live: np.ndarray, t: CoverTree, coarse: int, fine: int) -> np.ndarray:
+    """Which nodes of the finer level hold a point whose node of the coarser level is live."""
+    out = np.zeros(len(t.centres[fine]), bool)
+    out[t.nearest[fine][live[t.nearest[coarse]]]] = True
+    return out
+
+
 def near_nodes(p: np.ndarray, t: CoverTree, q: np.ndarray, u: CoverTree, reach: float) -> np.ndarray:
     """Dual traversal: which pairs of finest nodes may hold two points within ``reach``."""
     ls, ms = t.levels(), u.levels()
@@ -102,15 +109,15 @@ def near_nodes(p: np.ndarray, t: CoverTree, q: np.ndarray, u: CoverTree, reach:
         ca, cb = t.centres[a], u.centres[b]
         rows, cols = np.arange(len(ca)), np.arange(len(cb))
         if alive is not None:
-            pa_, pb_ = t.nearest[before[0]][ca], u.nearest[before[1]][cb]
-            rows, cols = np.flatnonzero(alive.any(1)[pa_]), np.flatnonzero(alive.any(0)[pb_])
+            rows = np.flatnonzero(live_nodes(alive.any(1), t, before[0], a))
+            cols = np.flatnonzero(live_nodes(alive.any(0), u, before[1], b))
         now = np.zeros((len(ca), len(cb)), bool)
         if len(rows) and len(cols):
             d = distances(p[ca[rows]], q[cb[cols]])
             near = d - t.spread[a][rows][:, None] - u.spread[b][cols][None, :] <= reach + SLACK
             now[np.ix_(rows, cols)] = near
-        # centres keep their nearest centre of the coarser level, not a fixed parent: the bound above
-        # alone decides, and coarse pairs only rule out nodes that have no live partner at all
+        # points move to nearer centres, nodes have no fixed parent: the bound above alone decides,
+        # and coarse pairs only rule out nodes whose points all had owners without a live partner
         alive, before = now, (a, b)
     return alive if alive is not None else np.zeros((0, 0), bool)
 

@@ -57,3 +57,22 @@ def test_traversal_keeps_every_near_pair():
     cx, cy, label = coverdedup.compare_blocks(x, np.ones(300, int), t, y, np.ones(200, int), u, False, 0.95)
     cos = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= 0.95
     assert (cx == cos.sum(1)).all() and (cy == cos.sum(0)).all()
+
+
+def test_traversal_keeps_points_that_changed_owner():
+    """In two dimensions finer centres take points from coarse nodes that are far from the centre's own."""
+    for seed in range(150):
+        a = np.random.default_rng(seed).uniform(0, 2 * np.pi, 600)
+        z = np.stack([np.cos(a), np.sin(a)], 1)
+        x, y = z[z[:, 1] >= 0], z[z[:, 1] < 0]
+        t, u = (coverdedup.CoverTree(coverdedup.unit(b)[1], 0.16) for b in (x, y))
+        cx, cy, _ = coverdedup.compare_blocks(x, np.ones(len(x), int), t, y, np.ones(len(y), int), u, False, 0.95)
+        cos = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= 0.95
+        assert (cx == cos.sum(1)).all() and (cy == cos.sum(0)).all(), seed
+
+
+def test_two_dimensions_in_blocks(spark):
+    a = np.random.default_rng(7).uniform(0, 2 * np.pi, 300)
+    table = [(i, [float(np.cos(x)), float(np.sin(x))]) for i, x in enumerate(a)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in coverdedup.near_duplicates(df, block=40).collect()) == brute(table)

@@ -7,6 +7,7 @@ could reach the threshold at all, and candidates are compared by their bigram se
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -44,6 +45,17 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: For passages: versions and variants that TEMPLATES lacks.
+MORE_TEMPLATES = [
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+]
+
 
 def _bigrams(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``bigrams`` (distinct word pairs in order) instead of the text column."""
@@ -141,3 +153,65 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("licences", F.lit("")).alias("licences"),
     )
+
+
+def scan_passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + MORE_TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, licence and score of the best match, licences (all, sorted), wherever in a text a notice stands.
+
+    Every run of words of a template's size range is compared, across sentences and lines. Only runs that
+    begin and end with a bigram of the template are: others score no more than the one inside them. A run
+    must hold the template's numbers, and of overlapping runs of different licences the best holds.
+    Rows, nulls and repeated ids are as in ``scan``.
+    """
+    spark = docs.sparkSession
+    docs = common.spread(docs.select("doc_id", "text"))
+    everyone = docs.select("doc_id").distinct()
+    known = []
+    for licence, text in templates:
+        w = re.findall(WORD, text.lower())
+        wanted = sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
+        m = len(wanted)
+        low, high = math.ceil(m * threshold / (2 - threshold) - 1e-9), math.floor(m * (2 - threshold) / threshold + 1e-9)
+        known.append((licence, wanted, sorted({x for x in w if x.isdigit()}), m, low, high))
+    known = spark.createDataFrame(known, "licence string, wanted array<string>, numbers array<string>, m int, low int, high int")
+    lowered = lower_ascii(F.col("text"))
+    told = (F.contains("lowered", F.lit(x)) for x in telling_words(templates, threshold))
+    found = docs.select("doc_id", "text", lowered.alias("lowered")).where(reduce(lambda a, b: a | b, told, F.lit(False)))
+    found = found.select("doc_id", F.xxhash64("text").alias("row"), F.regexp_extract_all("lowered", F.lit(WORD), F.lit(0)).alias("w"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    # the last word has no follower and its pair is null
+    found = found.select("doc_id", "row", F.filter(pairs, lambda p: p.isNotNull()).alias("b"))
+    shared = lambda c: F.size(F.array_intersect(c, "wanted"))
+    found = found.crossJoin(F.broadcast(known)).where(shared("b") >= F.col("low"))
+    starts = F.filter(F.transform("b", lambda p, i: F.when(F.array_contains("wanted", p), i)), lambda i: i.isNotNull())
+    found = found.withColumn("first", F.explode_outer(starts)).withColumn("near", F.slice("b", F.col("first") + 1, F.col("high")))
+    found = found.drop("b").where(shared("near") >= F.col("low"))
+    ends = F.filter(F.transform("near", lambda p, i: F.when(F.array_contains("wanted", p), i + 1)), lambda i: i >= F.col("low"))
+    found = found.withColumn("n", F.explode_outer(ends)).where("n is not null").withColumn("run", F.slice("near", 1, F.col("n")))
+    dice = 2 * shared("run") / (F.size(F.array_distinct("run")) + F.col("m"))
+    words = F.split(F.array_join("run", " "), " ")
+    found = found.where(F.size(F.array_except("numbers", words)) == 0).withColumn("dice", dice).where(F.col("dice") >= threshold)
+    # the best run of every first word, the shortest of equal ones
+    best = found.groupBy("doc_id", "row", "licence", "first").agg(
+        F.max(F.struct("dice", (-F.col("n")).alias("less"))).alias("x")
+    )
+    runs = best.groupBy("doc_id", "row").agg(
+        F.collect_list(F.struct("licence", "first", (F.col("first") - F.col("x.less")).alias("end"), F.col("x.dice").alias("dice"))).alias("runs")
+    )
+
+    def beaten(r: Column) -> Column:
+        return F.exists(
+            "runs", lambda o: (o["licence"] != r["licence"]) & (o["dice"] > r["dice"]) & (o["first"] < r["end"]) & (r["first"] < o["end"])
+        )
+
+    kept = runs.select("doc_id", F.explode_outer(F.filter("runs", lambda r: ~beaten(r))).alias("r")).where("r is not null")
+    best = kept.groupBy("doc_id").agg(
+        F.min(F.struct((-F.col("r.dice")).alias("less"), "r.licence")).alias("x"), F.array_sort(F.collect_set("r.licence")).alias("ids")
+    )
+    out = everyone.join(best, everyone["doc_id"].eqNullSafe(best["doc_id"]), "left")
+    return out.select(
+        everyone["doc_id"],
+        F.col("x.licence").alias("licence"),
+        F.coalesce(-F.col("x.less"), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_join("ids", ","), F.lit("")).alias("licences"),
+    )

@@ -28,6 +28,11 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_licence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices anywhere in a text, also beside other words of their line."""
+    return licences.scan_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -165,6 +170,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
     "op3_licence_scan": op3_licence_scan,
+    "op3_licence_passages": op3_licence_passages,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_cover_tree": op6_cover_tree,

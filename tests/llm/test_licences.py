@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import re
 
 from termforge.llm import licences
@@ -43,3 +45,44 @@ def test_against_brute_force(spark):
         expected[i] = (a, b, round(c, 9), d)
     assert got == expected
     assert licences.scan(df.limit(0)).collect() == []
+
+
+def test_passages(spark):
+    mit = licences.TEMPLATES[15][1]
+    rows = [
+        (1, "Copyright 2024 Acme Corp. All rights reserved."),
+        (2, "Released under the MIT License. See LICENSE for details."),
+        (3, "words of prose " * 300 + mit.replace("person", "person at all") + " and more prose" * 300),
+        (4, "This work is licensed under the GNU General Public License, version 2."),
+        (5, "It is\nlicensed under the GNU Lesser General Public\nLicense, version 2.1, as said"),
+        (6, "This work is licensed under the GNU General Public License, version 9."),
+        (7, "See: licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0."),
+        (8, None), (9, ""), (10, "license " * 3000), (None, "All rights reserved."), (1, "so it is released under the BSD license here"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_passages(df).collect()}
+    assert {i: r.licences for i, r in got.items()} == {
+        1: "All-Rights-Reserved,BSD", 2: "MIT", 3: "MIT", 4: "GPL-2.0", 5: "LGPL-2.1", 6: "", 7: "Apache-2.0,CC-BY-NC-4.0",
+        8: "", 9: "", 10: "", None: "All-Rights-Reserved",
+    }
+    assert got[2].score == got[4].score == 1 and got[8].licence is None and got[8].score == 0
+    assert 0.75 <= got[3].score < 1 and got[1].licence == "All-Rights-Reserved"
+    assert licences.scan_passages(df.limit(0)).collect() == []
+
+
+def test_passages_against_every_run(spark):
+    rng = random.Random(5)
+    templates = [("A", "one two three four version 2"), ("B", "six seven eight one two")]
+    texts = [" ".join(rng.choices("one two three four version 2 six seven eight".split(), k=rng.randrange(1, 9)) + rng.choice([[], "one two three four version 2".split()]) + rng.choices(["six", "x", "y"], k=3)) for _ in range(60)]
+    got = {r.doc_id: round(r.score, 9) for r in licences.scan_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    for i, text in enumerate(texts):
+        w, best = text.split(), 0.0
+        for name, t in templates:
+            m = len(pairs(t))
+            for a in range(len(w)):
+                for b in range(a + 2, min(len(w), a + 1 + math.floor(m * 5 / 3)) + 1):
+                    run = pairs(" ".join(w[a:b]))
+                    dice = 2 * len(run & pairs(t)) / (len(run) + m)
+                    if dice >= 0.75 and (name == "B" or "2" in w[a:b]):
+                        best = max(best, dice)
+        assert got[i] == round(best, 9), text

@@ -6,6 +6,7 @@ have low rank and are summed in linear time: the square of the sum less the sum
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -49,7 +50,7 @@ def structure(text: str, words: list[str], counts: Counter) -> list[float]:
         run = run + 1 if a == b else 0
         repeats += a == b
         longest = max(longest, run)
-    upper = sum(map(str.isupper, text)) if chars < 2000 else len(text) - len(text.translate(_NO_CAPITALS))
+    upper = chars - len(text.translate(_NO_CAPITALS))
     marks = {c: k for c in SYMBOLS if (k := text.count(c))}
     symbols = sum(marks.values())
     digits = sum(text.count(c) for c in "0123456789")
@@ -74,7 +75,7 @@ def structure(text: str, words: list[str], counts: Counter) -> list[float]:
     ]
 
 
-_NO_CAPITALS = {i: None for i in range(0x250) if chr(i).isupper()}
+_NO_CAPITALS = {i: None for i in range(sys.maxunicode + 1) if chr(i).isupper()}
 
 
 def features(text: str | None, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -117,3 +117,10 @@ def test_sum_of_squares_identity():
     x = {**{int(b): quality.WORD_WEIGHT / np.sqrt(3) for b in buckets}, **{quality.BUCKETS + i: v for i, v in enumerate(stats)}}
     pairs = sum(m.factors[a] @ m.factors[b] * x[a] * x[b] for a in x for b in x if a < b)
     assert m.raw(buckets, stats) == pytest.approx(sum(m.linear[a] * v for a, v in x.items()) + pairs)
+
+
+@pytest.mark.parametrize("word", ["Привет ", "ΑΒγ ", "Ếm ", "Abc "])
+def test_capitals_count_at_every_length(word):
+    at = quality.STATS.index("capitals")
+    share = [quality.features(word * n, {})[1][at] for n in (10, 5000)]
+    assert share[0] == share[1] == sum(map(str.isupper, word)) / len(word)

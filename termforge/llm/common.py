@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,15 +68,12 @@ def class_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     ``rows`` has doc_id and ``label``. Only ids and labels take part, so the result is small
     (``per_class`` times the number of classes) and may be broadcast.
     """
-    values = [r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(256).collect()]
-    parts = [
-        rows.where(F.col(label) == F.lit(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in values
-    ]
-    if not parts:
-        return rows.where(F.lit(False))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    out = rows.where(F.col(label).isNotNull())
+    for keys in ([F.col(label), salt], [F.col(label)]):  # a frequent label's rows are cut in 64 parts first
+        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_hash)))
+        out = out.where(F.col("_rank") <= per_class).drop("_rank")
     return out
 
 

@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from termforge.llm import langid, quality, toxicity
+from termforge.llm import common, langid, quality, toxicity
 
 
 def held_out(i, folds, rest):
@@ -124,3 +125,20 @@ def test_capitals_count_at_every_length(word):
     at = quality.STATS.index("capitals")
     share = [quality.features(word * n, {})[1][at] for n in (10, 5000)]
     assert share[0] == share[1] == sum(map(str.isupper, word)) / len(word)
+
+
+def test_sample_holds_every_label(spark):
+    rows = [(i, f"l{i % 300:03}") for i in range(1500)] + [(None, "l000"), (2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = {}
+    for r in common.class_sample(df, "lang", 3).collect():
+        got.setdefault(r.lang, []).append(r.doc_id)
+    assert len(got) == 300 and all(len(x) == 3 for x in got.values())
+    assert set(got["l007"]) == {r.doc_id for r in df.where("lang = 'l007'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(3).collect()}
+
+
+def test_languages_beyond_256_are_learned(spark):
+    docs = [(i, f"{chr(0x4E00 + i // 8)}{chr(0x4E00 + i // 8)} " * 4, f"l{i // 8:03}") for i in range(8 * 260)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = langid.identify(df, langid.fit(df, longest=1)).where("doc_id >= 8 * 257").collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(i, x) for i, _, x in docs[8 * 257 :]}

@@ -27,6 +27,9 @@ FULL_SALTS = 16384
 #: The vocabulary's pre-tokenisation with possessive quantifiers: the same matches, no backtracking.
 PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+# The added tokens of byte_bpe_50k.json, found in a text before it is cut into words.
+SPECIAL = {"<|endoftext|>": 50256}
+
 PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -55,7 +58,7 @@ def encoder(ranks_path: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bpe", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def default_ranks_path() -> str:
@@ -66,7 +69,7 @@ def default_ranks_path() -> str:
 
 
 def encode(enc, text: str | None) -> np.ndarray:
-    ids = enc.encode_to_numpy(text) if text else np.empty(0, np.uint32)
+    ids = enc.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
     return np.append(ids.astype("<u4", copy=False), np.uint32(END_ID))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,22 +57,55 @@ BIAS, LENGTH_WEIGHT, LINK_WEIGHT, SENTENCE_WEIGHT = -1.0, 0.6, -4.0, 0.5
 #: Smoothness: neighbours in reading order (less with tree distance, and less between unlike elements),
 #: and the block before of the same kind in the same container.
 NEIGHBOUR, UNLIKE, SIBLING = 1.0, 0.25, 0.8
+#: Costs are rounded to this fraction.
+UNIT = 1 << 30
+
+
+class Element:
+    """An open element: its kind and what the chain of elements down to it says about a block in it."""
+
+    __slots__ = ("serial", "tag", "parent", "depth", "leaning", "inside", "leaf")
+
+    def __init__(self, serial: int, tag: str, names: str, parent: Element | None):
+        self.serial, self.tag, self.parent = serial, tag, parent
+        self.depth = parent.depth + 1 if parent else 1
+        above = parent.leaning if parent else 0.0
+        self.inside = parent.inside if parent else False
+        w = ELEMENT_WEIGHT.get(tag, 0.0)
+        if tag in ("article", "main"):
+            w, self.inside = (0.0 if self.inside else w), True
+        elif tag == "header" and self.inside:
+            w = -0.5
+        if names and tag not in ("body", "html"):
+            if BAD_NAMES.search(names):
+                w += BAD_NAME_WEIGHT
+            elif GOOD_NAMES.search(names):
+                w += GOOD_NAME_WEIGHT
+        self.leaning = above + w
+        self.leaf = LEAF_WEIGHT.get(tag, parent.leaf if parent else 0.0)
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
-    path: tuple[int, ...]  # serial numbers of the enclosing elements
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    element: Element | None
+
+    @property
+    def kind(self) -> tuple[int, str]:
+        """The enclosing element's own kind, and the element around it."""
+        e = self.element
+        return (e.parent.serial if e.parent else 0, e.tag) if e else (0, "")
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks in page order. Unclosed and cut-off markup is tolerated; cut-off tags are dropped."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[int, str, str]] = []
+    stack: list[Element] = []
+    #: open elements by name: of the page, and of each container up to the next one
+    opened: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]
     texts: list[str] = []
     linked = serial = hidden = links = 0
     at = 0
@@ -83,7 +116,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if texts:
             joined = " ".join("".join(texts).split())
             if joined:
-                out.append(Block(joined, linked, *zip(*stack)) if stack else Block(joined, linked, (), (), ()))
+                out.append(Block(joined, linked, stack[-1] if stack else None))
             texts.clear()
         linked = 0
 
@@ -97,7 +130,12 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def pop() -> None:
         nonlocal hidden, links
-        _, tag, _ = stack.pop()
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        if tag in CONTAINERS:
+            scopes.pop()
+        else:
+            scopes[-1][tag] -= 1
         hidden -= tag in UNSEEN
         links -= tag == "a"
 
@@ -118,23 +156,17 @@ def blocks_of(page: str | None) -> list[Block]:
         elif tag == "br" and not hidden:
             texts.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][1] == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][1] in CONTAINERS and tag not in BLOCKS:
-                    break
+            # an inline end tag closes nothing beyond its container; nothing open is looked for in vain
+            if (opened if tag in BLOCKS else scopes[-1])[tag]:
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             continue
         if tag in VOID:
             continue
-        if tag in CLOSED_BY:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][1] in CLOSED_BY[tag]:
-                    while len(stack) > i:
-                        pop()
-                if i < len(stack) and stack[i][1] in CONTAINERS:
-                    break
+        for ended in CLOSED_BY.get(tag, ()):
+            while scopes[-1][ended]:
+                pop()
         attributes = m.group(3) or m.group(6) or ""
         if attributes.endswith("/") and tag in ("svg", "iframe"):
             continue
@@ -147,10 +179,17 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag == "body":
             stack.clear()
+            opened.clear()
+            scopes = [Counter()]
             hidden = links = 0
         serial += 1
         label = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if attributes else ""
-        stack.append((serial, tag, label))
+        stack.append(Element(serial, tag, label, stack[-1] if stack else None))
+        opened[tag] += 1
+        if tag in CONTAINERS:
+            scopes.append(Counter())
+        else:
+            scopes[-1][tag] += 1
         hidden += tag in UNSEEN
         links += tag == "a"
     flush()
@@ -163,57 +202,118 @@ def leaning(block: Block) -> float:
     z = BIAS + LENGTH_WEIGHT * math.log1p(size / 40) + LINK_WEIGHT * min(1.0, block.linked / size)
     if block.text[-1] in ".!?…":
         z += SENTENCE_WEIGHT
-    inside = False
-    for tag, name in zip(block.tags, block.names):
-        w = ELEMENT_WEIGHT.get(tag, 0.0)
-        if tag in ("article", "main"):
-            w, inside = (0.0 if inside else w), True
-        elif tag == "header" and inside:
-            w = -0.5
-        z += w
-        if name and tag not in ("body", "html"):
-            if BAD_NAMES.search(name):
-                z += BAD_NAME_WEIGHT
-            elif GOOD_NAMES.search(name):
-                z += GOOD_NAME_WEIGHT
-    for tag in reversed(block.tags):
-        if tag in LEAF_WEIGHT:
-            z += LEAF_WEIGHT[tag]
-            break
-    return z
+    return z + (block.element.leaning + block.element.leaf if block.element else 0.0)
 
 
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels (True: content) of least cost: |score| for going against it, the weight for each cut edge."""
+    """Labels (True: content) of least cost: |score| for going against it, the weight for each cut edge.
+
+    Of equal cuts the one with the least content. Blocks whose own score outweighs all their edges are
+    settled first, and their edges become scores of their neighbours; the rest is a maximum flow by
+    push-relabel, where the excess of boilerplate scores is sent to the content terminal. Costs are
+    integers of UNIT, so that sums are exact.
+    """
     n = len(scores)
-    source, sink = n, n + 1
-    graph: list[dict[int, float]] = [{} for _ in range(n + 2)]
-    for i, z in enumerate(scores):
-        a, b, cap = (source, i, z) if z > 0 else (i, sink, -z)
-        graph[a][b] = graph[a].get(b, 0.0) + cap
-        graph[b].setdefault(a, 0.0)
+    z = [round(x * UNIT) for x in scores]
+    near: list[dict[int, int]] = [{} for _ in range(n)]
     for i, j, w in edges:
-        graph[i][j] = graph[i].get(j, 0.0) + w
-        graph[j][i] = graph[j].get(i, 0.0) + w
+        w = round(w * UNIT)
+        near[i][j] = near[i].get(j, 0) + w
+        near[j][i] = near[j].get(i, 0) + w
+    tied = [sum(x.values()) for x in near]
+    label: list[bool | None] = [None] * n
+    todo = [i for i in range(n) if z[i] > tied[i] or -z[i] >= tied[i]]
+    while todo:
+        i = todo.pop()
+        if label[i] is not None:
+            continue
+        label[i] = z[i] > tied[i]
+        for j, w in near[i].items():
+            if label[j] is None:
+                z[j] += w if label[i] else -w
+                tied[j] -= w
+                if z[j] > tied[j] or -z[j] >= tied[j]:
+                    todo.append(j)
+    left = [i for i in range(n) if label[i] is None]
+    if left:
+        open_near = {i: {j: w for j, w in near[i].items() if label[j] is None} for i in left}
+        reach = _reaching(left, {i: z[i] for i in left}, open_near)
+        for i in left:
+            label[i] = i in reach
+    return [bool(x) for x in label]
+
+
+def _reaching(nodes: list[int], z: dict[int, int], near: dict[int, dict[int, int]]) -> set[int]:
+    """Nodes from which the content terminal can still be reached after a maximum flow to it.
+
+    ``near`` holds the capacities in both directions and becomes the residual ones. First-in, first-out
+    push-relabel; heights are set anew, as exact distances to the terminal, after every so much work.
+    """
+    room = {i: z[i] for i in nodes if z[i] > 0}
+    excess = {i: -z[i] for i in nodes if z[i] < 0}
+    far = len(nodes) + 2
+
+    def distances() -> dict[int, int]:
+        height = {i: 1 for i, c in room.items() if c > 0}
+        queue = deque(height)
+        while queue:
+            j = queue.popleft()
+            for i in near[j]:
+                if i not in height and near[i][j] > 0:
+                    height[i] = height[j] + 1
+                    queue.append(i)
+        return height
+
     while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
-            a = queue.popleft()
-            for b, cap in graph[a].items():
-                if cap > 1e-9 and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if sink not in came:
-            return [i in came for i in range(n)]
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(graph[a][b] for a, b in path)
-        for a, b in path:
-            graph[a][b] -= flow
-            graph[b][a] += flow
+        height = distances()
+        queue = deque(sorted((i for i, e in excess.items() if e > 0 and i in height), key=lambda i: -height[i]))
+        if not queue:
+            return set(height)
+        waiting, work = set(queue), 0
+        while queue and work <= 4 * far:
+            i = queue.popleft()
+            waiting.discard(i)
+            e = excess[i]
+            while e > 0:
+                level = height.get(i, far)
+                if level >= far:
+                    break  # cannot reach the terminal any more: its excess stays
+                if level == 1 and room.get(i, 0) > 0:
+                    sent = min(e, room[i])
+                    room[i] -= sent
+                    e -= sent
+                mine, lowest = near[i], far
+                for j, c in mine.items():
+                    if c <= 0:
+                        continue
+                    hj = height.get(j, far)
+                    if e > 0 and hj == level - 1:
+                        sent = e if e < c else c
+                        mine[j] = c = c - sent
+                        near[j][i] += sent
+                        e -= sent
+                        excess[j] = excess.get(j, 0) + sent
+                        if j not in waiting:
+                            waiting.add(j)
+                            queue.append(j)
+                    if c > 0 and hj < lowest:
+                        lowest = hj
+                work += len(mine) + 1
+                if e > 0:
+                    height[i] = 1 if room.get(i, 0) > 0 else min(far, lowest + 1)
+            excess[i] = e
+
+
+def _apart(a: Element | None, b: Element | None) -> int:
+    """Steps between two elements of the tree."""
+    steps = 0
+    while a is not b:
+        steps += 1
+        if b is None or (a is not None and a.depth >= b.depth):
+            a = a.parent
+        else:
+            b = b.parent
+    return steps
 
 
 def main_text(page: str | None) -> str:
@@ -223,15 +323,9 @@ def main_text(page: str | None) -> str:
         return ""
     edges, last_in = [], {}
     for i, b in enumerate(blocks):
-        kind = (b.path[-2] if len(b.path) > 1 else 0, b.tags[-1] if b.tags else "")
+        kind = b.kind
         if i:
-            a = blocks[i - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            apart = len(a.path) + len(b.path) - 2 * shared
+            apart = _apart(blocks[i - 1].element, b.element)
             edges.append((i - 1, i, (NEIGHBOUR if last_in.get(kind) == i - 1 else UNLIKE) / (1 + apart)))
         if kind in last_in:
             edges.append((last_in[kind], i, SIBLING))
@@ -244,7 +338,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null or empty html gives an empty text. Rows are judged one by one: repeated rows, null ids and
-    null urls are ordinary. Other columns are ignored.
+    null urls are ordinary. Ids are whole numbers, or text of whole numbers. Other columns, whatever
+    their names, are ignored. Long pages and deep nesting take time in proportion to the page; only the
+    flow among blocks that their neighbours could outweigh may take more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -44,6 +45,21 @@ def test_minimum_cut_is_minimal():
         assert cost(htmlmain.minimum_cut(z, edges)) == pytest.approx(min(cost(x) for x in itertools.product([False, True], repeat=n)))
 
 
+def test_long_and_deep_pages():
+    n, said = 20_000, "This is a sentence of some length. "
+    pages = [
+        "<div>" + "".join(f"<p>{said * (i % 3)}word</p><a href=x>link {i}</a>" for i in range(n // 2)) + "</div>",
+        "<div>x " * n, "<p>" + "<i>" * n + "</b>x" * n, "<table>" + "<i>" * n + "<p>x" * n, "<a '" * n + ">",
+    ]
+    began = time.perf_counter()
+    texts = [htmlmain.main_text(p) for p in pages]
+    chain = [100.0 if i == 0 else -0.001 for i in range(n)]
+    kept = htmlmain.minimum_cut(chain, [(i - k, i, w) for k, w in ((1, 1 / 3), (2, 0.8)) for i in range(k, n)])
+    assert time.perf_counter() - began < 20
+    assert texts[0].count(said.strip()) == 2 * len([i for i in range(n // 2) if i % 3 == 2]) + len([i for i in range(n // 2) if i % 3 == 1])
+    assert sum(kept) == 1
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", None), (1, "u", PAGE, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

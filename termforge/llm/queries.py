@@ -88,10 +88,12 @@ up AS (SELECT doc_id, unit, x || ' ' || lead(x) OVER (PARTITION BY doc_id, unit
   FROM (SELECT doc_id, unit, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM uw)),
 ub AS (SELECT doc_id, unit, list(DISTINCT p) AS b FROM up WHERE p IS NOT NULL GROUP BY 1, 2),
 tw AS (SELECT licence, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w FROM t),
-tb AS (SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
+tb AS (SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b,
+  list_filter(w, lambda x: regexp_full_match(x, '[0-9]+')) AS numbers FROM tw),
 m AS (
   SELECT doc_id, licence, list_sort(ub.b) AS unit, 2.0 * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) AS dice
-  FROM ub JOIN tb ON len(ub.b) > 0 AND 2 * least(len(ub.b), len(tb.b)) >= 0.75 * (len(ub.b) + len(tb.b)) - 1e-6),
+  FROM ub JOIN tb ON len(ub.b) > 0 AND 2 * least(len(ub.b), len(tb.b)) >= 0.75 * (len(ub.b) + len(tb.b)) - 1e-6
+    JOIN uw USING (doc_id, unit) WHERE len(list_filter(tb.numbers, lambda x: NOT list_contains(uw.w, x))) = 0),
 k AS (SELECT * FROM m WHERE dice >= 0.75),
 g AS (
   SELECT doc_id, count(DISTINCT unit) AS n_units, max(dice) AS score FROM k GROUP BY 1),
@@ -102,6 +104,32 @@ SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, licence, CAST(
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
+OP3_PASSAGES_SQL = f"""
+WITH t(licence, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(t)})" for a, t in licences.TEMPLATES)}),
+tw AS (SELECT licence, row_number() OVER () AS tid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w FROM t),
+tb AS (SELECT licence, tid, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS wanted,
+  list_filter(w, lambda x: regexp_full_match(x, '[0-9]+')) AS numbers FROM tw),
+tm AS (SELECT *, len(wanted) AS m, ceil(len(wanted) * 0.6 - 1e-9) AS low, floor(len(wanted) / 0.6 + 1e-9) AS high FROM tb),
+dw AS (SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w FROM documents),
+dp AS (SELECT doc_id, text, i, x || ' ' || lead(x) OVER (PARTITION BY doc_id, text ORDER BY i) AS p
+  FROM (SELECT doc_id, text, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM dw)),
+tp AS (SELECT tid, unnest(wanted) AS p FROM tm),
+marks AS (SELECT DISTINCT doc_id, text, tid, i FROM dp JOIN tp USING (p)),
+ends AS (SELECT a.doc_id, a.text, a.tid, a.i AS a, b.i AS b FROM marks a JOIN marks b ON a.doc_id = b.doc_id AND a.text = b.text AND a.tid = b.tid
+  JOIN tm ON tm.tid = a.tid AND b.i - a.i + 1 BETWEEN low AND high),
+runs AS (SELECT doc_id, text, licence, wanted, numbers, m, a, b, w[a:b + 1] AS w,
+  list_transform(range(a, b + 1), lambda i: w[i] || ' ' || w[i + 1]) AS run FROM ends JOIN dw USING (doc_id, text) JOIN tm USING (tid)),
+scored AS (SELECT doc_id, text, licence, a, b, 2.0 * len(list_intersect(list_distinct(run), wanted)) / (len(list_distinct(run)) + m) AS dice FROM runs
+  WHERE len(list_filter(numbers, lambda x: NOT list_contains(w, x))) = 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, licence, a ORDER BY dice DESC, b) AS r FROM scored WHERE dice >= 0.75) WHERE r = 1),
+kept AS (SELECT * FROM best x WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.doc_id = x.doc_id AND y.text = x.text AND y.licence <> x.licence
+  AND y.dice > x.dice AND y.a <= x.b AND x.a <= y.b)),
+top AS (SELECT doc_id, licence, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence) AS r2 FROM kept) WHERE r2 = 1),
+s AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM (SELECT DISTINCT doc_id, licence FROM kept) GROUP BY 1)
+SELECT d.doc_id, licence, CAST(coalesce(dice, 0) AS DOUBLE) AS score, coalesce(licences, '') AS licences
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN top USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
 OP5_SQL = """
 WITH w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -182,6 +210,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_licence_scan": OP3_SQL,
+    "op3_licence_passages": OP3_PASSAGES_SQL,
     "op5_decontaminate": OP5_SQL,
     "op6_cover_tree": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,

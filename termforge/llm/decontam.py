@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 A window is ``span`` consecutive words of a benchmark item (the whole item where it is shorter).
-Of both sides, the smallest hash of every run of ``span - k + 1`` consecutive k-grams is kept, so
-that any ``span`` equal words share a kept fingerprint at the same offset. Equal fingerprints give
-alignments (item, distance of positions); each alignment is extended word by word, and only runs
-that hold a whole window count. Hash collisions can therefore add work but no hits.
+Of both sides, the smallest hash among the k-grams of every window is kept, so that any window that
+both hold has a kept fingerprint in common. A document's fingerprints that an item shares are
+extended to the words around them; of these, runs that equal a window of an item, word by word, are
+hits. Hash collisions can therefore add work but no hits, and it does not matter which of equal
+hashes is kept. Texts are read once and never shuffled: the words around a fingerprint go along.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from termforge.llm import common
 
 SPAN = 10
 GRAM = 6
-#: Fingerprint tables up to this many rows are broadcast (32 bytes a row); larger ones are shuffled.
+#: Fingerprint tables up to this many rows are broadcast (32 bytes a row), tables of windows (of up to
+#: some hundred bytes) up to a quarter of it; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,148 +39,126 @@ def _starts(n: Column, width: int) -> Column:
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def fingerprints(df: DataFrame, gram: int, run: int, counted: bool = False) -> DataFrame:
-    """Winnowed k-grams of ``words`` as rows (fp, pos): the leftmost smallest of every ``run`` grams.
+def fingerprints(df: DataFrame, window: int, gram: int) -> DataFrame:
+    """``df`` with array ``g`` of (fp, pos): the leftmost smallest k-gram of every window of ``window`` words.
 
-    Each step is a projection of its own and the explode an outer one: a filter that the optimizer
-    infers for an inner explode would be pushed below and compute the arrays again for every element.
-    ``counted`` adds a row with a null fp and the number of words as pos to every input row.
+    Reads column ``h``, the hashes of the words. Each step is a projection of its own, since the optimizer
+    would otherwise compute inner arrays once for every element of outer ones; elements are read by
+    position, since slices inside a lambda would copy the whole array every time.
     """
-    # elements are read by position: slices inside a lambda would copy the whole array every time
-    keep = [c for c in df.columns if c != "words"]
-    kind = "array<struct<fp:bigint,pos:int>>"
-    grams = df.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).select(
-        *keep,
-        F.transform(
-            _starts(F.size("h"), gram),
-            lambda i: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(gram))).alias("fp"), i.alias("pos")),
-        ).alias("g"),
-        F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.size("h").alias("pos"))).alias("total"),
+    run = window - gram + 1
+    grams = F.transform(
+        _starts(F.size("h"), gram),
+        lambda i: F.struct(F.xxhash64(F.lit(window), *(F.get("h", i + j) for j in range(gram))).alias("fp"), i.alias("pos")),
     )
-    if run > 1:
-        grams = grams.select(
-            *keep,
-            "total",
-            F.transform(
-                _starts(F.size("g"), run), lambda i: F.least(*(F.get("g", i + j) for j in range(run)))
-            ).alias("m"),
-        ).select(
-            *keep,
-            "total",  # a minimum stays for consecutive windows
-            F.filter("m", lambda x, i: (i == 0) | (x["pos"] != F.get("m", i - 1)["pos"])).alias("g"),
-        )
-    rows = F.concat(F.col("total").cast(kind), F.col("g").cast(kind)) if counted else F.col("g")
-    return grams.select(*keep, F.explode_outer(rows).alias("g")).select(*keep, "g.fp", "g.pos")
+    df = df.withColumn("g", grams)
+    if run == 1:
+        return df
+    least = F.transform(_starts(F.size("g"), run), lambda i: F.least(*(F.get("g", i + j) for j in range(run))))
+    # a minimum stays for consecutive windows
+    return df.withColumn("m", least).withColumn(
+        "g", F.filter("m", lambda x, i: (i == 0) | (x["pos"] != F.get("m", i - 1)["pos"]))
+    ).drop("m")
+
+
+def _around(size: int, gram: int):
+    """Of a fingerprint: itself with the words of all windows that it may lie in."""
+
+    def words(x: Column) -> Column:
+        first = F.greatest(x["pos"] - (size - gram), F.lit(0))
+        near = (F.get("words", first + j) for j in range(2 * size - gram))  # beyond the end: null, and left out
+        return F.struct(x["fp"], F.lit(size), first, F.concat_ws(" ", *near))
+
+    return words
+
+
+def document_prints(docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """doc_id, th, fp, size, first, around of every fingerprint, and of every document a null fp with its words' number as first.
+
+    ``sizes`` has the gram of each window size. ``around`` holds the words of all windows that the
+    fingerprint may lie in, ``first`` the position of the first of them.
+    """
+    kind = "array<struct<fp:bigint,size:int,first:int,around:string>>"
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
+    rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("all", F.array(F.struct(F.lit(None).cast("long"), F.lit(0), F.size("h"), F.lit(""))).cast(kind))
+    for size, gram in sizes.items():
+        found = F.transform("g", _around(size, gram)).cast(kind)
+        rows = fingerprints(rows, size, gram).withColumn("found", found).withColumn("all", F.concat("all", "found"))
+    # an outer explode: a filter that the optimizer infers for an inner one would compute the arrays again
+    return rows.select("doc_id", "th", F.explode_outer("all").alias("g")).select("doc_id", "th", "g.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """One row per document: which of its words lie in an occurrence of a benchmark window.
 
-    ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored.
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and text_hash (xxhash64 of the
-    text, which with the id names a row).
+    ``docs`` needs doc_id and text, ``items`` item_id and text; ids may be of any type, and other
+    columns, whatever their names, are ignored. Returns doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated, and text_hash (xxhash64 of the text, which with the id names a row).
 
     Null and empty texts have no words and no hits. A row with a null id is an ordinary row.
     Repeated documents each get their row; repeated items count once. Without items, or without
-    documents, nothing is hit.
+    documents, nothing is hit. Work and rows grow with the length of a text, also where one word is
+    repeated throughout text and item.
     """
     items = (
-        items.select(F.col("item_id"), words_of(F.col("text")).alias("item_words"))
-        .where(F.size("item_words") > 0)
+        items.select(F.col("item_id").cast("string"), words_of(F.col("text")).alias("words"))
+        .where(F.size("words") > 0)
         .distinct()
-        .withColumn("item", F.xxhash64(F.col("item_id").cast("string"), "item_words"))
+        .withColumn("size", F.least(F.size("words"), F.lit(span)))
     )
     items = common.written(items, "items")
+    # lengths of items with less than a window: at most span - 1 values
+    short = [r[0] for r in items.where(F.col("size") < span).select("size").distinct().collect()]
+    sizes = {n: min(n, gram) for n in [span, *sorted(short)]}
+    prints = windows = None
+    for size, k in sizes.items():
+        own = items.where(F.col("size") == size)
+        fps = fingerprints(own.select(F.transform("words", lambda w: F.xxhash64(w)).alias("h")), size, k)
+        fps = fps.select(F.explode_outer("g.fp").alias("fp"))
+        runs = F.transform(_starts(F.size("words"), size), lambda i: F.concat_ws(" ", *(F.get("words", i + j) for j in range(size))))
+        runs = own.select("item_id", F.explode_outer(runs).alias("window"))
+        prints, windows = (fps, runs) if prints is None else (prints.unionAll(fps), windows.unionAll(runs))
+    prints = common.written(prints.where("fp is not null").distinct(), "prints")
+    windows = common.written(windows.distinct(), "windows")
+
     docs = common.spread(docs.select("doc_id", "text"))
-    doc_words = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
-
-    # lengths of items with less than a window, at most span - 1 values
-    short = [r[0] for r in items.where(F.size("item_words") < span).select(F.size("item_words")).distinct().collect()]
-    counts = found = None
-    for size, k in [(None, gram), *((n, n) for n in sorted(short))]:
-        run = span - gram + 1 if size is None else 1
-        of_size = F.size("item_words") >= span if size is None else F.size("item_words") == size
-        marks = fingerprints(items.where(of_size).select("item", F.col("item_words").alias("words")), k, run)
-        marks = marks.where("fp is not null").withColumnRenamed("pos", "item_pos")
-        if marks.count() <= BROADCAST_ROWS:
-            marks = F.broadcast(marks)
-        prints = fingerprints(doc_words, k, run, counted=size is None)
-        hits = prints.join(marks, "fp", "left" if size is None else "inner")
-        if size is None:  # one pass gives the numbers of words and the hits
-            hits = hits.where("item is not null or fp is null")
-            hits = common.written(hits.select("doc_id", "th", "fp", "pos", "item", "item_pos"), "hits")
-            counts = hits.where("fp is null and item is null").select("doc_id", "th", F.col("pos").cast("long").alias("n_words"))
-            hits = hits.where("item is not null")
-        hits = hits.select("doc_id", "th", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        found = hits if found is None else found.unionAll(hits)
-
-    aligned = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("item", "shift")).alias("at"))
-    # no more than SPAN-word runs of one document: bounded by its length
-    aligned = common.written(aligned, "aligned")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["th"].eqNullSafe(b["th"])
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    texts = texts.join(aligned, same(texts, aligned)).select(texts["doc_id"], texts["th"], "text", "at")
-    segments = (
-        texts.dropDuplicates(["doc_id", "th"])
-        .select("doc_id", "th", words_of(F.col("text")).alias("words"), "at")
-        .select("doc_id", "th", "words", F.explode_outer("at").alias("a"))
-        .select("doc_id", "th", "words", "a.item", "a.shift")
-    )
-    small = items.select("item", "item_id", "item_words")
-    if items.count() <= BROADCAST_ROWS // 20:
-        small = F.broadcast(small)
-    else:  # words go along only where they must be shuffled: the aligned part of each document
-        segments = segments.repartition("item")
-    equal = (
-        segments.join(small, "item")
-        .select(
-            "doc_id",
-            "th",
-            "item_id",
-            F.greatest("shift", F.lit(0)).alias("from"),
-            F.least(F.lit(span), F.size("item_words")).alias("window"),
-            F.zip_with(
-                F.slice("words", F.greatest("shift", F.lit(0)) + 1, F.size("item_words")),
-                F.slice("item_words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("item_words")),
-                lambda a, b: F.coalesce(a == b, F.lit(False)),
-            ).alias("eq"),
-        )
-        .select(
-            "doc_id",
-            "th",
-            "item_id",
-            "window",
-            "from",
-            F.filter(
-                F.when(
-                    F.size("eq") >= F.col("window"), F.sequence(F.lit(0), F.size("eq") - F.col("window"))
-                ).otherwise(F.array().cast("array<int>")),
-                lambda i: F.forall(F.sequence(F.lit(0), F.col("window") - 1), lambda j: F.get("eq", i + j)),
-            ).alias("starts"),
-        )
+    found, known = document_prints(docs, sizes), prints.select("fp", F.lit(True).alias("known"))
+    if prints.count() <= BROADCAST_ROWS:  # one pass gives the numbers of words and the hits
+        found = found.join(F.broadcast(known), "fp", "left").where("known or fp is null")
+        found = common.written(found.drop("known"), "hits")
+        counts = found.where("fp is null").select("doc_id", "th", F.col("first").cast("long").alias("n_words"))
+        found = found.where("fp is not null")
+    else:
+        counts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+        found = common.written(found.where("fp is not null").join(known, "fp", "left_semi"), "hits")
+
+    # every run of a window's size around a shared fingerprint, and the position where it begins
+    found = found.select("doc_id", "th", "size", "first", F.split("around", " ").alias("w"))
+    runs = F.transform(
+        F.when(F.size("w") >= F.col("size"), F.sequence(F.lit(0), F.size("w") - F.col("size"))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct((F.col("first") + i).alias("at"), F.array_join(F.slice("w", i + 1, F.col("size")), " ").alias("window")),
     )
-    hit = (
-        equal.select(
-            "doc_id",
-            "th",
-            F.when(F.size("starts") > 0, F.col("item_id").cast("string")).alias("item_id"),
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "starts",
-                        lambda i: F.sequence(F.col("from") + i, F.col("from") + i + F.col("window") - 1),
-                    )
-                )
-            ).alias("pos"),
-        )
-        .groupBy("doc_id", "th")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("pos")))).cast("long").alias("n_hit"),
-            F.array_sort(F.collect_set("item_id")).alias("ids"),
-        )
-        .where("n_hit > 0")
+    runs = found.select("doc_id", "th", "size", F.explode_outer(runs).alias("r")).select("doc_id", "th", "size", "r.at", "r.window")
+    runs = runs.where("window is not null").distinct()
+    known = windows.select("window").distinct()
+    if windows.count() <= BROADCAST_ROWS // 4:
+        known, windows = F.broadcast(known), F.broadcast(windows)
+    hits = common.written(runs.join(known, "window", "left_semi"), "windows-hit")
+    # the union of a document's runs: at most as many as its words for each size
+    ends = F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("end"))))
+    covered = F.aggregate(
+        "runs",
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        lambda a, r: F.struct(
+            (a["n"] + F.greatest(r["end"] - F.greatest(r["at"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], r["end"]).alias("to")
+        ),
+        lambda a: a["n"],
     )
-    return _report(counts, hit)
+    hit = hits.groupBy("doc_id", "th").agg(ends.alias("runs")).select("doc_id", "th", covered.cast("long").alias("n_hit"))
+    ids = hits.select("doc_id", "th", "window").distinct().join(windows, "window").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    both = hit["doc_id"].eqNullSafe(ids["doc_id"]) & hit["th"].eqNullSafe(ids["th"])
+    return _report(counts, hit.join(ids, both).select(hit["doc_id"], hit["th"], "n_hit", "ids"))
 
 
 def _report(counts: DataFrame, hit: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Of both sides, the smallest hash among the k-grams of every window is kept, so t
 both hold has a kept fingerprint in common. A document's fingerprints that an item shares are
 extended to the words around them; of these, runs that equal a window of an item, word by word, are
 hits. Hash collisions can therefore add work but no hits, and it does not matter which of equal
-hashes is kept. Texts are read once and never shuffled: the words around a fingerprint go along.
+hashes is kept.
 """
 
 from __future__ import annotations
@@ -61,34 +61,39 @@ def fingerprints(df: DataFrame, window: int, gram: int) -> DataFrame:
     ).drop("m")
 
 
-def _around(size: int, gram: int):
-    """Of a fingerprint: itself with the words of all windows that it may lie in."""
-
-    def words(x: Column) -> Column:
-        first = F.greatest(x["pos"] - (size - gram), F.lit(0))
-        near = (F.get("words", first + j) for j in range(2 * size - gram))  # beyond the end: null, and left out
-        return F.struct(x["fp"], F.lit(size), first, F.concat_ws(" ", *near))
-
-    return words
-
-
 def document_prints(docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """doc_id, th, fp, size, first, around of every fingerprint, and of every document a null fp with its words' number as first.
+    """doc_id, th, fp, size, pos of every fingerprint, and of every document a null fp with the number of its words as pos.
 
-    ``sizes`` has the gram of each window size. ``around`` holds the words of all windows that the
-    fingerprint may lie in, ``first`` the position of the first of them.
+    ``sizes`` has the gram of each window size.
     """
-    kind = "array<struct<fp:bigint,size:int,first:int,around:string>>"
+    kind = "array<struct<fp:bigint,size:int,pos:int>>"
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
-    rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("all", F.array(F.struct(F.lit(None).cast("long"), F.lit(0), F.size("h"), F.lit(""))).cast(kind))
+    rows = rows.select("doc_id", "th", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    rows = rows.withColumn("all", F.array(F.struct(F.lit(None).cast("long"), F.lit(0), F.size("h"))).cast(kind))
     for size, gram in sizes.items():
-        found = F.transform("g", _around(size, gram)).cast(kind)
+        found = F.transform("g", lambda x: F.struct(x["fp"], F.lit(size), x["pos"])).cast(kind)  # noqa: B023
         rows = fingerprints(rows, size, gram).withColumn("found", found).withColumn("all", F.concat("all", "found"))
     # an outer explode: a filter that the optimizer infers for an inner one would compute the arrays again
     return rows.select("doc_id", "th", F.explode_outer("all").alias("g")).select("doc_id", "th", "g.*")
 
 
+def _runs_at(sizes: dict[int, int]) -> Column:
+    """Every run of a window's size of ``words`` that holds the k-gram of a fingerprint in ``at`` (size, pos)."""
+
+    def runs(x: Column, size: int, gram: int) -> Column:
+        first, last = F.greatest(x["pos"] - (size - gram), F.lit(0)), F.least(x["pos"], F.size("words") - size)
+
+        def run(i: Column) -> Column:
+            window = F.concat_ws(" ", *(F.get("words", i + j) for j in range(size)))
+            return F.struct(F.lit(size).alias("size"), i.alias("at"), window.alias("window"))
+
+        return F.transform(F.sequence(first, last), run)
+
+    # a fingerprint lies in a text of at least its window's size, so that no sequence runs backwards
+    of_size = [F.flatten(F.transform(F.filter("at", lambda x: x["size"] == n), lambda x: runs(x, n, g))) for n, g in sizes.items()]  # noqa: B023
+    return F.concat(*of_size)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """One row per document: which of its words lie in an occurrence of a benchmark window.
 
@@ -127,19 +132,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     if prints.count() <= BROADCAST_ROWS:  # one pass gives the numbers of words and the hits
         found = found.join(F.broadcast(known), "fp", "left").where("known or fp is null")
         found = common.written(found.drop("known"), "hits")
-        counts = found.where("fp is null").select("doc_id", "th", F.col("first").cast("long").alias("n_words"))
+        counts = found.where("fp is null").select("doc_id", "th", F.col("pos").cast("long").alias("n_words"))
         found = found.where("fp is not null")
     else:
         counts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
         found = common.written(found.where("fp is not null").join(known, "fp", "left_semi"), "hits")
 
-    # every run of a window's size around a shared fingerprint, and the position where it begins
-    found = found.select("doc_id", "th", "size", "first", F.split("around", " ").alias("w"))
-    runs = F.transform(
-        F.when(F.size("w") >= F.col("size"), F.sequence(F.lit(0), F.size("w") - F.col("size"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct((F.col("first") + i).alias("at"), F.array_join(F.slice("w", i + 1, F.col("size")), " ").alias("window")),
-    )
-    runs = found.select("doc_id", "th", "size", F.explode_outer(runs).alias("r")).select("doc_id", "th", "size", "r.at", "r.window")
+    # the texts with a shared fingerprint once more; no more positions of a text than it has words for each size
+    aligned = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("size", "pos")).alias("at"))
+    aligned = common.written(aligned, "aligned")
+    if (aligned.agg(F.sum(F.size("at") + F.lit(4))).first()[0] or 0) <= BROADCAST_ROWS:
+        aligned = F.broadcast(aligned)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).alias("t")
+    same = F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("t.th") == F.col("a.th"))
+    texts = texts.join(aligned.alias("a"), same).select("t.doc_id", "t.th", words_of(F.col("text")).alias("words"), "at")
+    runs = texts.select("doc_id", "th", _runs_at(sizes).alias("r"))
+    runs = runs.select("doc_id", "th", F.explode_outer("r").alias("r")).select("doc_id", "th", "r.*")
     runs = runs.where("window is not null").distinct()
     known = windows.select("window").distinct()
     if windows.count() <= BROADCAST_ROWS // 4:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -9,18 +12,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: At most so many frequent keys of a join are salted.
+SALTED_KEYS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) a local temporary folder takes its place.
+    Where the setting is absent, a folder is set: on a cluster one in the warehouse, which is shared too,
+    and in local mode (tests), where one machine is all there is, a temporary one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"{tempfile.gettempdir()}/termforge-scratch"
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        base = f"{tempfile.gettempdir() if local else spark.conf.get('spark.sql.warehouse.dir')}/termforge-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -51,12 +60,38 @@ def discard(spark: SparkSession, since: int, until: int | None = None) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def _sweep() -> None:
+    """When the process ends, delete the scratch tables that it made, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _scratch:
+        with contextlib.suppress(Exception):
+            discard(spark, 0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew only where the scan has fewer partitions than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
+def joined_salted(big: DataFrame, small: DataFrame, key: str, salt: str, per: int = 1000) -> DataFrame:
+    """Inner join on ``key``, of which ``small`` has one row each, with frequent keys of ``big`` dealt over many tasks.
+
+    Rows of a key with more than ``per`` rows are salted by column ``salt`` and its row of ``small`` is
+    repeated for each salt. Only the numbers of salts of such keys are broadcast: ``per`` rises with
+    the table, so that they are at most SALTED_KEYS.
+    """
+    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    per = max(per, total // SALTED_KEYS)
+    heavy = F.broadcast(counts.where(F.col("_n") > per).select(key, F.ceil(F.col("_n") / per).cast("int").alias("_salts")))
+    many = F.coalesce("_salts", F.lit(1))
+    big = big.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt), many).cast("int")).drop("_salts")
+    small = small.join(heavy, key, "left").withColumn("_salt", F.explode_outer(F.sequence(F.lit(0), many - 1))).drop("_salts")
+    return big.join(small, [key, "_salt"]).drop("_salt")
+
+
 def fold_remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null ids count as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))

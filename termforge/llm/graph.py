@@ -23,14 +23,14 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its smallest neighbour (itself included)."""
     both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return common.joined_salted(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours and itself to the smallest of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = common.joined_salted(down, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of its component, for every node with an edge.
 
     ``edges`` has long columns u, v; loops and repeated edges do not matter. Each round is written
-    to the shared folder. The number of rounds grows with the logarithm of the longest path.
+    to the shared folder, and nodes with very many edges are dealt over many tasks. The number of rounds grows with the logarithm of the longest path.
     """
     e = common.written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"

@@ -34,9 +34,9 @@ THRESHOLD = 0.95
 BLOCK, LEAST_BLOCKS = 8192, 6
 #: Sampled points for the upper levels, and at most so many cells.
 SAMPLE, MAX_CELLS = 8192, 4096
-#: Nodes of no more points are not split.
-LEAF = 24
-#: Block pairs that share one copy of a block.
+#: Nodes of no more points are not split, nor those that would be split into nodes of less on average.
+LEAF, LEAST_MEAN = 24, 8
+#: Block pairs that share one copy of a block, at most.
 GROUP = 16
 #: Points whose comparisons are one matrix product.
 ROWS = 256
@@ -59,38 +59,46 @@ class CoverTree:
 
     ``order`` lists the points so that every node is a slice of it. A level has, by node, the centre
     (a point), begin and end of the slice, the actual covering radius and the parent in the level before.
-    Centres of one parent are more than the level's radius apart. Nodes of few points, or of a radius
-    up to ``smallest``, stay as they are on deeper levels.
+    Centres of one parent are more than the level's radius apart. Nodes of few points, of a radius up to
+    ``smallest``, or of points so far apart that most would be nodes by themselves, stay as they are on
+    deeper levels: a matrix product compares their points faster than nodes can rule them out.
     """
 
-    def __init__(self, points: np.ndarray, smallest: float, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, smallest: float, leaf: int = LEAF, least_mean: int = LEAST_MEAN):
         n = len(points)
         self.order = np.arange(n)
         self.levels: list[tuple[np.ndarray, ...]] = []
         if not n:
             return
         away = distances(points, points[:1])[:, 0]  # of each point of ``order`` to its node's centre
-        nodes, radius = [(0, 0, n, float(away.max()), 0)], 2.0
+        nodes, radius, whole = [(0, 0, n, float(away.max()), 0)], 2.0, set()
         while True:
             self.levels.append(tuple(np.array([x[i] for x in nodes], k) for i, k in enumerate((np.int64, np.int64, np.int64, np.float32, np.int64))))
             radius /= 2
             below, split = [], False
             for at, (centre, begin, end, wide, _) in enumerate(nodes):
-                if end - begin <= leaf or wide <= smallest or wide <= radius:
-                    split |= end - begin > leaf and wide > smallest
+                if end - begin <= leaf or wide <= smallest or wide <= radius or begin in whole:
+                    split |= end - begin > leaf and wide > smallest and begin not in whole
                     below.append((centre, begin, end, wide, at))
                     continue
-                split = True
                 own = self.order[begin:end]
                 p, best, owner, chosen = points[own], away[begin:end].copy(), np.zeros(end - begin, np.int64), [centre]
                 for i in np.flatnonzero(best > radius):
                     if best[i] <= radius:
                         continue
+                    if len(chosen) * least_mean >= end - begin:
+                        break
                     d = distances(p, p[i : i + 1])[:, 0]
                     closer = d < best
                     best[closer], owner[closer] = d[closer], len(chosen)
                     owner[i], best[i] = len(chosen), 0.0
                     chosen.append(int(own[i]))
+                else:
+                    split = True
+                if len(chosen) * least_mean >= end - begin:
+                    whole.add(begin)
+                    below.append((centre, begin, end, wide, at))
+                    continue
                 sort = np.argsort(owner, kind="stable")
                 self.order[begin:end], away[begin:end] = own[sort], best[sort]
                 ends = begin + np.cumsum(np.bincount(owner, minlength=len(chosen)))
@@ -130,8 +138,8 @@ def near_nodes(p: np.ndarray, t: CoverTree, q: np.ndarray, u: CoverTree, reach:
         for i in range(0, len(ca), 1024):
             live = np.flatnonzero(now[i : i + 1024].any(0))
             if len(live):
-                d = distances(p[ca[i : i + 1024]], q[cb[live]]) - ra[i : i + 1024, None] - rb[None, live]
-                now[i : i + 1024, live] &= d <= reach + SLACK
+                far = distances(p[ca[i : i + 1024]], q[cb[live]]) - ra[i : i + 1024, None] - rb[None, live] > reach + SLACK
+                now[i : i + 1024, live] &= ~far
         alive, last = now, at
     return alive
 
@@ -192,7 +200,10 @@ def compare_blocks(x: np.ndarray, nx: np.ndarray, t: CoverTree, y: np.ndarray, n
             at = np.concatenate([np.arange(b0[j], b1[j]) for j in leaves])
         for lo in range(begin, end, ROWS):
             rows = t.order[lo : min(end, lo + ROWS)]
-            i, j = np.nonzero(p[rows] @ q[at].T >= threshold - 1e-4)
+            cos = p[rows] @ (q[at[0] : at[-1] + 1] if at[-1] - at[0] + 1 == len(at) else q[at]).T
+            hit = np.flatnonzero(cos.max(1) >= threshold - 1e-4)
+            i, j = np.nonzero(cos[hit] >= threshold - 1e-4)
+            i = hit[i]
             if same:
                 i, j = i[keep := at[j] > lo + i], j[keep]
             for k in range(0, len(i), 100_000):
@@ -364,6 +375,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     # one centre and radius for up to BLOCK points
     tops = [(r[0], np.frombuffer(r[1], "<f4"), r[2]) for r in blocks.select("block", "centre", "radius").collect()]
     shared_tops = spark.sparkContext.broadcast(tops)
+    group = max(1, min(GROUP, len(tops) ** 2 // (8 * spark.sparkContext.defaultParallelism)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = shared_tops.value
@@ -375,7 +387,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
                     mine = own == other or (own < other) == ((own + other) % 2 == 0)  # of two blocks one has the pair
                     if mine and len(d) == len(c) and distances(c[None], d[None])[0, 0] - radius - r <= reach_of(threshold) + SLACK:
                         partners.append(other)
-                out += [(own, i // GROUP, other) for i, other in enumerate(partners)]
+                out += [(own, i // group, other) for i, other in enumerate(partners)]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["own", "share", "block"])
 

@@ -1,20 +1,23 @@
-"""The Porter stemmer (1980) as a chain of projections over a vocabulary.
+"""The Porter stemmer as a chain of projections over a vocabulary: the paper of 1980, or its usual extended form.
 
-Each step is one CASE expression in the SQL that Spark and other engines share, so the same text
-serves as an oracle. Apply it to distinct terms and join the result back.
+Each step is one CASE expression over ``s``. Apply it to distinct terms and join the result back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 C, V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
-MEASURE_0 = f"^({C})?{V}{C}"
-MEASURE_1 = f"^({C})?{V}{C}{V}{C}"
-EXACTLY_1 = f"^({C})?{V}{C}({V})?$"
-HAS_VOWEL = f"^({C})?[aeiouy]"
-#: Consonant, vowel, consonant other than w, x, y.
+#: Up to the end of the first vowels; a y at the very beginning is a consonant.
+FIRST = f"^({C}{V}|[aeiou]+)"
+MEASURE_0 = f"{FIRST}{C}"
+MEASURE_1 = f"{FIRST}{C}{V}{C}"
+EXACTLY_1 = f"{FIRST}{C}({V})?$"
+HAS_VOWEL = f"^({C}[aeiouy]|[aeiou])"
+#: Consonant, vowel, consonant other than w, x, y; in the extended form also a vowel and a consonant alone.
 SHORT = f"^{C}[aeiouy][^aeiouwxy]"
+SHORT_EXTENDED = f"({SHORT}|^[aeiou][^aeiou])"
 
 # Fixed values of the published algorithm: suffixes and their replacements.
 STEP_2 = {
@@ -27,6 +30,14 @@ STEP_4 = (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
 
+# Fixed values of the extended form: further suffixes, and words with a stem of their own.
+STEP_2_EXTENDED = {"bli": "ble", "fulli": "ful"}
+IRREGULAR = {
+    "cannings": "canning", "canning": "canning", "dying": "die", "exceed": "exceed", "howe": "howe", "innings": "inning", "inning": "inning",
+    "lying": "lie", "news": "news", "outings": "outing", "outing": "outing", "proceed": "proceed", "skies": "sky", "sky": "sky",
+    "succeed": "succeed", "tying": "tie",
+}
+
 
 def _has(test: str, text: str, pattern: str) -> str:
     return f"{test}({text}, '{pattern}')"
@@ -44,45 +55,62 @@ def _suffixes(test: str, rules: dict[str, str], measure: str) -> str:
     return f"CASE {' '.join(cases)} ELSE s END"
 
 
-def steps(test: str) -> list[str]:
+def steps(test: str, extended: bool = True) -> list[str]:
     """The expressions over ``s`` in order; ``test`` names the engine's regular-expression predicate."""
     doubled = "|".join(x * 2 for x in "bcdfghjkmnpqrtvwx")
+    short = SHORT_EXTENDED if extended else SHORT
+    step_2 = {k: v for k, v in STEP_2.items() if k != "abli"} | STEP_2_EXTENDED if extended else STEP_2
     step_4 = {a: "" for a in STEP_4}
     ion = f"WHEN s LIKE '%ion' THEN CASE WHEN {_has(test, _cut(3), '[st]$')} AND {_has(test, _cut(3), MEASURE_1)} THEN {_cut(3)} ELSE s END"
-    return [
-        f"CASE WHEN s LIKE '%sses' THEN {_cut(2)} WHEN s LIKE '%ies' THEN {_cut(2)} WHEN s LIKE '%ss' THEN s WHEN s LIKE '%s' THEN {_cut(1)} ELSE s END",
+    ies = "WHEN s LIKE '%ies' AND length(s) = 4 THEN left(s, 3) " if extended else ""
+    ied = f"WHEN s LIKE '%ied' THEN CASE WHEN length(s) = 4 THEN {_cut(1)} ELSE {_cut(2)} END " if extended else ""
+    y = _has(test, _cut(1), ".[^aeiouy]$|[aeiou]y$") if extended else _has(test, _cut(1), HAS_VOWEL)
+    logi = f"CASE WHEN s LIKE '%logi' THEN CASE WHEN {_has(test, _cut(3), MEASURE_0)} THEN {_cut(1)} ELSE s END "
+    second = _suffixes(test, step_2, MEASURE_0)
+    out = [
+        f"CASE {ies}WHEN s LIKE '%sses' THEN {_cut(2)} WHEN s LIKE '%ies' THEN {_cut(2)} WHEN s LIKE '%ss' THEN s WHEN s LIKE '%s' THEN {_cut(1)} ELSE s END",
         # a tilde marks stems that the next step repairs
-        f"CASE WHEN s LIKE '%eed' THEN CASE WHEN {_has(test, _cut(3), MEASURE_0)} THEN {_cut(1)} ELSE s END "
+        f"CASE {ied}WHEN s LIKE '%eed' THEN CASE WHEN {_has(test, _cut(3), MEASURE_0)} THEN {_cut(1)} ELSE s END "
         f"WHEN s LIKE '%ed' AND {_has(test, _cut(2), HAS_VOWEL)} THEN concat({_cut(2)}, '~') "
         f"WHEN s LIKE '%ing' AND {_has(test, _cut(3), HAS_VOWEL)} THEN concat({_cut(3)}, '~') ELSE s END",
         f"CASE WHEN s NOT LIKE '%~' THEN s WHEN s LIKE '%at~' OR s LIKE '%bl~' OR s LIKE '%iz~' THEN concat({_cut(1)}, 'e') "
-        f"WHEN {_has(test, 's', f'({doubled})~$')} THEN {_cut(2)} WHEN {_has(test, 's', SHORT + '~$')} THEN concat({_cut(1)}, 'e') ELSE {_cut(1)} END",
-        f"CASE WHEN s LIKE '%y' AND {_has(test, _cut(1), HAS_VOWEL)} THEN concat({_cut(1)}, 'i') ELSE s END",
-        _suffixes(test, STEP_2, MEASURE_0),
+        f"WHEN {_has(test, 's', f'({doubled})~$')} THEN {_cut(2)} WHEN {_has(test, 's', short + '~$')} THEN concat({_cut(1)}, 'e') ELSE {_cut(1)} END",
+        f"CASE WHEN s LIKE '%y' AND {y} THEN concat({_cut(1)}, 'i') ELSE s END",
+        # -ally loses -ly before the other suffixes are looked for
+        *([f"CASE WHEN s LIKE '%alli' AND {_has(test, _cut(4), MEASURE_0)} THEN {_cut(2)} ELSE s END"] if extended else []),
+        second.replace("CASE ", logi, 1) if extended else second,
         _suffixes(test, STEP_3, MEASURE_0),
         _suffixes(test, step_4, MEASURE_1).replace("CASE ", f"CASE {ion} ", 1),
-        f"CASE WHEN s LIKE '%e' AND ({_has(test, _cut(1), MEASURE_1)} OR ({_has(test, _cut(1), EXACTLY_1)} AND NOT {_has(test, _cut(1), SHORT + '$')})) THEN {_cut(1)} ELSE s END",
+        f"CASE WHEN s LIKE '%e' AND ({_has(test, _cut(1), MEASURE_1)} OR ({_has(test, _cut(1), EXACTLY_1)} AND NOT {_has(test, _cut(1), short + '$')})) THEN {_cut(1)} ELSE s END",
         f"CASE WHEN s LIKE '%ll' AND {_has(test, 's', MEASURE_1)} THEN {_cut(1)} ELSE s END",
     ]
+    return out
 
 
-def stem_sql(source: str, test: str = "regexp_matches", term: str = "term") -> str:
-    """A query of (term, stem) over a relation of distinct terms; words of up to two letters stay."""
-    inner = f"SELECT {term}, {term} AS s FROM {source}"
-    for e in steps(test):
-        inner = f"SELECT {term}, {e} AS s FROM ({inner})"
-    return f"SELECT {term}, CASE WHEN length({term}) <= 2 THEN {term} ELSE s END AS stem FROM ({inner})"
+def _whole(term: str, extended: bool) -> str:
+    own = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items())
+    regular = f"CASE WHEN length({term}) <= 2 THEN {term} ELSE s END"
+    return f"CASE {term} {own} ELSE {regular} END" if extended else regular
 
 
-def stems(vocabulary: DataFrame, term: str = "term") -> DataFrame:
-    """(term, stem) of a DataFrame of distinct terms."""
+def stems(vocabulary: DataFrame, term: str = "term", extended: bool = True) -> DataFrame:
+    """(term, stem) of a DataFrame of distinct terms in lower case; words of up to two letters stay."""
     out = vocabulary.selectExpr(term, f"{term} AS s")
-    for e in steps("regexp_like"):
+    for e in steps("regexp_like", extended):
         out = out.selectExpr(term, f"{e} AS s")
-    return out.selectExpr(term, f"CASE WHEN length({term}) <= 2 THEN {term} ELSE s END AS stem")
+    # a generated column stops filters on stems, which would multiply the expressions of all steps
+    return out.select(term, F.explode_outer(F.array(F.expr(_whole(term, extended)))).alias("stem"))
 
 
-def stemmed(df: DataFrame, term: str = "term") -> DataFrame:
+def stemmed(df: DataFrame, term: str = "term", extended: bool = True) -> DataFrame:
     """``df`` with its terms stemmed: the vocabulary is stemmed once and joined back."""
-    found = stems(df.select(term).distinct(), term)
+    found = stems(df.select(term).distinct(), term, extended)
     return df.join(found, term).drop(term).withColumnRenamed("stem", term)
+
+
+def stems_of(spark: SparkSession, words: list[str]) -> dict[str, str]:
+    """The stems of a short list of words, such as a batch of queries holds."""
+    if not words:
+        return {}
+    found = stems(spark.createDataFrame([(w,) for w in words], "term string"))
+    return {r.term: r.stem for r in found.collect()}

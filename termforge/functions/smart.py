@@ -38,5 +38,5 @@ def query_weight(qtf: Column, n: Column, df: Column, idf: str) -> Column:
 
 
 def exact_sum(weight: Column) -> Column:
-    """A sum that does not depend on the order of its terms."""
+    """A sum that does not depend on the order of its terms, which must be below 10**8 each."""
     return F.sum(weight.cast("decimal(20,12)")).cast("double")

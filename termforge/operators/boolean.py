@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termforge.plans.boolean_parser import And, Node, Not, Or, Term, parse, terms
+from termforge.functions import porter
+from termforge.plans.boolean_parser import And, Node, Not, Or, Term, parse, renamed, terms
 
 
 def predicate(node: Node, held: Column) -> Column:
@@ -20,9 +21,16 @@ def predicate(node: Node, held: Column) -> Column:
     return reduce(lambda a, b: a & b, parts) if isinstance(node, And) else reduce(lambda a, b: a | b, parts)
 
 
-def search(docs: DataFrame, postings: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
-    """(query_id, doc_id) of all answers of a batch of queries, in one pass over the queried terms' postings."""
+def search(docs: DataFrame, postings: DataFrame, queries: list[tuple[int, str]], stem: bool = False) -> DataFrame:
+    """(query_id, doc_id) of all answers of a batch of queries, in one pass over the queried terms' postings.
+
+    ``stem`` is for stemmed postings: the queries' words are stemmed too.
+    """
     trees = [(i, t) for i, q in queries if (t := parse(q)) is not None]
+    if stem:
+        words = sorted(set().union(*(terms(t) for _, t in trees)))
+        stems = porter.stems_of(docs.sparkSession, words)
+        trees = [(i, renamed(t, stems)) for i, t in trees]
     wanted = sorted(set().union(*(terms(t) for _, t in trees))) if trees else []
     held = postings.where(F.col("term").isin(wanted)).groupBy("doc_id").agg(F.collect_set("term").alias("held"))
     rows = docs.select("doc_id").join(held, "doc_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
@@ -32,8 +40,22 @@ def search(docs: DataFrame, postings: DataFrame, queries: list[tuple[int, str]])
     return rows.select("doc_id", hits.alias("hits")).select(F.explode("hits").alias("query_id"), "doc_id").where("query_id is not null")
 
 
-def search_sets(docs: DataFrame, postings: DataFrame, query: str) -> DataFrame:
-    """(doc_id) of one query by set operations: semi joins for AND, anti joins for AND NOT, unions for OR."""
+def estimate(node: Node, df: dict[str, int], n: int) -> int:
+    """At most so many documents answer: document frequencies of terms, the smallest operand of an AND, sums for an OR."""
+    if isinstance(node, Term):
+        return df.get(node.text, 0)
+    if isinstance(node, Not):
+        return n
+    sizes = [estimate(x, df, n) for x in node.operands]
+    return min(sizes) if isinstance(node, And) else min(n, sum(sizes))
+
+
+def search_sets(docs: DataFrame, postings: DataFrame, query: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """(doc_id) of one query by set operations: semi joins for AND, anti joins for AND NOT, unions for OR.
+
+    With a ``dictionary`` (term, df) the operands of an AND are joined in the order of their estimated
+    sizes, the smallest first; only the query's own terms are looked up.
+    """
     universe = docs.select("doc_id").distinct()
 
     def plan(node: Node) -> DataFrame:
@@ -43,14 +65,20 @@ def search_sets(docs: DataFrame, postings: DataFrame, query: str) -> DataFrame:
             return universe.join(plan(node.operand), "doc_id", "left_anti")
         if isinstance(node, Or):
             return reduce(lambda a, b: a.unionAll(b), map(plan, node.operands)).distinct()
-        kept = [plan(x) for x in node.operands if not isinstance(x, Not)]
+        wanted = [x for x in node.operands if not isinstance(x, Not)]
+        if sizes is not None:
+            wanted.sort(key=lambda x: estimate(x, *sizes))
+        kept = [plan(x) for x in wanted]
         out = reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), kept) if kept else universe
         for x in node.operands:
             if isinstance(x, Not):  # a difference, not a complement
                 out = out.join(plan(x.operand), "doc_id", "left_anti")
         return out
 
-    tree = parse(query)
+    tree, sizes = parse(query), None
+    if dictionary is not None and tree is not None:
+        known = dictionary.where(F.col("term").isin(sorted(terms(tree)))).select("term", "df")
+        sizes = {r.term: r.df for r in known.collect()}, 1 << 62  # one row for each term of the query
     return plan(tree) if tree is not None else universe.where(F.lit(False))
 
 

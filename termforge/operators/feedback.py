@@ -13,13 +13,17 @@ BETA, GAMMA, SET_SIZE = 0.75, 0.15, 10
 
 def feedback_sets(scored: DataFrame, size: int = SET_SIZE) -> DataFrame:
     """(query_id, doc_id, top, low): the first and last ``size`` of each ranking; they may overlap."""
-    rows = scored.withColumn("score", F.round("score", rank.PLACES))
+    rows = scored.select("query_id", "doc_id", F.round("score", rank.PLACES).alias("score"), "first_pos")
     w = Window.partitionBy("query_id")
     first = w.orderBy(F.desc("score"), F.asc("first_pos"), F.desc("doc_id"))
     last = w.orderBy(F.asc("score"), F.desc("first_pos"), F.asc("doc_id"))
-    rows = rows.select("query_id", "doc_id", F.row_number().over(first).alias("a"), F.row_number().over(last).alias("b"))
-    rows = rows.where((F.col("a") <= size) | (F.col("b") <= size))
-    return rows.select("query_id", "doc_id", (F.col("a") <= size).cast("int").alias("top"), (F.col("b") <= size).cast("int").alias("low"))
+
+    def end(order, top: int, low: int) -> DataFrame:  # a limited window: every task keeps its own few rows
+        out = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size)
+        return out.select("query_id", "doc_id", F.lit(top).alias("top"), F.lit(low).alias("low"))
+
+    both = end(first, 1, 0).unionAll(end(last, 0, 1))
+    return both.groupBy("query_id", "doc_id").agg(F.max("top").alias("top"), F.max("low").alias("low"))
 
 
 def rocchio_weights(weights: DataFrame, postings: DataFrame, sets: DataFrame) -> DataFrame:

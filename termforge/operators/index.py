@@ -27,12 +27,14 @@ def tf_index(docs: DataFrame, keep: str | None = None, stem: bool = False) -> Da
     return terms_of(docs, keep, stem).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def dictionary(postings: DataFrame) -> DataFrame:
-    """(term, df)."""
+def dictionary(postings: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, df), of all terms or of those of a small relation ``only`` (a batch's query terms)."""
+    if only is not None:
+        postings = postings.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def zoned_index(cases: DataFrame, keep: str | None = None) -> DataFrame:
+def zoned_index(cases: DataFrame, keep: str | None = None, stem: bool = False) -> DataFrame:
     """(term, doc_id, tf_content, tf_title, tf_date, tf_court) of documents with four zones; null zones are empty.
 
     Ids should be unique; use ``unique_cases`` first where they may not be.
@@ -43,7 +45,8 @@ def zoned_index(cases: DataFrame, keep: str | None = None) -> DataFrame:
     counts = [
         F.count_if(F.col("zone") == z).cast("int").alias(f"tf_{z.removesuffix('_posted')}") for z in ZONES
     ]
-    return analysis.exploded(long, "text", keep=keep).groupBy("term", "doc_id").agg(*counts)
+    rows = analysis.exploded(long, "text", keep=keep)
+    return (porter.stemmed(rows) if stem else rows).groupBy("term", "doc_id").agg(*counts)
 
 
 def unique_cases(cases: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def doc_stats(postings: DataFrame) -> DataFrame:
         postings.join(base, "doc_id")
         .groupBy("doc_id", "max_tf", "ave_tf")
         .agg(
-            norm(tf.cast("double")).alias("len_n"),
+            F.sqrt(F.sum(tf * tf)).alias("len_n"),  # whole numbers: exact as they are
             norm(log).alias("len_l"),
             norm(a).alias("len_a"),
             norm(ave).alias("len_ave"),

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions import analysis
-from termforge.functions.smart import exact_sum
 
 GRAM = 4
 OTHER = "other"
+#: Grams of a model that is broadcast (some 100 bytes each).
+MODEL_GRAMS = 500_000
+#: Logarithms are whole numbers of this fraction, so that sums do not depend on their order.
+SCALE = 1e10
 
 
 def grams_of(lines: DataFrame, key: str, n: int = GRAM) -> DataFrame:
@@ -42,13 +45,20 @@ def probabilities(counts: DataFrame) -> DataFrame:
 
 
 def line_scores(tests: DataFrame, model: DataFrame, key: str = "line_no", n: int = GRAM) -> DataFrame:
-    """(key, lang, score): summed log probability of known grams; unknown grams are skipped."""
-    grams = grams_of(tests, key, n)
-    return (
-        grams.join(model, "gram")
-        .groupBy(key, "lang")
-        .agg(F.round(exact_sum(F.col("n") * F.ln("p")), 6).alias("score"))
-    )
+    """(key, lang, score): summed log probability of known grams; unknown grams are skipped.
+
+    A model of up to MODEL_GRAMS grams is broadcast with all its languages in one row for each gram, and
+    grams are summed in the task that reads their line. A larger one is joined by gram, after counting.
+    """
+    logs = model.select("gram", F.struct("lang", F.round(F.ln("p") * SCALE).cast("long").alias("lp")).alias("l"))
+    logs = logs.groupBy("gram").agg(F.collect_list("l").alias("logs"))
+    if model.select("gram").distinct().count() <= MODEL_GRAMS:
+        out = tests.select(key, F.explode_outer(analysis.char_ngrams(F.col("text"), n)).alias("gram"))
+        hits = out.where(F.col("gram").isNotNull()).join(F.broadcast(logs), "gram").select(key, F.explode("logs").alias("l"), F.lit(1).alias("n"))
+    else:
+        hits = grams_of(tests, key, n).join(logs, "gram").select(key, F.explode("logs").alias("l"), "n")
+    score = F.sum(F.col("l.lp") * F.col("n")) / SCALE
+    return hits.groupBy(key, F.col("l.lang").alias("lang")).agg(score.alias("score"))
 
 
 def predict(tests: DataFrame, model: DataFrame, key: str = "line_no", n: int = GRAM) -> DataFrame:

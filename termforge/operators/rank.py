@@ -14,6 +14,10 @@ from termforge.functions.smart import exact_sum
 
 PLACES = 6
 TITLE_BOOST = 1.4
+#: Batches of up to so many query terms are broadcast (some 100 bytes each).
+BATCH_TERMS = 200_000
+#: Full rankings: parts by score, and parts by id of a score that very many documents have.
+SCORE_PARTS, ID_PARTS = 200, 256
 
 
 def query_terms(queries: DataFrame, keep: str | None = analysis.ALNUM, operator_words: tuple[str, ...] = (), stem: bool = False) -> DataFrame:
@@ -31,11 +35,16 @@ def query_terms(queries: DataFrame, keep: str | None = analysis.ALNUM, operator_
 
 
 def query_weights(terms: DataFrame, dictionary: DataFrame, n_docs: DataFrame, idf: str) -> DataFrame:
-    """(query_id, term, qtf, first_pos, wq) of known terms; ``n_docs`` is one row with ``n``."""
+    """(query_id, term, qtf, first_pos, wq) of known terms; ``n_docs`` is one row with ``n``.
+
+    The result is as small as the batch of queries and is broadcast where it meets postings, if the
+    batch has at most BATCH_TERMS terms.
+    """
     known = terms.join(dictionary, "term").crossJoin(F.broadcast(n_docs))
-    return known.select(
+    out = known.select(
         "query_id", "term", "qtf", "first_pos", smart.query_weight(F.col("qtf"), F.col("n"), F.col("df"), idf).alias("wq")
     )
+    return F.broadcast(out) if terms.count() <= BATCH_TERMS else out
 
 
 def scores(weights: DataFrame, postings: DataFrame, doc_weight: Column) -> DataFrame:
@@ -68,11 +77,41 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def full_ranking(scored: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score): ties in order of the first matching query term, then descending id."""
-    rows = scored.withColumn("score", F.round("score", PLACES))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("first_pos"), F.desc("doc_id"))
-    out = rows.select("query_id", F.row_number().over(order).alias("rank"), "doc_id", "score")
-    return out.where(F.col("rank") <= k) if k else out
+    """(query_id, rank, doc_id, score): ties in order of the first matching query term, then descending id.
+
+    With ``k`` every task keeps its own first k before they meet. A whole ranking is cut into parts of
+    scores by approximate quantiles, where a quantile's own score is a part by itself that is cut
+    further by first term and id; ranks within a part follow those of the parts before, so that no
+    task sorts a query's whole result.
+    """
+    rows = scored.select("query_id", "doc_id", F.round("score", PLACES).alias("score"), "first_pos")
+    order = [F.desc("score"), F.asc("first_pos"), F.desc("doc_id")]
+    if k:
+        out = rows.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"), "doc_id", "score")
+        return out.where(F.col("rank") <= k)
+    shares = [i / SCORE_PARTS for i in range(1, SCORE_PARTS)]
+    cuts = rows.groupBy("query_id").agg(
+        F.array_distinct(F.percentile_approx("score", F.lit(shares), 10_000)).alias("cuts"),
+        F.max("doc_id").alias("_top"),
+        F.greatest((F.max("doc_id") - F.min("doc_id")) / ID_PARTS, F.lit(1.0)).alias("_width"),
+    )
+    above = F.size(F.filter("cuts", lambda c: c > F.col("score")))
+    at_cut = F.array_contains("cuts", F.col("score"))
+    part = [
+        (2 * above + at_cut.cast("int")).alias("_a"),
+        F.when(at_cut, F.col("first_pos")).otherwise(0).alias("_b"),
+        F.when(at_cut, F.floor((F.col("_top") - F.col("doc_id")) / F.col("_width"))).otherwise(0).alias("_c"),
+    ]
+    # a row for each query of the batch
+    rows = rows.join(F.broadcast(cuts), "query_id").select("query_id", "doc_id", "score", "first_pos", *part)
+    keys = ["query_id", "_a", "_b", "_c"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("query_id").orderBy("_a", "_b", "_c")) - F.col("_n")
+    # for each query at most 2 SCORE_PARTS parts, and ID_PARTS for each query term of a quantile's score
+    offsets = sizes.select(*keys, before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ranked = rows.withColumn("_r", within).join(offsets, keys)
+    return ranked.select("query_id", (F.col("_before") + F.col("_r")).cast("int").alias("rank"), "doc_id", "score")
 
 
 def title_factor(column: str = "tf_title", boost: float = TITLE_BOOST) -> Column:
@@ -85,15 +124,23 @@ def court_boosted(scored: DataFrame, courts: DataFrame, weights: DataFrame) -> D
     return scored.join(w, "doc_id").withColumn("score", F.col("score") * F.col("_w")).drop("_w")
 
 
-def smart_scores(weights: DataFrame, postings: DataFrame, stats: DataFrame, method: str, title: bool = False) -> DataFrame:
-    """Inner products under a SMART document weight (n, l, a or L), with the title boost on request."""
+def smart_scores(weights: DataFrame, postings: DataFrame, stats: DataFrame, method: str, title: bool = False, normalised: bool = False) -> DataFrame:
+    """Inner products under a SMART document weight (n, l, a or L), with the title boost on request.
+
+    ``normalised`` (SMART's c) divides by the document's length under the same weight.
+    """
     w = smart.DOC_WEIGHTS[method](F.col("tf"), F.col("max_tf"), F.col("ave_tf"))
     rows = postings.join(stats.select("doc_id", "max_tf", "ave_tf"), "doc_id") if method in "aL" else postings.withColumns({"max_tf": F.lit(1), "ave_tf": F.lit(1.0)})
-    return scores(weights, rows, w * title_factor() if title else w)
+    out = scores(weights, rows, w * title_factor() if title else w)
+    if not normalised:
+        return out
+    length = {"n": "len_n", "l": "len_l", "a": "len_a", "L": "len_ave"}[method]
+    out = out.join(stats.select("doc_id", F.col(length).alias("_len")), "doc_id")
+    return out.withColumn("score", F.try_divide("score", "_len")).drop("_len")
 
 
 def result_lines(queries: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(query_id, result): ids in rank order, joined by spaces."""
+    """(query_id, result): ids in rank order, joined by spaces. A line is one value: for results that are read as lines."""
     lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r"))
     line = F.array_join(F.transform("r", lambda x: x["doc_id"].cast("string")), " ")
     return queries.select("query_id").join(lists, "query_id", "left").select("query_id", F.coalesce(line, F.lit("")).alias("result"))

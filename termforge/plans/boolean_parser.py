@@ -91,3 +91,12 @@ def terms(node: Node | None) -> set[str]:
     if isinstance(node, Not):
         return terms(node.operand)
     return set().union(*map(terms, node.operands))
+
+
+def renamed(node: Node, names: dict[str, str]) -> Node:
+    """The tree with terms replaced, where ``names`` has them (by their stems, for instance)."""
+    if isinstance(node, Term):
+        return Term(names.get(node.text, node.text))
+    if isinstance(node, Not):
+        return Not(renamed(node.operand, names))
+    return type(node)(tuple(renamed(x, names) for x in node.operands))

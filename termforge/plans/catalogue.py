@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.functions import analysis, porter
+from termforge.functions import analysis
 from termforge.operators import boolean, expand, feedback, index, langmodel, rank
+from termforge.plans.stem_oracle import stem_sql
+from termforge.sources import readers, scratch, sinks
 from termforge.sources.readers import spread
 from termforge.sources.sinks import prediction_lines
 
@@ -33,6 +35,8 @@ BOOLEAN_QUERIES = [
 ]
 DERIVATIONS = [("license", "licensed"), ("thing", "things"), ("version", "versions"), ("version", "versioned")]
 STOP_WORDS = ["the", "of", "in", "la", "que", "der", "und"]
+STEMMED_QUERIES = [(1, "licenses AND versions"), (2, "licensing OR thing"), (3, "NOT things AND Licensed"), (4, "versioned AND NOT (licenses OR zzznothing)")]
+PHRASE_QUERIES = [(1, '"the thing" AND "version of"'), (2, "the thing"), (3, ""), (4, '"and" AND "or not" OR')]
 COURT_WEIGHTS = [("src0", 1.4), ("src1", 1.4), ("src2", 1.2), ("src3", 1.2), ("src4", 1.2)]
 TITLE = "substring_index(text, chr(10), 1)"
 K = 10
@@ -44,8 +48,15 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """An index that several queries of a session share; it is computed anew if its blocks are lost."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _held:
-        _held[key] = make().persist()
-    return _held[key]
+        _held[key] = make()
+    return _held[key].persist()  # again, if the session's cache has been cleared
+
+
+def release() -> None:
+    """Give up the indexes that queries share."""
+    for df in _held.values():
+        df.unpersist()
+    _held.clear()
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +110,17 @@ def stats(s: SparkSession, d: str) -> DataFrame:
 
 def ltc(s: SparkSession, d: str) -> DataFrame:
     terms = rank.query_terms(queries_of(s), keep=None)
-    return rank.query_weights(terms, index.dictionary(tf_postings(s, d)), n_docs(s, d), "t")
+    return rank.query_weights(terms, index.dictionary(tf_postings(s, d), terms), n_docs(s, d), "t")
 
 
 def lpn(s: SparkSession, d: str) -> DataFrame:
     terms = rank.query_terms(queries_of(s), operator_words=("AND",))
-    return rank.query_weights(terms, index.dictionary(zone_tf(s, d)), n_docs(s, d), "p")
+    return rank.query_weights(terms, index.dictionary(zone_tf(s, d), terms), n_docs(s, d), "p")
 
 
 def lt_zoned(s: SparkSession, d: str) -> DataFrame:
     terms = rank.query_terms(queries_of(s), operator_words=("AND",))
-    return rank.query_weights(terms, index.dictionary(zone_tf(s, d)), n_docs(s, d), "t")
+    return rank.query_weights(terms, index.dictionary(zone_tf(s, d), terms), n_docs(s, d), "t")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -208,7 +219,7 @@ def sentence_counts(s, d):
     return docs(s, d).select("doc_id", F.size(analysis.sentences(F.concat(trimmed, F.lit(" ")))).cast("long").alias("n"))
 
 
-@register("tokens_stemmed", f"WITH {_ALNUM}, voc AS (SELECT DISTINCT term FROM tok), st AS ({porter.stem_sql('voc')}) SELECT stem AS term, count(*) AS n FROM tok JOIN st USING (term) GROUP BY 1")
+@register("tokens_stemmed", f"WITH {_ALNUM}, voc AS (SELECT DISTINCT term FROM tok), st AS ({stem_sql('voc')}) SELECT stem AS term, count(*) AS n FROM tok JOIN st USING (term) GROUP BY 1")
 def tokens_stemmed(s, d):
     return index.terms_of(docs(s, d), stem=True).groupBy("term").agg(F.count("*").alias("n"))
 
@@ -253,7 +264,7 @@ def _norm(x: str) -> str:
 
 
 @register("doc_stats_smart", f"""WITH {_ZONED}, {_STATS}
-SELECT doc_id, {_norm('CAST(tf AS DOUBLE)')} AS len_n, {_norm('1 + log10(tf)')} AS len_l, {_norm('0.5 + 0.5 * CAST(tf AS DOUBLE) / max_tf')} AS len_a,
+SELECT doc_id, round(sqrt(CAST(sum(tf * tf) AS DOUBLE)), 5) AS len_n, {_norm('1 + log10(tf)')} AS len_l, {_norm('0.5 + 0.5 * CAST(tf AS DOUBLE) / max_tf')} AS len_a,
   {_norm('(1 + log10(tf)) / (1 + log10(ave_tf))')} AS len_ave, max_tf, round(ave_tf, 6) AS ave_tf
 FROM p JOIN b USING (doc_id) GROUP BY doc_id, max_tf, ave_tf""")
 def doc_stats_smart(s, d):
@@ -285,7 +296,8 @@ _BOOLEAN_SQL = {
 }
 for _name, _id in (("bool_and", 1), ("bool_or", 2), ("bool_not", 3), ("bool_and_not", 4), ("bool_nested", 5), ("bool_unknown_term", 6), ("bool_precedence", 7), ("bool_not_not", 8), ("bool_not_and_not", 9)):
     def _one(s, d, query=dict(BOOLEAN_QUERIES)[_id]):
-        return boolean.search_sets(docs(s, d), bool_postings(s, d), query)
+        postings = bool_postings(s, d)
+        return boolean.search_sets(docs(s, d), postings, query, index.dictionary(postings))
 
     register(_name, f"{_HELD} SELECT doc_id FROM h WHERE {_BOOLEAN_SQL[_id]}")(_one)
 
@@ -362,13 +374,8 @@ for _name, _m in (("smart_n", "n"), ("smart_l", "l"), ("smart_a", "a"), ("smart_
 _BOOST = "(1 + log10(tf)) * CASE WHEN tf_title > 0 THEN 1.4 ELSE 1.0 END"
 
 
-@register("title_boost", f"{_LPN}, {_scores(_BOOST)} {_ranked(K)}")
+@register("title_boost", f"{_LPN}, {_scores(_BOOST)} {_ranked()}")
 def title_boost(s, d):
-    return rank.full_ranking(rank.scores(lpn(s, d), zone_tf(s, d), rank.log_tf() * rank.title_factor()), K)
-
-
-@register("title_boost_full", f"{_LPN}, {_scores(_BOOST)} {_ranked()}")
-def title_boost_full(s, d):
     return rank.full_ranking(rank.scores(lpn(s, d), zone_tf(s, d), rank.log_tf() * rank.title_factor()))
 
 
@@ -405,7 +412,7 @@ w_on AS (SELECT query_id, term, 1 AS qtf, 0 AS first_pos, {_IDF['t']} AS wq FROM
 def smart_grid(s, d):
     """Four tf methods with and without expansion; expanded terms count once each."""
     expanded = expand_derivations(s, d).select("query_id", "term", F.lit(1).cast("long").alias("qtf"), F.lit(0).alias("first_pos"))
-    weights = {"off": lt_zoned(s, d), "on": rank.query_weights(expanded, index.dictionary(zone_tf(s, d)), n_docs(s, d), "t")}
+    weights = {"off": lt_zoned(s, d), "on": rank.query_weights(expanded, index.dictionary(zone_tf(s, d), expanded), n_docs(s, d), "t")}
     out = None
     for name, w in weights.items():
         for m in "nlaL":
@@ -438,158 +445,266 @@ def rocchio_weights(s, d):
     return rounded(_first_pass(s, d)[1].select("query_id", "term", "wq"), "wq")
 
 
-@register("rocchio_rerank", f"{_FEEDBACK}, {_scores('1 + log10(tf)').replace('s AS', 's2 AS', 1).replace(' w ', ' w2 ')} {_ranked(K).replace('FROM s)', 'FROM s2)')}")
+@register("rocchio_rerank", f"{_FEEDBACK}, {_scores('1 + log10(tf)').replace('s AS', 's2 AS', 1).replace(' w ', ' w2 ')} {_ranked().replace('FROM s', 'FROM s2')}")
 def rocchio_rerank(s, d):
     _, moved = _first_pass(s, d)
-    return rank.full_ranking(rank.scores(moved, zone_tf(s, d), rank.log_tf()), K)
+    return rank.full_ranking(rank.scores(moved, zone_tf(s, d), rank.log_tf()))
 
 
 @register("rocchio_last_term", f"""{_FEEDBACK},
 lt AS (SELECT query_id, arg_max(term, first_pos) AS term, arg_max(wq, first_pos) AS wq FROM w2 GROUP BY 1),
 s2 AS (SELECT s.query_id, s.doc_id, CASE WHEN tf IS NULL THEN wq ELSE wq * (1 + log10(tf)) END AS score, s.first_pos
   FROM s JOIN lt USING (query_id) LEFT JOIN p ON p.term = lt.term AND p.doc_id = s.doc_id)
-{_ranked(K).replace('FROM s)', 'FROM s2)')}""")
+{_ranked().replace('FROM s', 'FROM s2')}""")
 def rocchio_last_term(s, d):
     scored, moved = _first_pass(s, d)
-    return rank.full_ranking(feedback.rerank_last_term(scored, moved, zone_tf(s, d)), K)
+    return rank.full_ranking(feedback.rerank_last_term(scored, moved, zone_tf(s, d)))
 
 
-@register("rocchio_rerank_full", f"{_FEEDBACK}, {_scores('1 + log10(tf)').replace('s AS', 's2 AS', 1).replace(' w ', ' w2 ')} {_ranked().replace('FROM s', 'FROM s2')}")
-def rocchio_rerank_full(s, d):
-    _, moved = _first_pass(s, d)
-    return rank.full_ranking(rank.scores(moved, zone_tf(s, d), rank.log_tf()))
+# --- language model ------------------------------------------------------------------------------
 
 
-@register("rocchio_last_term_full", f"""{_FEEDBACK},
-lt AS (SELECT query_id, arg_max(term, first_pos) AS term, arg_max(wq, first_pos) AS wq FROM w2 GROUP BY 1),
-s2 AS (SELECT s.query_id, s.doc_id, CASE WHEN tf IS NULL THEN wq ELSE wq * (1 + log10(tf)) END AS score, s.first_pos
-  FROM s JOIN lt USING (query_id) LEFT JOIN p ON p.term = lt.term AND p.doc_id = s.doc_id)
-{_ranked().replace('FROM s', 'FROM s2')}""")
-def rocchio_last_term_full(s, d):
-    scored, moved = _first_pass(s, d)
-    return rank.full_ranking(feedback.rerank_last_term(scored, moved, zone_tf(s, d)))
+HELD_OUT = "doc_id % 5 = 0"
 
 
-# --- language model ------------------------------------------------------------------------------
+def lm_docs(s, d):
+    return spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
 
 
-def lm_rows(s, d):
-    rows = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
-    return rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
+def lm_all_counts(s, d):
+    return _kept(s, d, "lm", lambda: langmodel.gram_counts(lm_docs(s, d)))
 
 
-def lm_train_counts(s, d):
-    return _kept(s, d, "lm", lambda: langmodel.gram_counts(lm_rows(s, d)[0]))
+_GRAMS = "unnest(list_transform(range(1, length(text) - 2), lambda i: substring(text, CAST(i AS INTEGER), 4)))"
 
 
-_GRAMS = "unnest(list_transform(range(1, length(text) - 2), lambda i: substring(text, CAST(i AS INTEGER), 4)))"
-_LM = f"""WITH gc AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, {_GRAMS} AS gram FROM documents WHERE doc_id % 5 <> 0) GROUP BY 1, 2),
+def _model(train: str) -> str:
+    return f"""WITH gc AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, {_GRAMS} AS gram FROM documents WHERE {train}) GROUP BY 1, 2),
 tot AS (SELECT lang, CAST(sum(n) AS BIGINT) + (SELECT count(DISTINCT gram) FROM gc) AS total FROM gc GROUP BY 1),
 lm AS (SELECT lang, gram, (coalesce(n, 0) + 1) / CAST(total AS DOUBLE) AS p FROM (SELECT DISTINCT gram FROM gc) v CROSS JOIN tot LEFT JOIN gc USING (lang, gram))"""
-_LM_SCORES = f"""{_LM},
-tg AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, {_GRAMS} AS gram FROM documents WHERE doc_id % 5 = 0) GROUP BY 1, 2),
-sc AS (SELECT doc_id, lang, round({_sum('n * ln(p)')}, 6) AS score FROM tg JOIN lm USING (gram) GROUP BY 1, 2),
+
+
+def _predictions(train: str) -> str:
+    return f"""{_model(train)},
+tg AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, {_GRAMS} AS gram FROM documents) GROUP BY 1, 2),
+sc AS (SELECT doc_id, lang, CAST(sum(CAST(round(ln(p) * 1e10) AS BIGINT) * n) AS DOUBLE) / 1e10 AS score FROM tg JOIN lm USING (gram) GROUP BY 1, 2),
 best AS (SELECT doc_id, lang AS label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM sc) WHERE r = 1),
-pr AS (SELECT d.doc_id, d.text, d.lang, coalesce(label, 'other') AS label FROM documents d LEFT JOIN best USING (doc_id) WHERE d.doc_id % 5 = 0)"""
+pr AS (SELECT d.doc_id, d.text, d.lang, coalesce(label, 'other') AS label FROM documents d LEFT JOIN best USING (doc_id))"""
+
+
+_LM, _LM_SCORES = _model("lang IS NOT NULL"), _predictions("lang IS NOT NULL")
 
 
 @register("lm_counts", f"{_LM} SELECT lang, gram, n FROM gc")
 def lm_counts(s, d):
-    return lm_train_counts(s, d)
+    return lm_all_counts(s, d)
 
 
 @register("lm_totals", f"{_LM} SELECT lang, total FROM tot")
 def lm_totals(s, d):
-    return langmodel.totals(lm_train_counts(s, d))
+    return langmodel.totals(lm_all_counts(s, d))
 
 
 @register("lm_probs", f"{_LM} SELECT lang, gram, round(p * 1000000, 6) AS p_millionths FROM lm")
 def lm_probs(s, d):
-    p = langmodel.probabilities(lm_train_counts(s, d))
+    p = langmodel.probabilities(lm_all_counts(s, d))
     return p.select("lang", "gram", F.round(F.col("p") * 1000000, 6).alias("p_millionths"))
 
 
-@register("lm_scores", f"{_LM_SCORES} SELECT doc_id, lang, round(score, 4) AS score FROM sc")
+@register("lm_scores", f"{_LM_SCORES} SELECT doc_id, lang, round(score * 10000) / 10000 AS score FROM sc")
 def lm_scores(s, d):
-    found = langmodel.line_scores(lm_rows(s, d)[1], langmodel.probabilities(lm_train_counts(s, d)), "doc_id")
-    return found.select("doc_id", "lang", F.round("score", 4).alias("score"))
+    found = langmodel.line_scores(lm_docs(s, d), langmodel.probabilities(lm_all_counts(s, d)), "doc_id")
+    return found.select("doc_id", "lang", (F.round(F.col("score") * 10000) / 10000).alias("score"))
 
 
-def _predicted(s, d):
-    return langmodel.predict(lm_rows(s, d)[1], langmodel.probabilities(lm_train_counts(s, d)), "doc_id")
+def _predicted(s, d, counts=None):
+    return langmodel.predict(lm_docs(s, d), langmodel.probabilities(counts or lm_all_counts(s, d)), "doc_id")
 
 
 @register("lm_predict", f"{_LM_SCORES} SELECT doc_id, label || ' ' || text AS line FROM pr")
 def lm_predict(s, d):
-    return prediction_lines(lm_rows(s, d)[1], _predicted(s, d), "doc_id")
+    return prediction_lines(lm_docs(s, d), _predicted(s, d), "doc_id")
 
 
-@register("lm_predict_other", f"{_LM} SELECT doc_id, 'other' AS label FROM documents WHERE doc_id % 5 = 0")
+@register("lm_predict_other", f"{_LM_SCORES} SELECT doc_id, label FROM pr")
 def lm_predict_other(s, d):
-    """Lines without any known gram (shortened below the gram length) are labelled other."""
-    short = lm_rows(s, d)[1].select("doc_id", F.substring("text", 1, 3).alias("text"))
-    return langmodel.predict(short, langmodel.probabilities(lm_train_counts(s, d)), "doc_id")
+    """The label of every whole text; texts without any known gram are labelled other."""
+    return _predicted(s, d)
 
 
-def lm_all(s, d):
-    return spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
+_LM_HELD_OUT = _predictions(f"lang IS NOT NULL AND NOT ({HELD_OUT})")
 
 
-def lm_all_counts(s, d):
-    return _kept(s, d, "lm_all", lambda: langmodel.gram_counts(lm_all(s, d)))
+@register("lm_accuracy", f"{_LM_HELD_OUT} SELECT {HELD_OUT} AS held_out, lang, label, count(*) AS n, round(avg(CAST(lang = label AS INTEGER)), 6) AS accuracy FROM pr GROUP BY 1, 2, 3")
+def lm_accuracy(s, d):
+    """All documents are labelled by a model that has not learned from those of the held-out fold."""
+    counts = _kept(s, d, "lm_fold", lambda: langmodel.gram_counts(lm_docs(s, d).where(f"NOT ({HELD_OUT})")))
+    rows = lm_docs(s, d).select("doc_id", "lang").join(_predicted(s, d, counts), "doc_id")
+    hit = (F.col("lang") == F.col("label")).cast("int")
+    by = [F.expr(HELD_OUT).alias("held_out"), "lang", "label"]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
 
 
-def _all_rows(sql: str) -> str:
-    """The SQL over all documents instead of the folds."""
-    return sql.replace("WHERE doc_id % 5 <> 0", "WHERE lang IS NOT NULL").replace(" WHERE doc_id % 5 = 0", "").replace(" WHERE d.doc_id % 5 = 0", "")
+# --- stemmed indexes -----------------------------------------------------------------------------
 
 
-@register("lm_counts_full", f"{_all_rows(_LM)} SELECT lang, gram, n FROM gc")
-def lm_counts_full(s, d):
-    return lm_all_counts(s, d)
+def _stemmed(tokens: str) -> str:
+    """A relation tok0 (…, term) of tokens as tok with stems."""
+    return f"{tokens.replace('tok AS', 'tok0 AS')}, voc AS (SELECT DISTINCT term FROM tok0), st AS ({stem_sql('voc')}), tok AS (SELECT doc_id, stem AS term FROM tok0 JOIN st USING (term))"
 
 
-@register("lm_totals_full", f"{_all_rows(_LM)} SELECT lang, total FROM tot")
-def lm_totals_full(s, d):
-    return langmodel.totals(lm_all_counts(s, d))
+_STEM_BOOL = f"{_stemmed(_ALNUM)}, p AS (SELECT DISTINCT term, doc_id FROM tok)"
+_STEM_TF = f"{_stemmed(_ALL)}, p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), dict AS (SELECT term, count(*) AS df FROM p GROUP BY 1)"
+_STEM_ZONED = _ZONED.replace("zt AS", "zt0 AS").replace("zp AS", f"voc AS (SELECT DISTINCT term FROM zt0), st AS ({stem_sql('voc')}),\nzt AS (SELECT doc_id, zone, stem AS term FROM zt0 JOIN st USING (term)),\nzp AS", 1)
 
 
-@register("lm_probs_full", f"{_all_rows(_LM)} SELECT lang, gram, round(p * 1000000, 6) AS p_millionths FROM lm")
-def lm_probs_full(s, d):
-    p = langmodel.probabilities(lm_all_counts(s, d))
-    return p.select("lang", "gram", F.round(F.col("p") * 1000000, 6).alias("p_millionths"))
+def _stemmed_query_terms(keep: bool, drop_and: bool) -> str:
+    head, own = _query_terms(keep, drop_and).split("qt AS (")
+    own = own.replace("count(*) AS qtf, min(i) - 1 AS first_pos", "i").replace(" GROUP BY 1, 2)", ")")
+    return f"""{head}qt0 AS ({own}, qvoc AS (SELECT DISTINCT term FROM qt0), qst AS ({stem_sql('qvoc')}),
+qt AS (SELECT query_id, stem AS term, count(*) AS qtf, min(i) - 1 AS first_pos FROM qt0 JOIN qst USING (term) GROUP BY 1, 2)"""
 
 
-@register("lm_scores_full", f"{_all_rows(_LM_SCORES)} SELECT doc_id, lang, score FROM sc")
-def lm_scores_full(s, d):
-    return langmodel.line_scores(lm_all(s, d), langmodel.probabilities(lm_all_counts(s, d)), "doc_id")
+def stemmed_bool(s, d):
+    return _kept(s, d, "bool_stemmed", lambda: index.boolean_index(docs(s, d), stem=True))
 
 
-def _all_predicted(s, d):
-    return langmodel.predict(lm_all(s, d), langmodel.probabilities(lm_all_counts(s, d)), "doc_id")
+def stemmed_tf(s, d):
+    return _kept(s, d, "tf_stemmed", lambda: index.tf_index(docs(s, d), stem=True))
 
 
-@register("lm_predict_full", f"{_all_rows(_LM_SCORES)} SELECT doc_id, label || ' ' || text AS line FROM pr")
-def lm_predict_full(s, d):
-    return prediction_lines(lm_all(s, d), _all_predicted(s, d), "doc_id")
+def stemmed_zoned(s, d):
+    return _kept(s, d, "zoned_stemmed", lambda: index.zoned_index(cases(s, d), stem=True))
 
 
-@register("lm_predict_other_full", f"{_all_rows(_LM_SCORES)} SELECT doc_id, label FROM pr")
-def lm_predict_other_full(s, d):
-    """The label of every whole text; texts without any known gram are labelled other."""
-    return _all_predicted(s, d)
+@register("index_boolean_stemmed", f"WITH {_STEM_BOOL} SELECT term, doc_id FROM p")
+def index_boolean_stemmed(s, d):
+    return stemmed_bool(s, d).select("term", "doc_id")
 
 
-@register("lm_accuracy", f"{_LM_SCORES} SELECT lang, label, count(*) AS n, round(avg(CAST(lang = label AS INTEGER)), 6) AS accuracy FROM pr GROUP BY 1, 2")
-def lm_accuracy(s, d):
-    rows = lm_rows(s, d)[1].select("doc_id", "lang").join(_predicted(s, d), "doc_id")
-    hit = (F.col("lang") == F.col("label")).cast("int")
-    return rows.groupBy("lang", "label").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
+@register("index_zoned_stemmed", f"WITH {_STEM_ZONED} SELECT * FROM zp")
+def index_zoned_stemmed(s, d):
+    return stemmed_zoned(s, d).select("term", "doc_id", "tf_content", "tf_title", "tf_date", "tf_court")
 
 
-@register("lm_accuracy_full", f"{_all_rows(_LM_SCORES)} SELECT lang, label, count(*) AS n, round(avg(CAST(lang = label AS INTEGER)), 6) AS accuracy FROM pr GROUP BY 1, 2")
-def lm_accuracy_full(s, d):
-    """Over the documents that the model has learned from; ``lm_accuracy`` has the held-out fold."""
-    rows = lm_all(s, d).select("doc_id", "lang").join(_all_predicted(s, d), "doc_id")
-    hit = (F.col("lang") == F.col("label")).cast("int")
-    return rows.groupBy("lang", "label").agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
+_STEMMED_SQL = {
+    1: f"{_has('licens')} AND {_has('version')}",
+    2: f"{_has('licens')} OR {_has('thing')}",
+    3: f"NOT {_has('thing')} AND {_has('licens')}",
+    4: f"{_has('version')} AND NOT {_has('licens')}",
+}
+
+
+@register("bool_stemmed", _HELD.replace(_BOOL, _STEM_BOOL) + " " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, doc_id FROM h WHERE {c}" for i, c in _STEMMED_SQL.items()))
+def bool_stemmed(s, d):
+    return boolean.search(docs(s, d), stemmed_bool(s, d), STEMMED_QUERIES, stem=True)
+
+
+_STEM_LTC = f"WITH {_STEM_TF}, {_stemmed_query_terms(False, False)}, {_weights('t')}"
+
+
+@register("cosine_stemmed_top10", f"{_COSINE.replace(_LTC, _STEM_LTC)} SELECT * FROM top")
+def cosine_stemmed_top10(s, d):
+    postings = stemmed_tf(s, d)
+    terms = rank.query_terms(queries_of(s), keep=None, stem=True)
+    weights = rank.query_weights(terms, index.dictionary(postings, terms), n_docs(s, d), "t")
+    return rank.top_k(rank.cosine(weights, postings, index.doc_norms(postings)), K)
+
+
+@register("rank_stemmed_full", f"WITH {_STEM_ZONED}, {_stemmed_query_terms(True, True)}, {_weights('p')}, {_scores('1 + log10(tf)')} {_ranked()}")
+def rank_stemmed_full(s, d):
+    postings = index.zone_total(stemmed_zoned(s, d))
+    terms = rank.query_terms(queries_of(s), operator_words=("AND",), stem=True)
+    weights = rank.query_weights(terms, index.dictionary(postings, terms), n_docs(s, d), "p")
+    return rank.full_ranking(rank.scores(weights, postings, rank.log_tf()))
+
+
+# --- lengths by method ---------------------------------------------------------------------------
+
+_LENGTHS = {
+    "n": "sqrt(CAST(sum(tf * tf) AS DOUBLE))",
+    **{m: f"sqrt({_sum(f'({w}) * ({w})')})" for m, (w, _) in _METHOD_SQL.items() if m != "n"},
+}
+
+
+def _normalised_part(method: str) -> str:
+    w, j = _METHOD_SQL[method]
+    return f"""SELECT '{method}' AS tf_method, * FROM (WITH ln AS (SELECT doc_id, {_LENGTHS[method]} AS len FROM p {j} GROUP BY doc_id),
+{_scores(w, j).replace("s AS", "s0 AS", 1)}, s AS (SELECT query_id, doc_id, score / len AS score, first_pos FROM s0 JOIN ln USING (doc_id)) {_ranked(K)})"""
+
+
+@register("smart_normalised", f"{_LT}, {_STATS} {' UNION ALL '.join(map(_normalised_part, 'nlaL'))}")
+def smart_normalised(s, d):
+    out = None
+    for m in "nlaL":
+        part = rank.full_ranking(rank.smart_scores(lt_zoned(s, d), zone_tf(s, d), stats(s, d), m, normalised=True), K)
+        part = part.select(F.lit(m).alias("tf_method"), "*")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+# --- sources and sinks ---------------------------------------------------------------------------
+
+_ONE_LINE = "translate(text, chr(10) || chr(13), '  ')"
+
+
+@register("source_labelled_lines", f"SELECT lang, {_ONE_LINE} AS text FROM documents")
+def source_labelled_lines(s, d):
+    path = scratch.new_path(s, "labelled")
+    lines = lm_docs(s, d).select(F.concat("lang", F.lit(" "), F.expr(_ONE_LINE)))
+    lines.write.text(path)
+    return readers.labelled_lines(s, path)
+
+
+@register("source_lines", f"SELECT row_number() OVER (ORDER BY doc_id) AS line_no, {_ONE_LINE} AS text FROM documents")
+def source_lines(s, d):
+    path = scratch.new_path(s, "lines")
+    sinks.write_lines(docs(s, d).select("doc_id", F.expr(_ONE_LINE).alias("line")), path, "doc_id", "line", single=False)
+    return readers.numbered_lines(s, path)
+
+
+@register("source_zoned_csv", f"""SELECT doc_id, text AS content, split_part(text, chr(10), 1) AS title,
+  strftime(DATE '2000-01-01' + CAST(doc_id % 9000 AS INTEGER), '%Y-%m-%d') AS date_posted, source AS court FROM documents""")
+def source_zoned_csv(s, d):
+    path = scratch.new_path(s, "cases")
+    sinks.write_cases(cases(s, d), path)
+    return readers.zoned_csv(s, path)
+
+
+@register("source_queries", "SELECT * FROM (VALUES " + ", ".join(
+    f"(CAST({i} AS BIGINT), '{t}', CAST({n} AS BIGINT), {p})"
+    for i, t, n, p in [(1, "the", 1, 1), (1, "thing", 1, 2), (1, "version", 1, 6), (1, "of", 1, 7), (2, "the", 1, 0), (2, "thing", 1, 1), (4, "and", 1, 1), (4, "or", 2, 5), (4, "not", 1, 6)]
+) + ") x(query_id, term, qtf, first_pos)")
+def source_queries(s, d):
+    """Quoted phrases in a query file fall apart into their words; AND as an operator word goes."""
+    path = scratch.new_path(s, "queries")
+    sinks.write_lines(queries_of(s, PHRASE_QUERIES), path, "query_id", "query")
+    return rank.query_terms(readers.queries(s, path), operator_words=("AND",))
+
+
+_SAVED_TERMS = ["license", "the", "und", "zzznothing"]
+
+
+def _saved(s, d) -> str:
+    path, postings = scratch.new_path(s, "index"), tf_postings(s, d)
+    sinks.save_index(path, postings=postings, dictionary=index.dictionary(postings), doc_stats=index.doc_norms(postings), docs=docs(s, d).select("doc_id"))
+    return path
+
+
+@register("index_saved", f"""WITH {_TF}, ld AS (SELECT doc_id, round(sqrt({_sum('(1 + log10(tf)) * (1 + log10(tf))')}), 6) AS len_l FROM p GROUP BY 1)
+SELECT term, doc_id, tf, df, len_l FROM p JOIN dict USING (term) JOIN ld USING (doc_id) WHERE term IN ({", ".join(f"'{t}'" for t in _SAVED_TERMS)})""")
+def index_saved(s, d):
+    """Postings, dictionary and document lengths are written, read again and looked up by term."""
+    path = _saved(s, d)
+    hits = sinks.postings_of(sinks.load_index(s, path, "postings"), _SAVED_TERMS)
+    found = sinks.postings_of(sinks.load_index(s, path, "dictionary"), _SAVED_TERMS)
+    lengths = rounded(sinks.load_index(s, path, "doc_stats"), "len_l")
+    return hits.join(F.broadcast(found), "term").join(lengths, "doc_id").select("term", "doc_id", "tf", "df", "len_l")
+
+
+@register("universe_saved", f"{_HELD.replace(_BOOL, _ALL + ', p AS (SELECT DISTINCT term, doc_id FROM tok)')} SELECT doc_id FROM h WHERE NOT {_has('the')} AND NOT {_has('und')}")
+def universe_saved(s, d):
+    """A complement needs the saved universe of documents."""
+    path = _saved(s, d)
+    load = lambda name: sinks.load_index(s, path, name)
+    return boolean.search_sets(load("docs"), load("postings"), "NOT the AND NOT und", load("dictionary"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,13 +18,20 @@ CASES = T.StructType(
 
 
 def numbered_lines(spark: SparkSession, path: str, column: str = "text", number: str = "line_no") -> DataFrame:
-    """(number, column) of a text file. Lines are numbered in file order, from 1, within one file.
+    """(number, column) of text files. Lines are numbered from 1 in the order of files and their lines.
 
-    The file is read whole into one row: numbering needs the order, and query and test files are small.
+    Files are read in blocks by many tasks: a line's number is the number of lines in the blocks before,
+    of which there is one small row each, and its place in its own block.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
-    return whole.select(F.posexplode(lines).alias("i", column)).select((F.col("i") + 1).cast("long").alias(number), column)
+    lines = spark.read.text(path).select(
+        F.col("value").alias(column),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    blocks = lines.groupBy("_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")
+    blocks = blocks.select("_block", (before - F.col("_first") + 1).alias("_shift"))
+    return lines.join(F.broadcast(blocks), "_block").select((F.col("_at") + F.col("_shift")).alias(number), column)
 
 
 def labelled_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -26,9 +26,16 @@ def postings_of(postings: DataFrame, terms: list[str]) -> DataFrame:
     return postings.where(F.col("term").isin(terms))
 
 
-def write_lines(df: DataFrame, path: str, key: str, value: str) -> None:
-    """One line per row in the order of ``key``; result files have one line per query and are small."""
-    df.orderBy(key).select(value).coalesce(1).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, key: str, value: str, single: bool = True) -> None:
+    """One line per row in the order of ``key``: in one file (results with a line per query are small), or in
+    as many as there are partitions, of which the names follow the order."""
+    lines = df.orderBy(key).select(value)
+    (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
+
+
+def write_cases(df: DataFrame, path: str) -> None:
+    """Zoned documents as CSV files with a header, as ``readers.zoned_csv`` reads them."""
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def prediction_lines(tests: DataFrame, predicted: DataFrame, key: str = "line_no") -> DataFrame:

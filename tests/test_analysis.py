@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import duckdb
+
 from termforge.functions import analysis, porter
+from termforge.plans.stem_oracle import stem_sql
 from termforge.sources import readers, sinks
 
 # examples of the 1980 paper
@@ -23,7 +26,47 @@ STEMS = {
 
 def test_porter(spark):
     words = spark.createDataFrame([(w,) for w in STEMS], "term string")
-    assert {r.term: r.stem for r in porter.stems(words).collect()} == STEMS
+    assert {r.term: r.stem for r in porter.stems(words, extended=False).collect()} == STEMS
+
+
+#: Known forms of the extended stemmer.
+EXTENDED = {
+    "dies": "die", "died": "die", "dying": "die", "flies": "fli", "ties": "tie", "ponies": "poni", "cried": "cri", "enjoy": "enjoy", "say": "say", "happy": "happi",
+    "by": "by", "aged": "age", "skies": "sky", "news": "news", "proceed": "proceed", "nationally": "nation", "hopefully": "hope", "possibly": "possibl", "geology": "geolog",
+    "succeed": "succeed",
+}
+
+
+def test_extended_porter(spark):
+    words = spark.createDataFrame([(w,) for w in EXTENDED], "term string")
+    got = {r.term: r.stem for r in porter.stems(words).collect()}
+    assert got == EXTENDED
+
+
+def test_porter_against_rule_tables(spark):
+    """Words of beginnings and endings, by the expressions and by the tables of the SQL counterpart."""
+    starts = "a o ag y sk d cr happ fall fil ration condit geo str syz toy empl oy ab tr v vv é ñj yb".split()
+    ends = "sses ies s eed ed ing y alli ational tional bli logi fulli ation alism icate ful ance ement ment ion sion e ll ied ly iness".split()
+    words = sorted({a + b + c for a in starts for b in ["", *ends] for c in ("", "s", "ed", "ly")})
+    got = {r.term: r.stem for r in porter.stems(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE voc (term VARCHAR)")
+    c.executemany("INSERT INTO voc VALUES (?)", [(w,) for w in words])
+    assert got == dict(c.sql(stem_sql("voc")).fetchall())
+
+
+def test_lines_of_several_files_and_blocks(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    lines = [f"line {i}" * (i % 7) for i in range(3000)]
+    (tmp_path / "x" / "part-0").write_text("\n".join(lines[:2000]) + "\n")
+    (tmp_path / "x" / "part-1").write_text("\n".join(lines[2000:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = sorted(tuple(r) for r in readers.numbered_lines(spark, str(tmp_path / "x")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(lines, 1))
 
 
 def test_token_filters(spark):

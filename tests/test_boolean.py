@@ -99,3 +99,16 @@ def test_random_trees(corpus, trees):
     for i, t in enumerate(trees):
         assert {r.doc_id for r in rows if r.query_id == i} == answers(t)
         assert terms(parse(text_of(t))) == terms(t)
+
+
+def test_operands_by_size_and_stems(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    postings = index.boolean_index(docs)
+    for q, expected in EXPECTED.items():
+        got = boolean.search_sets(docs, postings, q, index.dictionary(postings))
+        assert sorted(r.doc_id for r in got.collect()) == expected, q
+    sizes = {"apple": 2, "banana": 3}
+    assert boolean.estimate(parse("apple AND banana"), sizes, 9) == 2 and boolean.estimate(parse("apple OR NOT x"), sizes, 9) == 9
+    stemmed = index.boolean_index(docs, stem=True)
+    got = boolean.search(docs, stemmed, [(1, "cherries AND apples"), (2, "NOT bananas")], stem=True)
+    assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3), (2, 4)]

@@ -25,7 +25,7 @@ def test_flagship(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["tokens_stemmed", "bool_batch", "cosine_lnc_ltc_top10", "rocchio_rerank", "lm_predict_other"])
+@pytest.mark.parametrize("name", ["tokens_stemmed", "bool_batch", "cosine_lnc_ltc_top10", "rocchio_rerank", "lm_predict_other", "index_zoned_stemmed", "bool_stemmed", "cosine_stemmed_top10", "smart_normalised", "source_lines", "source_zoned_csv", "source_queries", "index_saved"])
 def test_against_sql(spark, name):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -59,19 +59,19 @@ LM_ROWS = [(1, "abcdabcd", "x"), (2, "bcdefbcdef", "y"), (3, "abcde", "x"), (5,
 
 
 def test_other_is_predicted_on_whole_texts(spark, tmp_path):
-    got, expected = both(spark, documents(tmp_path, LM_ROWS), "lm_predict_other_full")
+    got, expected = both(spark, documents(tmp_path, LM_ROWS), "lm_predict_other")
     assert got == expected
     assert sorted(got) == [(1, "x"), (2, "y"), (3, "x"), (5, "y"), (6, "other"), (10, "other"), (11, "other")]
 
 
-@pytest.mark.parametrize("name, size", [("lm_counts_full", 11), ("lm_totals_full", 2), ("lm_probs_full", 20), ("lm_scores_full", 8), ("lm_predict_full", 7), ("lm_accuracy_full", 5)])
+@pytest.mark.parametrize("name, size", [("lm_counts", 11), ("lm_totals", 2), ("lm_probs", 20), ("lm_scores", 8), ("lm_predict", 7), ("lm_accuracy", 6)])
 def test_language_model_of_all_documents(spark, tmp_path, name, size):
     folder = documents(tmp_path, LM_ROWS)
     got, expected = both(spark, folder, name)
     assert got == expected and len(got) == size
 
 
-@pytest.mark.parametrize("name", ["title_boost_full", "rocchio_rerank_full", "rocchio_last_term_full"])
+@pytest.mark.parametrize("name", ["title_boost", "rocchio_rerank", "rocchio_last_term"])
 def test_rankings_hold_every_match(spark, tmp_path, name):
     rows = [(i, "the thing\n" * (1 + i % 4) + "of " * (i % 5) + ("zzz " * i), "x") for i in range(1, 31)]
     folder = documents(tmp_path, [*rows, (31, "que la", "y"), (32, "nothing here", "x")])

@@ -128,3 +128,39 @@ def test_order_free_sum(spark):
 
     rows = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "x double")
     assert rows.agg(exact_sum(F.col("x")).alias("s")).first().s == pytest.approx(0.6)
+
+
+def test_whole_ranking_in_parts(spark, monkeypatch):
+    """Scores that repeat very often are cut by first term and id; ranks are those of one sort."""
+    monkeypatch.setattr(rank, "SCORE_PARTS", 8)
+    monkeypatch.setattr(rank, "ID_PARTS", 5)
+    rows = [(q, i, float((i * 7919) % (3 if q == 1 else 50)), i % 2) for q in (1, 2) for i in range(300)] + [(3, -5, 1.5, 0)]
+    scored = spark.createDataFrame(rows, "query_id long, doc_id long, score double, first_pos int")
+    got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in rank.full_ranking(scored).collect())
+    expected = []
+    for q in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[3], -r[1]))
+        expected += [(q, n, r[1], r[2]) for n, r in enumerate(own, 1)]
+    assert got == expected
+
+
+def test_a_word_of_many_occurrences(spark):
+    postings = spark.createDataFrame([("w", 1, 20_000_000), ("x", 1, 1)], "term string, doc_id long, tf long")
+    row = index.doc_stats(postings).collect()[0]
+    assert row.len_n == pytest.approx(20_000_000) and row.max_tf == 20_000_000
+
+
+def test_small_weights_are_broadcast(spark, corpus):
+    w = weights(spark, corpus, "apple cherry", "t")
+    plan = rank.scores(w, corpus[0], rank.log_tf())._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_lengths_by_method(spark, corpus):
+    postings = corpus[0]
+    stats = index.doc_stats(postings)
+    w = weights(spark, corpus, "apple cherry cherry zzz", "t")
+    plain = {r.doc_id: r.score for r in rank.smart_scores(w, postings, stats, "l").collect()}
+    divided = {r.doc_id: r.score for r in rank.smart_scores(w, postings, stats, "l", normalised=True).collect()}
+    lengths = {r.doc_id: r.len_l for r in stats.collect()}
+    assert divided == {i: pytest.approx(s / lengths[i]) for i, s in plain.items()}

@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
 
     rows = training_rows(docs, sample, "quality").select("doc_id", "quality", "text")
     rows = rows.mapInArrow(run, "doc_id long, quality int, words binary, stats binary").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.sort_values(["doc_id", "words", "stats"]).drop_duplicates("doc_id")  # of repeated ids the same row always
     if not len(rows):
         return None
     return train(
@@ -202,7 +202,9 @@ def rate(docs: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ()) -
     """doc_id and score (0 to 1, higher is better) of every text, and the columns of ``keep``.
 
     Null texts count as empty. Without a machine (no labels) every text scores 0.5. Rows are rated
-    one by one: repeated rows and null ids are ordinary.
+    one by one: repeated rows and null ids are ordinary, and very long texts are rated whole. Ids are
+    whole numbers, or text of whole numbers. Columns of ``keep`` must not be called doc_id, score or
+    _text; other columns, whatever their names, are ignored.
     """
     source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType(), False)]

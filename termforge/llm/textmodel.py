@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(kinds: str) -> str:
+    """The characters of some general categories (by their first letters) as the inside of a character class."""
+    out, first = [], None
+    for i in range(sys.maxunicode + 2):
+        inside = i <= sys.maxunicode and unicodedata.category(chr(i))[0] in kinds
+        if inside and first is None:
+            first = i
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{i - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+#: A letter, and letters and the marks on them.
+WORDS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters with their marks, lower-cased; signs for numbers are no letters."""
     return WORDS.findall(text.lower()) if text else []
 
 

@@ -2,7 +2,9 @@
 
 Host labels and path tokens are split into words by a unigram model (Viterbi over word
 probabilities, with a length penalty for unknown words), and a multinomial naive Bayes model
-scores the words. Both models are trained here on the fixed examples below.
+scores the words. Word probabilities come from the texts of all pages: on how many hosts a word
+stands, so that neither copies nor the own name of a site, which is what is to be split, make a
+word frequent. The verdicts' model is trained on the fixed examples below, as no urls are labelled.
 """
 
 from __future__ import annotations
@@ -51,7 +53,10 @@ NEUTRAL = frozenset("com de edu en es example fr html http https m net org ref s
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BLOCK_PRIOR = 0.2
 ALPHA = 0.5
-LONGEST_WORD = 24
+#: Words of the unigram model: on at least so many hosts, and at least this share of all (host, word) pairs, so that
+#: there are no more than 1 / LEAST_SHARE of them. The examples' words have EXAMPLE_SHARE of the probability.
+LEAST_HOSTS, LEAST_SHARE, EXAMPLE_SHARE = 2, 1 / 500_000, 0.02
+MARKUP = re.compile(r"<(?:script|style)\b.*?</(?:script|style)|<[^>]*>|&[a-z]+;", re.S | re.I)
 CACHED = 100_000
 UPPER_TO_LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 AFTER_SCHEME = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
@@ -80,20 +85,29 @@ class Model:
     total: float = 1.0
     evidence: dict[str, float] = field(default_factory=dict)  # log P(w | block) - log P(w | allow)
     prior: float = 0.0
+    longest: int = 1
 
     def unknown(self, size: int) -> float:
         """Log probability of an unknown word: the longer the rarer, yet likelier than several unknown pieces."""
         return -math.log(self.total * 10) - 1.5 * size
 
     def segment(self, name: str) -> list[str]:
-        """The most probable split of a name into words."""
-        best: list[tuple[float, int]] = [(0.0, 0)]
+        """The most probable split of a name into words, of which unknown ones may have any length.
+
+        Time grows with the name's length times that of the longest known word: an unknown piece grows
+        letter by letter at a constant cost.
+        """
+        begin, longest = self.unknown(0), self.longest
+        best: list[tuple[float, int]] = [(0.0, 0)]  # of each prefix: the value and the last word's beginning
+        piece = (-math.inf, 0)  # the best split that ends in an unknown piece
         for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - LONGEST_WORD), end):
-                w = name[start:end]
-                options.append((best[start][0] + self.words.get(w, self.unknown(len(w))), start))
-            best.append(max(options))
+            piece = max((piece[0] - 1.5, piece[1]), (best[-1][0] + begin - 1.5, end - 1))
+            here = piece
+            for start in range(max(0, end - longest), end):
+                p = self.words.get(name[start:end])
+                if p is not None:
+                    here = max(here, (best[start][0] + p, start))
+            best.append(here)
         out, end = [], len(name)
         while end:
             out.append(name[best[end][1] : end])
@@ -115,12 +129,40 @@ class Model:
         return odds
 
 
-def fit() -> Model:
-    """Unigram and naive Bayes models from the examples."""
+def host_words(pages: DataFrame) -> DataFrame:
+    """(word, hosts): on how many hosts a word stands in the text of a page, of all pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[tuple[str, str]] = set()
+            for url, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                host = split_url(url)[0]
+                seen.update((host, w) for w in set(TOKENS.findall(MARKUP.sub(" ", html.as_py() or "").lower())))
+            rows = list(zip(*seen)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.string()) for r in rows], names=["host", "word"])
+
+    found = common.spread(pages.select("url", "html")).mapInArrow(run, "host string, word string")
+    found = found.select(F.xxhash64("host").alias("host"), "word").distinct()
+    return found.groupBy("word").agg(F.count("*").alias("hosts"))
+
+
+def fit(pages: DataFrame | None = None) -> Model:
+    """The unigram model of all pages' texts (of the examples alone without any), and naive Bayes of the examples.
+
+    At most 1 / LEAST_SHARE words reach the driver, however many pages there are.
+    """
     block, allow = Counter(TOKENS.findall(BLOCK_EXAMPLES)), Counter(TOKENS.findall(ALLOW_EXAMPLES))
     both = block + allow
-    total = sum(both.values())
-    model = Model({w: math.log(n / total) for w, n in both.items()}, float(total))
+    examples = sum(both.values())
+    shares, total = {w: n / examples for w, n in both.items()}, float(examples)
+    if pages is not None:
+        counts = common.written(host_words(pages), "host-words")
+        total = float(counts.agg(F.sum("hosts")).first()[0] or 0)
+        least = max(LEAST_HOSTS, total * LEAST_SHARE)
+        learned = {r[0]: r[1] / total * (1 - EXAMPLE_SHARE) for r in counts.where(F.col("hosts") >= least).collect()} if total else {}
+        shares = {w: learned.get(w, 0.0) + EXAMPLE_SHARE * shares.get(w, 0.0) for w in learned.keys() | shares.keys()}
+        total = max(total, examples / EXAMPLE_SHARE)
+    model = Model({w: math.log(p) for w, p in shares.items()}, total, longest=max(map(len, shares)))
     nb, na, size = sum(block.values()), sum(allow.values()), len(both)
     for w in both:
         model.evidence[w] = math.log((block[w] + ALPHA) / (nb + ALPHA * size)) - math.log(
@@ -130,16 +172,18 @@ def fit() -> Model:
     return model
 
 
-def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, model: Model | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score of every url.
 
-    A null url has empty host and path and is judged like any other (allowed, by the prior). Rows are
-    judged one by one: repeated rows and null ids are ordinary; other columns are ignored.
+    Without a ``model``, one is fitted on the pages if they have an html column. A null url has empty
+    host and path and is judged like any other (allowed, by the prior). Rows are judged one by one:
+    repeated rows and null ids are ordinary. Ids are whole numbers, or text of whole numbers; other
+    columns, whatever their names, are ignored. Long urls take time in proportion to their length.
     """
-    model = fit()
+    shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages if "html" in pages.columns else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        model, cache = shared.value, {}
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for url in batch.column(1).to_pylist():

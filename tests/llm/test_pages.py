@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import time
 
@@ -101,6 +102,36 @@ def test_segmentation_against_all_splits():
         )
         assert value(model.segment(name)) == pytest.approx(best)
     assert model.segment("casinowin") == ["casino", "win"]
+    began = time.perf_counter()
+    long = model.segment("q" * 30_000 + "prescription" + "z" * 30_000)
+    assert long == ["q" * 30_000, "prescription", "z" * 30_000] and time.perf_counter() - began < 20
+
+
+def test_words_learned_from_pages(spark):
+    said = "<p>We sell <b>flowers</b> and mortgage&nbsp;calculators</p><script>hidden words</script>"
+    rows = [(i, f"http://site{'abcdefgh'[i % 8]}.com/", said) for i in range(24)] + [(30 + i, "http://buyflowers.com/", "buyflowers " * 50) for i in range(9)]
+    pages = spark.createDataFrame([*rows, (99, None, None), (100, "http://x.com", "")], "page_id long, url string, html string")
+    model = urls.fit(pages)
+    assert model.segment("mortgagecalculators") == ["mortgage", "calculators"] and model.segment("sellflowers") == ["sell", "flowers"]
+    # a site's own name is on one host however often it is said, and hidden text is no text
+    assert "buyflowers" not in model.words and "hidden" not in model.words and "nbsp" not in model.words
+    assert urls.fit(pages.limit(0)).words.keys() == urls.fit().words.keys()
+
+
+def test_scores_against_all_splits(spark):
+    """The returned score from the best of all splits, the words' evidence and the prior."""
+    model = urls.fit()
+    rows = [(1, "http://freebets.com/casinowin/x"), (2, "http://dailynews.org/adstrack"), (3, "http://qzq.net/")]
+    got = {r.page_id: r.block_score for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), model=model).collect()}
+    value = lambda parts: sum(model.words.get(w, model.unknown(len(w))) for w in parts)
+    for i, url in rows:
+        odds = model.prior
+        for token in urls.TOKENS.findall(url.split("//")[1]):
+            if token not in urls.NEUTRAL:
+                n = len(token)
+                splits = ([token[a:b] for a, b in zip((0, *cuts), (*cuts, n))] for k in range(n) for cuts in itertools.combinations(range(1, n), k))
+                odds += sum(model.evidence.get(w, 0.0) for w in max(splits, key=value))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-odds)))
 
 
 def test_verdicts(spark):

@@ -40,7 +40,7 @@ def _starts(n: Column, width: int) -> Column:
 
 
 def fingerprints(df: DataFrame, window: int, gram: int) -> DataFrame:
-    """``df`` with array ``g`` of (fp, pos): the leftmost smallest k-gram of every window of ``window`` words.
+    """``df`` with array ``g`` of (fp, size, pos): the leftmost smallest k-gram of every window of ``window`` words.
 
     Reads column ``h``, the hashes of the words. Each step is a projection of its own, since the optimizer
     would otherwise compute inner arrays once for every element of outer ones; elements are read by
@@ -49,7 +49,7 @@ def fingerprints(df: DataFrame, window: int, gram: int) -> DataFrame:
     run = window - gram + 1
     grams = F.transform(
         _starts(F.size("h"), gram),
-        lambda i: F.struct(F.xxhash64(F.lit(window), *(F.get("h", i + j) for j in range(gram))).alias("fp"), i.alias("pos")),
+        lambda i: F.struct(F.xxhash64(F.lit(window), *(F.get("h", i + j) for j in range(gram))).alias("fp"), F.lit(window).alias("size"), i.alias("pos")),
     )
     df = df.withColumn("g", grams)
     if run == 1:
@@ -71,8 +71,7 @@ def document_prints(docs: DataFrame, sizes: dict[int, int]) -> DataFrame:
     rows = rows.select("doc_id", "th", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     rows = rows.withColumn("all", F.array(F.struct(F.lit(None).cast("long"), F.lit(0), F.size("h"))).cast(kind))
     for size, gram in sizes.items():
-        found = F.transform("g", lambda x: F.struct(x["fp"], F.lit(size), x["pos"])).cast(kind)  # noqa: B023
-        rows = fingerprints(rows, size, gram).withColumn("found", found).withColumn("all", F.concat("all", "found"))
+        rows = fingerprints(rows, size, gram).withColumn("all", F.concat("all", F.col("g").cast(kind)))
     # an outer explode: a filter that the optimizer infers for an inner one would compute the arrays again
     return rows.select("doc_id", "th", F.explode_outer("all").alias("g")).select("doc_id", "th", "g.*")
 

@@ -21,9 +21,9 @@ from termforge.llm.textmodel import training_rows, words_of
 
 #: At most so many training texts of each language.
 TRAIN_PER_LANG = 3_000
-#: At most so many words and n-grams are kept, the most frequent first.
-MAX_WORDS = 150_000
-MAX_GRAMS = 150_000
+#: Each table of words or n-grams has at most so many numbers (128 MB), a number for each key and language: all keys of
+#: the training texts but where there are very many languages, and then the most frequent.
+TABLE_NUMBERS = 1 << 24
 LONGEST = 5
 ADD = 0.5
 CACHED = 200_000
@@ -88,18 +88,21 @@ class Scorer:
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _tables(counts: DataFrame, key: str, langs: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """Keys and their add-constant log frequencies by language, the most frequent keys first."""
+def _tables(counts: DataFrame, key: str, langs: list[str], numbers: int) -> tuple[list[str], np.ndarray]:
+    """Keys and their add-constant log frequencies by language."""
     per = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
     wide = counts.groupBy(key).agg(F.sum("n").alias("n"), *per)
+    wide = common.written(wide, f"lang-{key}s")
     sums = wide.agg(F.count("*"), *(F.sum(f"n{i}") for i in range(len(langs)))).first()
-    rows = wide.orderBy(F.desc("n"), key).limit(most).collect()
-    n = np.array([[float(r[f"n{i}"]) for i in range(len(langs))] for r in rows]).reshape(-1, len(langs))
+    most = max(1, numbers // len(langs))
+    kept = wide if sums[0] <= most else wide.orderBy(F.desc("n"), key).limit(most)
+    rows = kept.toArrow().sort_by(key)
+    n = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], 1).astype(float)
     totals = np.array([float(x or 0) for x in sums[1:]]) + ADD * (sums[0] + 1)
-    return [r[key] for r in rows], np.log((n + ADD) / totals)
+    return rows.column(key).to_pylist(), np.log((n + ADD) / totals)
 
 
-def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST) -> Model:
+def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST, numbers: int = TABLE_NUMBERS) -> Model:
     """Learn from documents with a language outside the held-out fold (crc32 of the id mod 3 is 1)."""
     known = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold_remainder(F.col("doc_id"), 3) != 1)
@@ -130,7 +133,7 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST)
     if not langs:
         return Model()
     # a word seen once tells little and leaves unseen words to the n-grams, as in new texts
-    words, logs = _tables(counted.where("n > 1"), "word", langs, MAX_WORDS)
+    words, logs = _tables(counted.where("n > 1"), "word", langs, numbers)
     tables = [logs]
     model = Model(langs, words={w: i for i, w in enumerate(words)})
     padded = counted.withColumn("padded", F.concat(F.lit("<"), "word", F.lit(">")))
@@ -142,7 +145,7 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST)
             "lang", F.explode(F.transform(starts, lambda i: F.col("padded").substr(i, F.lit(n)))).alias("gram")
         )
         # words count once each: frequent words are in the table already
-        keys, logs = _tables(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "gram", langs, MAX_GRAMS // longest)
+        keys, logs = _tables(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "gram", langs, numbers)
         first = sum(map(len, tables))
         model.grams.append({k: first + i for i, k in enumerate(keys)})
         tables.append(logs)
@@ -163,7 +166,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     """doc_id, lang_pred, score of every text, and the columns of ``keep``.
 
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the language first
-    in alphabetical order. Rows are judged one by one: repeated rows and null ids are ordinary.
+    in alphabetical order. Rows are judged one by one: repeated rows and null ids are ordinary, and very
+    long texts are judged whole. Ids are whole numbers, or text of whole numbers. Columns of ``keep`` must
+    not be called doc_id, lang_pred, score or _text; other columns, whatever their names, are ignored.
     """
     source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
     schema = T.StructType([*RESULT.fields, *(source.schema[c] for c in keep)])

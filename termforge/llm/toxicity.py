@@ -1,10 +1,11 @@
 """Toxic passages by maximum-scoring segments.
 
 Training gives every token a log-odds score under an informative Dirichlet prior (its own overall
-frequency), lowered by a confidence margin. What is counted is not occurrences but *distinct
+frequency), shrunk towards 0 by a confidence margin. What is counted is not occurrences but *distinct
 preceding words* of a token, so that copies and shared passages weigh as one observation. Scoring
 runs the linear-time scan for all maximal scoring segments over the tokens of a text, turns segment
-scores into E-values by the extreme-value law fitted on clean training texts, and aggregates them.
+scores into E-values by an extreme-value law whose two constants are fitted on clean texts that the
+scores were not learned from, and aggregates them.
 """
 
 from __future__ import annotations
@@ -24,45 +25,35 @@ from termforge.llm.textmodel import training_rows, words_of
 
 #: At most so many training texts of each label.
 TRAIN_PER_CLASS = 10_000
-#: At most so many scored tokens and prefixes are kept, the most certain first.
-MAX_ENTRIES = 50_000
 #: Dirichlet prior: so much for every token, and so many observations dealt by overall frequency.
 PRIOR_BASE = 0.5
 PRIOR_WEIGHT = 1_000.0
-#: Scores are lowered by so many standard errors; entries need a z of at least MIN_Z and a lowered
-#: score of at least MIN_SCORE: words of a topic or language that toxic texts merely prefer are no signs.
+#: Scores are shrunk by so many standard errors. Tokens that speak for toxicity need a z of at least MIN_Z and a score of
+#: at least MIN_SCORE (words of a topic or language that toxic texts merely prefer are no signs); tokens that speak
+#: against it more than BACKGROUND keep their own score, all others have BACKGROUND.
 MARGIN = 1.0
 MIN_Z = 3.0
 MIN_SCORE = 2.0
 MIN_CONTEXTS = 3
-#: Unknown tokens fall back to their prefixes of these lengths, the longest first.
-PREFIXES = (6, 5, 4)
+BACKGROUND = -0.05
+#: One of so many training texts is kept out of the scores that the constants of the tail are fitted with.
+TAIL_FOLDS = 4
 #: Segments with more than this many expected by chance in a clean text are not passages.
-MAX_E_VALUE = 0.001
+MAX_E_VALUE = 0.003
 
 
 @dataclass
 class Model:
-    """Token scores, scores of prefixes for unknown tokens, the score of all others, and the tail's constants."""
+    """Token scores, the score of all others, and the tail's constants: E = K n exp(-lambda s) segments by chance."""
 
     tokens: dict[str, float] = field(default_factory=dict)
-    prefixes: dict[str, float] = field(default_factory=dict)
-    background: float = -0.05
+    background: float = BACKGROUND
     share: float = 0.1  # of toxic texts
     tail_k: float = 1.0
     tail_lambda: float = 1.0
 
     def score(self, word: str) -> float:
-        s = self.entry(word)
-        return self.background if s is None else s
-
-    def entry(self, word: str) -> float | None:
-        s = self.tokens.get(word)
-        if s is None and len(word) > PREFIXES[-1]:
-            for n in PREFIXES:
-                if len(word) > n and (s := self.prefixes.get(word[:n])) is not None:
-                    return s
-        return s
+        return self.tokens.get(word, self.background)
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -88,10 +79,10 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 def sparse_segments(model: Model, words: list[str]) -> list[tuple[int, int, float]]:
     """The same segments; runs of background words enter the scan as one negative step."""
-    bg, scored = model.background, {w: s for w in set(words) if (s := model.entry(w)) is not None}
-    at = [(i, scored[w]) for i, w in enumerate(words) if w in scored] if scored else []
-    if not at:
+    bg, scored = model.background, {w: s for w in set(words) if (s := model.tokens.get(w)) is not None}
+    if not any(s > 0 for s in scored.values()):
         return []
+    at = [(i, scored[w]) for i, w in enumerate(words) if w in scored]
     steps, place, last = [], [], -1
     for i, s in at:
         if i - last > 1:
@@ -122,79 +113,79 @@ def judge(model: Model, text: str | None) -> tuple[float, list[tuple[int, int, f
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
-    """Learn from labelled documents outside the held-out fold (crc32 of the id mod 5 is 0)."""
+    """Learn from labelled documents outside the held-out fold (crc32 of the id mod 5 is 0).
+
+    Scores come from all sampled texts. The tail's constants come from scores of the same kind without
+    one of TAIL_FOLDS texts, and from the clean ones among these. Entries are words of the sample.
+    """
     known = common.one_label(labels, "toxic").where(common.fold_remainder(F.col("doc_id"), 5) != 0)
     sample = common.class_sample(known.withColumn("toxic", (F.col("toxic") > 0).cast("int")), "toxic", per_class)
     texts = training_rows(docs, sample, "toxic")
+    texts = texts.withColumn("kept", (F.pmod(F.xxhash64("doc_id", F.lit("tail")), F.lit(TAIL_FOLDS)) == 0).cast("int"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[int, str, str]] = set()
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            seen: set[tuple[int, int, str, str]] = set()
+            for toxic, kept, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = words_of(text.as_py())
-                seen.update((toxic, a, w) for a, w in zip(["", *words], words))
-            rows = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())],
-                names=["toxic", "before", "word"],
-            )
-
-    contexts = texts.select("toxic", "text").mapInArrow(pairs, "toxic int, before string, word string").distinct()
-    both = contexts.groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum(1 - F.col("toxic")).alias("y0"))
+                seen.update((toxic, kept, a, w) for a, w in zip(["", *words], words))
+            rows = list(zip(*seen)) or [(), (), (), ()]
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["toxic", "kept", "before", "word"])
+
+    contexts = texts.select("toxic", "kept", "text").mapInArrow(pairs, "toxic int, kept int, before string, word string")
+    contexts = contexts.groupBy("toxic", "before", "word").agg((1 - F.min("kept")).alias("rest"))
+    of = lambda toxic, what: F.sum(F.when(F.col("toxic") == toxic, what).otherwise(0))
+    both = contexts.groupBy("word").agg(
+        of(1, F.lit(1)).alias("y1"), of(0, F.lit(1)).alias("y0"), of(1, F.col("rest")).alias("r1"), of(0, F.col("rest")).alias("r0")
+    )
     both = common.written(both, "toxic-words")
-    n1, n0 = (float(x or 0) for x in both.agg(F.sum("y1"), F.sum("y0")).first())
-    if not n1 or not n0:
+    sums = [float(x or 0) for x in both.agg(*(F.sum(c) for c in ("y1", "y0", "r1", "r0"))).first()]
+    if not sums[0] or not sums[1]:
         return Model()
 
-    def entries(counts: DataFrame, key: str) -> dict[str, float]:
-        a0 = F.lit(PRIOR_WEIGHT)
-        prior = F.lit(PRIOR_BASE) + a0 * (F.col("y1") + F.col("y0")) / (n1 + n0)
-        p1, p0 = F.col("y1") + prior, F.col("y0") + prior
+    def entries(y1: str, y0: str, n1: float, n0: float) -> dict[str, float]:
+        prior = F.lit(PRIOR_BASE) + PRIOR_WEIGHT * (F.col(y1) + F.col(y0)) / (n1 + n0)
+        p1, p0 = F.col(y1) + prior, F.col(y0) + prior
         delta = F.log(p1 / (n1 + PRIOR_WEIGHT - p1)) - F.log(p0 / (n0 + PRIOR_WEIGHT - p0))
-        low = delta - MARGIN * F.sqrt(1 / p1 + 1 / p0)
-        rows = (
-            counts.where(F.col("y1") >= MIN_CONTEXTS)
-            .select(key, low.alias("low"), (delta / F.sqrt(1 / p1 + 1 / p0)).alias("z"))
-            .where((F.col("low") >= MIN_SCORE) & (F.col("z") >= MIN_Z))
-            .orderBy(F.desc("z"), key)
-            .limit(MAX_ENTRIES)
-            .collect()
-        )
-        return {r[0]: float(r[1]) for r in rows}
-
-    model = Model(entries(both, "word"))
-    for n in PREFIXES:
-        stems = both.where(F.length("word") > n).groupBy(F.substring("word", 1, n).alias("stem"))
-        model.prefixes |= entries(stems.agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "stem")
-    return calibrated(model, texts)
+        error = F.sqrt(1 / p1 + 1 / p0)
+        low, high = delta - MARGIN * error, delta + MARGIN * error
+        sign = (F.col(y1) >= MIN_CONTEXTS) & (low >= MIN_SCORE) & (delta / error >= MIN_Z)
+        score = F.when(sign, low).when(high < BACKGROUND, high)
+        rows = both.select("word", score.alias("score")).where("score is not null").toArrow()
+        return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+
+    model = Model(entries("y1", "y0", *sums[:2]))
+    toxic, every = texts.agg(F.sum("toxic"), F.count("*")).first()
+    model.share = min(0.5, max(0.01, toxic / every))  # the sample holds at most as many of each label
+    part = Model(entries("r1", "r0", *sums[2:])) if sums[2] and sums[3] else model
+    model.tail_k, model.tail_lambda = tail(part, texts.where("kept = 1 and toxic = 0"))
+    return model
 
 
-def calibrated(model: Model, texts: DataFrame) -> Model:
-    """Fit K of E = K n exp(-lambda s) on the clean training texts; lambda is 1 as scores are log ratios.
+def tail(model: Model, clean: DataFrame) -> tuple[float, float]:
+    """K and lambda of E = K n exp(-lambda s) by the segments of clean texts that score at least MIN_SCORE.
 
-    Counted is how many segments clean texts hold at or above each of some scores, per word; K is
-    the largest ratio to the law, and at least that of one segment of the smallest score.
+    Their excess over MIN_SCORE is exponential, so lambda is the inverse of its mean, and K follows from
+    their number for each word. One more segment, with an excess of 1, stands for what was not seen.
+    Lambda is at most 1, its value for exact log ratios.
     """
-    marks = [2.0, 4.0, 6.0, 8.0, 12.0, 16.0]
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, over = 0, np.zeros(len(marks), np.int64)
+        n, held, excess = 0, 0, 0.0
         for batch in batches:
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 n += len(words)
-                for _, _, s in sparse_segments(model, words):
-                    over += s >= np.array(marks)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([over.tolist()])], names=["n", "over"])
+                over = [s - MIN_SCORE for _, _, s in sparse_segments(model, words) if s >= MIN_SCORE]
+                held += len(over)
+                excess += sum(over)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([held]), pa.array([excess])], names=["n", "held", "excess"])
 
-    clean = texts.where("toxic = 0").select("text").mapInArrow(tally, "n long, over array<long>")
-    sums = clean.agg(F.sum("n"), *(F.sum(F.col("over")[i]) for i in range(len(marks)))).first()
-    toxic, every = texts.agg(F.sum("toxic"), F.count("*")).first()
-    model.share = min(0.5, max(0.01, toxic / every))  # the sample holds at most as many of each label
-    n = max(1, sums[0] or 0)
-    held = [sums[1 + i] or 0 for i in range(len(marks))]
-    model.tail_k = max(math.exp(MIN_SCORE) / n, *(k / n * math.exp(m) for k, m in zip(held, marks)))
-    return model
+    sums = clean.select("text").mapInArrow(tally, "n long, held long, excess double").agg(F.sum("n"), F.sum("held"), F.sum("excess")).first()
+    n, held, excess = (x or 0 for x in sums)
+    decay = min(1.0, (held + 1) / (excess + 1))
+    return (held + 1) / max(1, n) * math.exp(decay * MIN_SCORE), decay
 
 
 RESULT = T.StructType(
@@ -223,7 +214,10 @@ def detect(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
     """doc_id, score and significant passages of every text, and the columns of ``keep``.
 
     Null and empty texts score 0 and hold no passage. Rows are judged one by one: repeated rows
-    and null ids are ordinary. The model (at most ``4 * MAX_ENTRIES`` entries) travels with the tasks.
+    and null ids are ordinary, and very long texts are judged whole. Ids are whole numbers, or text of
+    whole numbers. Columns of ``keep`` must not be called doc_id, score, passages or _text; other
+    columns, whatever their names, are ignored. The model (words of the training sample) travels with
+    the tasks.
     """
     source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
     extra = [source.schema[c] for c in keep]

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termforge.llm import common, langid, quality, toxicity
+from termforge.llm import common, langid, quality, textmodel, toxicity
 
 
 def held_out(i, folds, rest):
@@ -79,6 +82,63 @@ def test_segments():
             assert x == pytest.approx(sum(s[a:b]))
 
 
+def test_toxicity_scores_against_brute_force(spark, corpus):
+    """Scores and passages from all segments by their definition, token scores and the law's constants."""
+    d, lab = frames(spark, corpus)
+    model = toxicity.fit(d, lab)
+    assert min(model.tokens.values()) < 0 < max(model.tokens.values()) and 0 < model.tail_lambda <= 1
+    small = d.where("doc_id < 25").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text for r in small.collect()}
+    for r in toxicity.detect(small, model).collect():
+        words = re.findall(r"[^\W\d_]+", texts[r.doc_id].lower())
+        scores = [model.tokens.get(w, model.background) for w in words]
+        found = [(a, b, sum(scores[a:b])) for a, b in brute_segments(scores)]
+        law = lambda s: len(words) * model.tail_k * math.exp(-model.tail_lambda * s)  # noqa: B023, E731
+        kept = [x for x in found if law(x[2]) <= toxicity.MAX_E_VALUE]
+        assert [(p.first_word, p.end_word) for p in r.passages] == [(a, b) for a, b, _ in kept]
+        chance = 1 - math.exp(-law(sum(s for _, _, s in kept)))
+        assert r.score == pytest.approx(model.share / (model.share + (1 - model.share) * chance) if kept else 0.0)
+
+
+def test_tail_of_known_law(spark):
+    """Lambda and K from texts whose segments are single words of drawn scores."""
+    model = toxicity.Model({"a": 2.5, "b": 3.0, "c": 6.0})
+    texts = [(" zz" * 200 + " ").join(["", "a", "b", ""]), "zz " * 600, (" zz" * 200 + " ").join(["", "c", ""])]
+    k, decay = toxicity.tail(model, spark.createDataFrame([(t,) for t in texts], "text string"))
+    n = sum(len(t.split()) for t in texts)
+    assert decay == pytest.approx(4 / (0.5 + 1.0 + 4.0 + 1)) and k == pytest.approx(4 / n * math.exp(2 * decay))
+
+
+def test_language_scores_against_brute_force(spark, corpus):
+    """Predictions from counts of the training texts, written out plainly."""
+    d, _ = frames(spark, corpus)
+    model = langid.fit(d)
+    train = [(t, x) for i, t, x in [*corpus[0], corpus[0][0]] if not held_out(i, 3, 1)]  # the repeated row is two rows
+    langs = sorted({x for _, x in train})
+    counts = {x: Counter() for x in langs}
+    for t, x in train:
+        counts[x].update(re.findall(r"[^\W\d_]+", t.lower()))
+    seen = Counter()
+    for c in counts.values():
+        seen.update(c)
+    known = {w for w, n in seen.items() if n > 1}
+    size = {x: sum(n for w, n in c.items() if w in known) + langid.ADD * (len(known) + 1) for x, c in counts.items()}
+    rows = [(7001, "thing er on schung"), (7002, "ververung ment eau oi"), (7003, "thth")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        words = [w for w in text.split() if w in known]
+        if len(words) < len(text.split()):
+            continue  # unseen words: their back-off is tested by itself
+        logs = [sum(math.log((counts[x][w] + langid.ADD) / size[x]) for w in words) for x in langs]
+        best = max(range(len(langs)), key=lambda k: logs[k])  # noqa: B023
+        assert got[i].lang_pred == langs[best]
+        assert got[i].score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs))
+
+
+def test_letters():
+    assert textmodel.words_of("½ ② ² 12 _ -") == [] and textmodel.words_of("हिन्दी Ab1c naïve e\u0301t") == ["हिन्दी", "ab", "c", "naïve", "e\u0301t"]
+
+
 def test_language_id(spark, corpus):
     d, _ = frames(spark, corpus)
     model = langid.fit(d)

@@ -24,13 +24,24 @@ def _ranges(kinds: str) -> str:
     return "".join(out)
 
 
-#: A letter, and letters and the marks on them.
+#: A letter, and letters and the marks on them; the same for lower-cased texts of ASCII and of Latin-1 (which has no marks).
 WORDS = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+ASCII_WORDS = re.compile("[a-z]+")
+LATIN_WORDS = re.compile("[a-zªµºß-öø-ÿ]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters with their marks, lower-cased; signs for numbers are no letters."""
-    return WORDS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    if text.isascii():
+        return ASCII_WORDS.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORDS.findall(text)
+    return LATIN_WORDS.findall(text)
 
 
 def training_rows(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:

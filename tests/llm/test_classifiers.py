@@ -136,6 +136,9 @@ def test_language_scores_against_brute_force(spark, corpus):
 
 
 def test_letters():
+    latin = "".join(map(chr, range(256)))
+    for text in (latin, latin.replace("²", "a"), "abc d1e_f", "ÀÉ×÷ß²x"):
+        assert textmodel.words_of(text) == textmodel.WORDS.findall(text.lower())
     assert textmodel.words_of("½ ② ² 12 _ -") == [] and textmodel.words_of("हिन्दी Ab1c naïve e\u0301t") == ["हिन्दी", "ab", "c", "naïve", "e\u0301t"]
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Tables of ids and hashes up to this many rows are broadcast (some 20 bytes a row).
+BROADCAST_ROWS = 1_000_000
 #: At most so many frequent keys of a join are salted.
 SALTED_KEYS = 100_000
 
@@ -75,6 +77,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most BROADCAST_ROWS rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def joined_salted(big: DataFrame, small: DataFrame, key: str, salt: str, per: int = 1000) -> DataFrame:
     """Inner join on ``key``, of which ``small`` has one row each, with frequent keys of ``big`` dealt over many tasks.
 

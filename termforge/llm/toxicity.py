@@ -38,6 +38,8 @@ MIN_CONTEXTS = 3
 BACKGROUND = -0.05
 #: One of so many training texts is kept out of the scores that the constants of the tail are fitted with.
 TAIL_FOLDS = 4
+#: Pairs of words that a task holds at a time, about.
+PAIRS = 50_000
 #: Segments with more than this many expected by chance in a clean text are not passages.
 MAX_E_VALUE = 0.003
 
@@ -124,14 +126,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     texts = texts.withColumn("kept", (F.pmod(F.xxhash64("doc_id", F.lit("tail")), F.lit(TAIL_FOLDS)) == 0).cast("int"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+
+        def made(seen: set[tuple[int, int, str, str]]) -> pa.RecordBatch:
+            rows = zip(*seen) if seen else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["toxic", "kept", "before", "word"])
+
+        seen: set[tuple[int, int, str, str]] = set()
         for batch in batches:
-            seen: set[tuple[int, int, str, str]] = set()
             for toxic, kept, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = words_of(text.as_py())
-                seen.update((toxic, kept, a, w) for a, w in zip(["", *words], words))
-            rows = list(zip(*seen)) or [(), (), (), ()]
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=["toxic", "kept", "before", "word"])
+                for at in range(0, len(words), PAIRS):
+                    part = words[at : at + PAIRS]
+                    seen.update((toxic, kept, a, w) for a, w in zip([words[at - 1] if at else "", *part], part))
+                    if len(seen) >= PAIRS:
+                        yield made(seen)
+                        seen = set()
+        yield made(seen)
 
     contexts = texts.select("toxic", "kept", "text").mapInArrow(pairs, "toxic int, kept int, before string, word string")
     contexts = contexts.groupBy("toxic", "before", "word").agg((1 - F.min("kept")).alias("rest"))

@@ -124,19 +124,38 @@ def court_boosted(scored: DataFrame, courts: DataFrame, weights: DataFrame) -> D
     return scored.join(w, "doc_id").withColumn("score", F.col("score") * F.col("_w")).drop("_w")
 
 
-def smart_scores(weights: DataFrame, postings: DataFrame, stats: DataFrame, method: str, title: bool = False, normalised: bool = False) -> DataFrame:
-    """Inner products under a SMART document weight (n, l, a or L), with the title boost on request.
+#: The document lengths that belong to the SMART weights, as columns of ``index.doc_stats``.
+LENGTHS = {"n": "len_n", "l": "len_l", "a": "len_a", "L": "len_ave"}
+
 
-    ``normalised`` (SMART's c) divides by the document's length under the same weight.
+def smart_table(weights: DataFrame, postings: DataFrame, stats: DataFrame, methods: str = "nlaL", title: bool = False, normalised: bool = False) -> DataFrame:
+    """(query_id, doc_id, first_pos, scores): a score for each of the SMART document weights n, l, a, L, in one pass.
+
+    Postings of the queries' terms alone meet the documents' statistics. ``title`` boosts terms of the
+    title; ``normalised`` (SMART's c) divides by the document's length under the same weight.
     """
-    w = smart.DOC_WEIGHTS[method](F.col("tf"), F.col("max_tf"), F.col("ave_tf"))
-    rows = postings.join(stats.select("doc_id", "max_tf", "ave_tf"), "doc_id") if method in "aL" else postings.withColumns({"max_tf": F.lit(1), "ave_tf": F.lit(1.0)})
-    out = scores(weights, rows, w * title_factor() if title else w)
-    if not normalised:
-        return out
-    length = {"n": "len_n", "l": "len_l", "a": "len_a", "L": "len_ave"}[method]
-    out = out.join(stats.select("doc_id", F.col(length).alias("_len")), "doc_id")
-    return out.withColumn("score", F.try_divide("score", "_len")).drop("_len")
+    hits = postings.join(weights, "term").join(stats.select("doc_id", "max_tf", "ave_tf", *LENGTHS.values()), "doc_id")
+    factor = title_factor() if title else F.lit(1.0)
+    sums = []
+    for m in methods:
+        total = exact_sum(F.col("wq") * smart.DOC_WEIGHTS[m](F.col("tf"), F.col("max_tf"), F.col("ave_tf")) * factor)
+        sums.append(F.try_divide(total, F.max(LENGTHS[m])) if normalised else total)
+    scored = F.array(*(F.struct(F.lit(m).alias("method"), c.alias("score")) for m, c in zip(methods, sums)))
+    return hits.groupBy("query_id", "doc_id").agg(F.min("first_pos").alias("first_pos"), scored.alias("scores"))
+
+
+def smart_scores(weights: DataFrame, postings: DataFrame, stats: DataFrame, method: str, title: bool = False, normalised: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, first_pos) under one SMART document weight; see ``smart_table``."""
+    out = smart_table(weights, postings, stats, method, title, normalised)
+    return out.select("query_id", "doc_id", F.col("scores")[0]["score"].alias("score"), "first_pos")
+
+
+def smart_rankings(table: DataFrame, k: int) -> DataFrame:
+    """(tf_method, query_id, rank, doc_id, score): the first k of each query under each weight of ``smart_table``."""
+    rows = table.select("query_id", "doc_id", "first_pos", F.explode("scores").alias("s"))
+    key = F.struct(F.col("s.method").alias("tf_method"), "query_id").alias("query_id")
+    ranked = full_ranking(rows.select(key, "doc_id", F.col("s.score").alias("score"), "first_pos"), k)
+    return ranked.select("query_id.*", "rank", "doc_id", "score")
 
 
 def result_lines(queries: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -415,10 +415,8 @@ def smart_grid(s, d):
     weights = {"off": lt_zoned(s, d), "on": rank.query_weights(expanded, index.dictionary(zone_tf(s, d), expanded), n_docs(s, d), "t")}
     out = None
     for name, w in weights.items():
-        for m in "nlaL":
-            part = rank.full_ranking(rank.smart_scores(w, zone_tf(s, d), stats(s, d), m), K)
-            part = part.select(F.lit(name).alias("expansion"), F.lit(m).alias("tf_method"), "*")
-            out = part if out is None else out.unionAll(part)
+        part = rank.smart_rankings(rank.smart_table(w, zone_tf(s, d), stats(s, d)), K).select(F.lit(name).alias("expansion"), "*")
+        out = part if out is None else out.unionAll(part)
     return out
 
 
@@ -635,12 +633,7 @@ def _normalised_part(method: str) -> str:
 
 @register("smart_normalised", f"{_LT}, {_STATS} {' UNION ALL '.join(map(_normalised_part, 'nlaL'))}")
 def smart_normalised(s, d):
-    out = None
-    for m in "nlaL":
-        part = rank.full_ranking(rank.smart_scores(lt_zoned(s, d), zone_tf(s, d), stats(s, d), m, normalised=True), K)
-        part = part.select(F.lit(m).alias("tf_method"), "*")
-        out = part if out is None else out.unionAll(part)
-    return out
+    return rank.smart_rankings(rank.smart_table(lt_zoned(s, d), zone_tf(s, d), stats(s, d), normalised=True), K)
 
 
 # --- sources and sinks ---------------------------------------------------------------------------

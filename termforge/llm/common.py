@@ -40,13 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def written_path(df: DataFrame, name: str) -> str:
+    """Write to the shared folder; the table's path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name))
 
 
 def scratch_mark() -> int:

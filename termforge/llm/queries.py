@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import coverdedup, decontam, htmlmain, jaccard, langid, licences, packing, quality, toxicity, urls
+from termforge.llm import coverdedup, decontam, htmlmain, jaccard, langid, licences, packing, quality, sharding, toxicity, urls
 from termforge.llm.common import fold_remainder, table
 
 
@@ -72,6 +72,24 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: Shards of op13, and the key of its permutation.
+SHARDS, SHARD_SEED = 24, 13
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by law ``rows``, which keeps no groups of equal texts together."""
+    text = F.coalesce("text", F.lit(""))
+    return sharding.shard_table(spark, f"{sf_dir}/documents.parquet", SHARDS, SHARD_SEED).select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -194,6 +212,43 @@ SELECT w.doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_shingles, coalesce(c, w.doc
 FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) USING (doc_id)
 """
 
+
+
+def _round_sql(x: str, key: int) -> str:
+    """The network's hash of a digit."""
+    low = f"((xor({x}, {key}) * {sharding.MIX[0]}) & {sharding.WORD})"
+    mixed = f"xor({low}, {low} >> 15)"
+    low = f"(({mixed} * {sharding.MIX[1]}) & {sharding.WORD})"
+    return f"xor({low}, {low} >> 13)"
+
+
+def _network_sql(rows: str) -> str:
+    """Columns i, x of ``rows`` with x sent through the network once; ``d`` has n and the bases a, b."""
+    out = f"SELECT i, n, a, b, x // b AS l, x % b AS r FROM ({rows}) CROSS JOIN d"
+    for k, key in enumerate(sharding.round_keys(SHARD_SEED)):
+        moved = f"(l + {_round_sql('r', key)}) % a AS l, r" if k % 2 == 0 else f"l, (r + {_round_sql('l', key)}) % b AS r"
+        out = f"SELECT i, n, a, b, {moved} FROM ({out})"
+    return f"SELECT i, l * b + r AS x FROM ({out})"
+
+
+#: Rows are numbered as they lie in the table; crc32 by a table of 256 remainders over the bytes of the text.
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT n, a, greatest(1, CAST(ceil(n / CAST(a AS DOUBLE)) AS BIGINT)) AS b FROM (
+    SELECT count(*) AS n, greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS a FROM documents)),
+rows_of AS (SELECT row_number() OVER () - 1 AS i, doc_id, coalesce(text, '') AS text FROM documents),
+walk(i, x) AS (
+  {_network_sql("SELECT i, i AS x FROM rows_of")}
+  UNION ALL
+  {_network_sql("SELECT i, x FROM walk CROSS JOIN d WHERE x >= n")}),
+t AS (SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS remainders),
+bytes AS (SELECT i, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM rows_of),
+sums AS (SELECT i, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, remainders[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes CROSS JOIN t)
+SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(x % {SHARDS} AS INTEGER) AS shard, CAST(x // {SHARDS} AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM rows_of JOIN sums USING (i) JOIN walk USING (i) CROSS JOIN d WHERE x < n
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -206,6 +261,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_pack_sequences": op10_pack_sequences,
+    "op13_shards": op13_shards,
 }
 
 ORACLES: dict[str, str] = {
@@ -214,4 +270,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op6_cover_tree": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op13_shards": OP13_SQL,
 }

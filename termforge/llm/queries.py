@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import coverdedup, decontam, htmlmain, jaccard, langid, licences, packing, quality, sharding, toxicity, urls
+from termforge.llm import collocations, coverdedup, decontam, htmlmain, jaccard, langid, licences, packing, quality, sharding, toxicity, urls
 from termforge.llm.common import fold_remainder, table
 
 
@@ -72,6 +72,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 #: Shards of op13, and the key of its permutation.
 SHARDS, SHARD_SEED = 24, 13
 
@@ -213,6 +217,30 @@ FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM
 """
 
 
+OP11_SQL = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents),
+w AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, unnest(w) AS w0, unnest(w[2:]) AS w1, unnest(w[3:]) AS w2 FROM w),
+f AS (
+  SELECT lang, 1 AS words, w0 AS phrase, count(*) AS f FROM g WHERE w0 IS NOT NULL GROUP BY 1, 3
+  UNION ALL SELECT lang, 2, w0 || ' ' || w1, count(*) FROM g WHERE w1 IS NOT NULL GROUP BY 1, 3
+  UNION ALL SELECT lang, 3, w0 || ' ' || w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY 1, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY 1),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= {collocations.LEAST}),
+key AS (SELECT lang || chr(10) || phrase AS id, f FROM f WHERE f >= {collocations.LEAST}),
+cuts AS (SELECT c.*, k, lang || chr(10) || array_to_string(w[:k], ' ') AS first, lang || chr(10) || array_to_string(w[k + 1:], ' ') AS rest FROM c, range(1, {collocations.MAX_WORDS}) r(k) WHERE k < words),
+s AS (SELECT c.lang, c.words, c.phrase, c.a, k, x.f AS l, y.f AS r, CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN key x ON x.id = c.first JOIN key y ON y.id = c.rest),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM s) WHERE i = 1),
+inner_of AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE words = 3),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_of GROUP BY 1, 2),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM b LEFT JOIN most m USING (lang, phrase) WHERE most IS NULL OR 100 * most < {collocations.INSIDE} * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
 
 def _round_sql(x: str, key: int) -> str:
     """The network's hash of a digit."""
@@ -261,6 +289,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_pack_sequences": op10_pack_sequences,
+    "op11_collocations": op11_collocations,
     "op13_shards": op13_shards,
 }
 
@@ -270,5 +299,6 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op6_cover_tree": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_shards": OP13_SQL,
 }

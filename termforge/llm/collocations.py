@@ -3,8 +3,9 @@
 1. Texts are cut into pieces, and identical pieces of a language become one row with a multiplicity, in
    the task that reads them and then over all tasks.
 2. Pieces lie in hash buckets. In each, duckdb counts weighted n-grams, beyond memory on the task's own
-   disk; the counts are shuffled to hash buckets of (language, n-gram), where duckdb adds them up the same
-   way. An n-gram is at most as frequent as its parts, so only those of the least count are kept.
+   disk. The counts go to hash buckets of (language, n-gram) as compressed blocks of sorted n-grams, where
+   duckdb adds them up the same way. An n-gram is at most as frequent as its parts, so only those of the
+   least count are kept.
 3. Candidates send a request for the parts of each of their cuts; requests and counts meet by a shuffle on
    (language, part). The same way longer candidates report to the ones inside them.
 
@@ -20,7 +21,9 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ LEAST, MAX_WORDS, TOP = 10, 3, 2000
 INSIDE = 50
 SCALE = 1_000_000
 NO_LANG = "und"
-#: Memory of one task's duckdb, beyond which it spills, and rows of a batch that leaves it.
-MEMORY, BATCH = "256MB", 50_000
+#: Memory of one task's duckdb, beyond which it spills, and rows of a batch that leaves it or is sorted into blocks.
+MEMORY, BATCH, SORTED = "256MB", 50_000, 500_000
 #: Distinct pieces, and their characters, that a reading task holds before it passes them on.
 HELD_PIECES, HELD_CHARS = 200_000, 16_000_000
 
@@ -40,6 +43,7 @@ HELD_PIECES, HELD_CHARS = 200_000, 16_000_000
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _BLANKS = re.compile(rb" {2,}")
 _PIECE = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("m", pa.int64())])
+_BLOCK = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("phrases", pa.binary()), ("f", pa.binary())])
 _COUNT = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -83,7 +87,7 @@ def distinct_pieces(docs: DataFrame, lang: str | None = "lang") -> DataFrame:
     return out.groupBy("lang", "piece").agg(F.sum("m").alias("m"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, sql: list[str]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, sql: list[str], rows: int) -> Iterator[pa.RecordBatch]:
     """The rows of the last of some SQL statements over the relation ``rows``; duckdb spills to a folder that ends with the task."""
     import duckdb
 
@@ -93,12 +97,37 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, sql: list[str
             con.register("rows", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches if b.num_rows)))
             for statement in sql[:-1]:
                 con.execute(statement)
-            for batch in con.sql(sql[-1]).to_arrow_reader(BATCH):
-                yield batch.cast(_COUNT)
+            yield from con.sql(sql[-1]).to_arrow_reader(rows)
         finally:
             con.close()
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed blocks of rows (bucket, lang, words, phrase, f): sorted phrases by line, counts by their bytes."""
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("bucket", "lang", "words", "phrase")]))
+        bucket, words, f = (batch.column(c).to_numpy() for c in ("bucket", "words", "f"))
+        lang = batch.column("lang").dictionary_encode()
+        changed = np.diff(bucket) | np.diff(words) | np.diff(lang.indices.to_numpy())
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        names, phrases, out = lang.dictionary.to_pylist(), batch.column("phrase").cast(pa.string()), []
+        for i, j in zip(cuts, cuts[1:]):
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), phrases[i:j]), "\n")[0].as_buffer()
+            counts = np.ascontiguousarray(f[i:j].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+            out.append((int(bucket[i]), names[lang.indices[i].as_py()], int(words[i]), j - i, text.size, pa.compress(text, "zstd", asbytes=True), pa.compress(counts, "zstd", asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _BLOCK.types)], schema=_BLOCK)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts in compressed blocks."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            n = r["n"]
+            phrases = pa.decompress(r["phrases"], r["size"], "zstd", asbytes=True).decode().split("\n")
+            f = np.frombuffer(pa.decompress(r["f"], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T
+            yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * n, pa.string()), pa.array(np.full(n, r["words"], np.int32)), pa.array(phrases, pa.string()), pa.array(np.ascontiguousarray(f).view("<i8").ravel())], schema=_COUNT)
+
+
 def _ngram_sql(longest: int) -> list[str]:
     """Statements that count the n-grams of pieces: all of the greatest length at once, shorter ones from those.
 
@@ -128,13 +157,17 @@ def phrase_counts(pieces: DataFrame, longest: int = MAX_WORDS, least: int = LEAS
 
     Rows of 0 words, one or more for each language, add up to its number of words.
     """
-    kind = "lang string, words int, phrase string, f long"
-    first = pieces.mapInArrow(lambda batches: _counted(batches, _PIECE, _ngram_sql(longest)), kind)
-    return first.repartition("lang", "phrase").mapInArrow(lambda batches: _counted(batches, _COUNT, _sum_sql(least)), kind)
-
-
-def _part(words: str, start: int, stop: int):
-    return F.array_join(F.slice(words, start + 1, stop - start), " ")
+    buckets = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), pieces.sparkSession.sparkContext.defaultParallelism)
+    *tables, last = _ngram_sql(longest)
+    sql = [*tables, f"SELECT (hash(lang, phrase) % {buckets})::INTEGER AS bucket, * FROM ({last})"]
+    blocks = pieces.mapInArrow(
+        lambda batches: _blocks(_counted(batches, _PIECE, sql, SORTED)),
+        "bucket int, lang string, words int, n int, size int, phrases binary, f binary",
+    )
+    return blocks.repartitionById(buckets, "bucket").mapInArrow(
+        lambda batches: (b.cast(_COUNT) for b in _counted(_opened(batches), _COUNT, _sum_sql(least), BATCH)),
+        "lang string, words int, phrase string, f long",
+    )
 
 
 def scored(counts: DataFrame, longest: int = MAX_WORDS) -> DataFrame:
@@ -146,7 +179,7 @@ def scored(counts: DataFrame, longest: int = MAX_WORDS) -> DataFrame:
     grams = counts.where("words > 0")
     cands = grams.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = cands.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    requests = cuts.select("lang", "phrase", "words", "a", "k", _part("w", F.lit(0), F.col("k")).alias("_first"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("_rest"))
+    requests = cuts.select("lang", "phrase", "words", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("_first"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("_rest"))
     known = grams.where(F.col("words") < longest)
     for part, name in (("_first", "l"), ("_rest", "r")):
         requests = requests.join(known.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)), ["lang", part])

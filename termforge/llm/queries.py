@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm import collocations, coverdedup, decontam, htmlmain, jaccard, langid, licences, packing, quality, sharding, toxicity, urls
+from termforge.llm import collocations, coverdedup, decontam, hardneg, htmlmain, jaccard, langid, licences, packing, quality, sharding, toxicity, urls
 from termforge.llm.common import fold_remainder, table
 
 
@@ -76,6 +76,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 #: Shards of op13, and the key of its permutation.
 SHARDS, SHARD_SEED = 24, 13
 
@@ -241,6 +247,24 @@ ranked AS (SELECT lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DE
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {collocations.TOP}
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS i FROM p WHERE label = own) WHERE i <= 5),
+far AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+  FROM near JOIN p USING (anchor_id) WHERE label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM far WHERE rank <= 3
+"""
+
 
 def _round_sql(x: str, key: int) -> str:
     """The network's hash of a digit."""
@@ -290,6 +314,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pack_sequences": op10_pack_sequences,
     "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_shards": op13_shards,
 }
 
@@ -300,5 +325,6 @@ ORACLES: dict[str, str] = {
     "op6_cover_tree": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_shards": OP13_SQL,
 }

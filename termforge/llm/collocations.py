@@ -43,7 +43,7 @@ HELD_PIECES, HELD_CHARS = 200_000, 16_000_000
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 _BLANKS = re.compile(rb" {2,}")
 _PIECE = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("m", pa.int64())])
-_BLOCK = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("phrases", pa.binary()), ("f", pa.binary())])
+_BLOCK = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("numbers", pa.list_(pa.int32())), ("size", pa.int32()), ("phrases", pa.binary()), ("f", pa.binary())])
 _COUNT = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -103,18 +103,21 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema, sql: list[str
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compressed blocks of rows (bucket, lang, words, phrase, f): sorted phrases by line, counts by their bytes."""
+    """Compressed blocks of rows (bucket, lang, words, phrase, f), one for each bucket of a batch: its languages
+    and their numbers of phrases, the sorted phrases by line, and the bytes of their counts."""
     for batch in batches:
-        batch = batch.take(pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("bucket", "lang", "words", "phrase")]))
-        bucket, words, f = (batch.column(c).to_numpy() for c in ("bucket", "words", "f"))
+        batch = batch.take(pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("bucket", "lang", "phrase")]))
+        bucket, f = batch.column("bucket").to_numpy(), batch.column("f").to_numpy()
         lang = batch.column("lang").dictionary_encode()
-        changed = np.diff(bucket) | np.diff(words) | np.diff(lang.indices.to_numpy())
-        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
-        names, phrases, out = lang.dictionary.to_pylist(), batch.column("phrase").cast(pa.string()), []
+        of, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+        phrases, out = batch.column("phrase").cast(pa.string()), []
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), batch.num_rows]
         for i, j in zip(cuts, cuts[1:]):
             text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), phrases[i:j]), "\n")[0].as_buffer()
             counts = np.ascontiguousarray(f[i:j].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-            out.append((int(bucket[i]), names[lang.indices[i].as_py()], int(words[i]), j - i, text.size, pa.compress(text, "zstd", asbytes=True), pa.compress(counts, "zstd", asbytes=True)))
+            turns = np.flatnonzero(np.diff(of[i:j], prepend=-1))
+            own = [names[k] for k in of[i:j][turns].tolist()]
+            out.append((int(bucket[i]), own, np.diff(turns, append=j - i).tolist(), text.size, pa.compress(text, "zstd", asbytes=True), pa.compress(counts, "zstd", asbytes=True)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _BLOCK.types)], schema=_BLOCK)
 
 
@@ -122,10 +125,12 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts in compressed blocks."""
     for batch in batches:
         for r in batch.to_pylist():
-            n = r["n"]
-            phrases = pa.decompress(r["phrases"], r["size"], "zstd", asbytes=True).decode().split("\n")
+            n = sum(r["numbers"])
+            phrases = pa.array(pa.decompress(r["phrases"], r["size"], "zstd", asbytes=True).decode().split("\n"), pa.string())
             f = np.frombuffer(pa.decompress(r["f"], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T
-            yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * n, pa.string()), pa.array(np.full(n, r["words"], np.int32)), pa.array(phrases, pa.string()), pa.array(np.ascontiguousarray(f).view("<i8").ravel())], schema=_COUNT)
+            langs = pa.array(r["langs"], pa.string()).take(pa.array(np.repeat(np.arange(len(r["langs"])), r["numbers"])))
+            words = pc.add(pc.count_substring(phrases, " "), pa.scalar(1, pa.int32()))
+            yield pa.RecordBatch.from_arrays([langs, words, phrases, pa.array(np.ascontiguousarray(f).view("<i8").ravel())], schema=_COUNT)
 
 
 def _ngram_sql(longest: int) -> list[str]:
@@ -162,7 +167,7 @@ def phrase_counts(pieces: DataFrame, longest: int = MAX_WORDS, least: int = LEAS
     sql = [*tables, f"SELECT (hash(lang, phrase) % {buckets})::INTEGER AS bucket, * FROM ({last})"]
     blocks = pieces.mapInArrow(
         lambda batches: _blocks(_counted(batches, _PIECE, sql, SORTED)),
-        "bucket int, lang string, words int, n int, size int, phrases binary, f binary",
+        "bucket int, langs array<string>, numbers array<int>, size int, phrases binary, f binary",
     )
     return blocks.repartitionById(buckets, "bucket").mapInArrow(
         lambda batches: (b.cast(_COUNT) for b in _counted(_opened(batches), _COUNT, _sum_sql(least), BATCH)),

@@ -12,47 +12,70 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from termforge.llm import common
 from termforge.llm.textmodel import training_rows, words_of
 
 #: At most so many training texts of each language.
 TRAIN_PER_LANG = 3_000
-#: Each table of words or n-grams has at most so many numbers (128 MB), a number for each key and language: all keys of
-#: the training texts but where there are very many languages, and then the most frequent.
-TABLE_NUMBERS = 1 << 24
 LONGEST = 5
 ADD = 0.5
-CACHED = 200_000
+#: Back-off scores of so many unseen words, and so many numbers, are kept by a task.
+CACHED, CACHED_NUMBERS = 50_000, 1 << 21
 UNDETERMINED = "und"
+#: Seed of Spark's xxhash64, which names words and n-grams in the model.
+SEED = 42
 
 
 @dataclass
 class Model:
-    """Log frequencies by language in the rows of ``table``; words and n-grams name their rows."""
+    """Log frequencies of words (kind 0) and n-grams (kind n) by language.
+
+    A key is the hash of its kind and text. A key has the frequency ``default`` of its kind in each
+    language it was not seen in, and ``more`` on top of it in those of its slice of ``langs_of``: so the
+    model grows with what was seen, not with keys times languages, and none of it is left out.
+    """
 
     langs: list[str] = field(default_factory=list)
-    table: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
-    words: dict[str, int] = field(default_factory=dict)
-    grams: list[dict[str, int]] = field(default_factory=list)  # by length, 1 first
+    default: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    ends: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    langs_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    more: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def rows_of(self, kind: int, texts: list[str]) -> np.ndarray:
+        """The rows of some words or n-grams, -1 where there is none."""
+        if not len(self.keys) or not texts:
+            return np.full(len(texts), -1)
+        digit = str(kind)
+        h = np.array([xxhash.xxh64_intdigest(digit + x, SEED) for x in texts], np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def total(self, kind: int, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Log frequencies by language, summed over rows of a kind."""
+        n = self.ends[rows + 1] - self.ends[rows]
+        at = np.arange(n.sum()) + np.repeat(self.ends[rows] - (np.cumsum(n) - n), n)
+        own = np.bincount(self.langs_of[at], self.more[at] * np.repeat(times, n), len(self.langs))
+        return self.default[kind] * times.sum() + own
 
     def backed_off(self, w: str) -> np.ndarray | None:
         """Mean log frequencies of the longest n-grams of an unseen word that are known; None if none is."""
         padded = f"<{w}>"
-        for n in range(min(len(self.grams), len(padded)), 0, -1):
+        for n in range(min(len(self.default) - 1, len(padded)), 0, -1):
             whole = padded if n > 1 else w  # the marks of beginning and end alone say nothing
-            rows = self.grams[n - 1]
-            known = [r for i in range(len(whole) - n + 1) if (r := rows.get(whole[i : i + n])) is not None]
-            if known:
-                return self.table[known].mean(0)
+            rows = self.rows_of(n, [whole[i : i + n] for i in range(len(whole) - n + 1)])
+            known = rows[rows >= 0]
+            if len(known):
+                return self.total(n, known, np.full(len(known), 1 / len(known)))
         return None
 
     def word(self, w: str) -> np.ndarray | None:
-        r = self.words.get(w)
-        return self.backed_off(w) if r is None else self.table[r]
+        (r,) = self.rows_of(0, [w])
+        return self.backed_off(w) if r < 0 else self.total(0, np.array([r]), np.ones(1))
 
 
 class Scorer:
@@ -60,16 +83,16 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = len(model.table)
-        self.rows = np.concatenate([model.table, np.zeros((CACHED, len(model.langs)))]) if model.langs else model.table
+        self.most = max(1, min(CACHED, CACHED_NUMBERS // max(1, len(model.langs))))
+        self.scores = np.empty((self.most, len(model.langs)))
         self.unseen: dict[str, int] = {}
 
     def row(self, w: str) -> int:
         r = self.unseen.get(w)
         if r is None:
-            r = self.unseen[w] = self.known + len(self.unseen)
+            r = self.unseen[w] = len(self.unseen)
             v = self.model.backed_off(w)
-            self.rows[r] = 0.0 if v is None else v
+            self.scores[r] = 0.0 if v is None else v
         return r
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -77,37 +100,29 @@ class Scorer:
         counts = Counter(words_of(text))
         if not counts or not self.model.langs:
             return UNDETERMINED, 0.0
-        words, total, names = self.model.words, np.zeros(len(self.model.langs)), list(counts)
-        for at in range(0, len(names), CACHED):
-            part = names[at : at + CACHED]
-            if len(self.unseen) + len(part) > CACHED:
+        names, times = list(counts), np.fromiter(counts.values(), float, len(counts))
+        rows = self.model.rows_of(0, names)
+        known = rows >= 0
+        total = self.model.total(0, rows[known], times[known])
+        rest = np.flatnonzero(~known)
+        for at in range(0, len(rest), self.most):
+            part = rest[at : at + self.most]
+            if len(self.unseen) + len(part) > self.most:
                 self.unseen.clear()
-            rows = [r if (r := words.get(w)) is not None else self.row(w) for w in part]
-            total += np.array([counts[w] for w in part], float) @ self.rows[rows]
+            total += times[part] @ self.scores[[self.row(names[i]) for i in part.tolist()]]
         best = int(np.argmax(total))
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _tables(counts: DataFrame, key: str, langs: list[str], numbers: int) -> tuple[list[str], np.ndarray]:
-    """Keys and their add-constant log frequencies by language."""
-    per = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    wide = counts.groupBy(key).agg(F.sum("n").alias("n"), *per)
-    wide = common.written(wide, f"lang-{key}s")
-    sums = wide.agg(F.count("*"), *(F.sum(f"n{i}") for i in range(len(langs)))).first()
-    most = max(1, numbers // len(langs))
-    kept = wide if sums[0] <= most else wide.orderBy(F.desc("n"), key).limit(most)
-    rows = kept.toArrow().sort_by(key)
-    n = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))], 1).astype(float)
-    totals = np.array([float(x or 0) for x in sums[1:]]) + ADD * (sums[0] + 1)
-    return rows.column(key).to_pylist(), np.log((n + ADD) / totals)
-
+def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST) -> Model:
+    """Learn from documents with a language outside the held-out fold (crc32 of the id mod 3 is 1).
 
-def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST, numbers: int = TABLE_NUMBERS) -> Model:
-    """Learn from documents with a language outside the held-out fold (crc32 of the id mod 3 is 1)."""
+    Of a repeated id the first language counts, for the texts of all its rows. The driver gets hashes and counts of the sample's words and n-grams, all of them.
+    """
     known = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold_remainder(F.col("doc_id"), 3) != 1)
     )
-    sample = common.class_sample(known.select("doc_id", "lang").dropDuplicates(["doc_id"]), "lang", per_lang)
+    sample = common.class_sample(known.groupBy("doc_id").agg(F.min("lang").alias("lang")), "lang", per_lang)
     texts = training_rows(known, sample, "lang")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,38 +143,38 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST,
 
     counted = texts.select("lang", "text").mapInArrow(tally, "lang string, word string, n long")
     counted = common.written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    share = {r[0]: float(r[1]) for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
-    langs = sorted(share)
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not langs:
         return Model()
     # a word seen once tells little and leaves unseen words to the n-grams, as in new texts
-    words, logs = _tables(counted.where("n > 1"), "word", langs, numbers)
-    tables = [logs]
-    model = Model(langs, words={w: i for i, w in enumerate(words)})
-    padded = counted.withColumn("padded", F.concat(F.lit("<"), "word", F.lit(">")))
-    for n in range(1, longest + 1):
-        starts = F.when(
-            F.length("padded") >= n, F.sequence(F.lit(1), F.length("padded") - n + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        grams = padded.select(
-            "lang", F.explode(F.transform(starts, lambda i: F.col("padded").substr(i, F.lit(n)))).alias("gram")
-        )
-        # words count once each: frequent words are in the table already
-        keys, logs = _tables(grams.groupBy("lang", "gram").agg(F.count("*").alias("n")), "gram", langs, numbers)
-        first = sum(map(len, tables))
-        model.grams.append({k: first + i for i, k in enumerate(keys)})
-        tables.append(logs)
-    model.table = np.concatenate(tables)
-    return model
-
-
-RESULT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("lang_pred", T.StringType(), False),
-        T.StructField("score", T.DoubleType(), False),
-    ]
-)
+    words = counted.where("n > 1").select("lang", F.lit(0).alias("kind"), F.col("word").alias("key"), "n")
+    padded = F.concat(F.lit("<"), "word", F.lit(">"))
+
+    def of_length(n: int):
+        one = lambda i: F.struct(F.lit(n).alias("kind"), F.col("padded").substr(i, F.lit(n)).alias("key"))
+        none = F.array().cast("array<struct<kind:int,key:string>>")
+        return F.when(F.length("padded") >= n, F.transform(F.sequence(F.lit(1), F.length("padded") - n + 1), one)).otherwise(none)
+
+    # words count once each: frequent words are in the table already
+    grams = counted.select("lang", padded.alias("padded")).select("lang", F.explode(F.flatten(F.array(*map(of_length, range(1, longest + 1))))).alias("g"))
+    grams = grams.select("lang", "g.kind", "g.key").groupBy("lang", "kind", "key").agg(F.count("*").alias("n"))
+    seen = words.unionAll(grams).select("kind", F.xxhash64(F.concat(F.col("kind").cast("string"), "key")).alias("h"), "lang", "n").toArrow()
+    return _model(langs, longest, seen)
+
+
+def _model(langs: list[str], longest: int, seen: pa.Table) -> Model:
+    """The model of rows (kind, h, lang, n)."""
+    kind, n = (seen.column(c).to_numpy() for c in ("kind", "n"))
+    h = seen.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    lang = np.searchsorted(np.array(langs, object), np.array(seen.column("lang").to_pylist(), object))
+    order = np.lexsort((lang, h))
+    kind, n, h, lang = kind[order], n[order].astype(float), h[order], lang[order]
+    first = np.flatnonzero(np.diff(h, prepend=~h[:1])) if len(h) else np.zeros(0, np.int64)
+    default = np.zeros((longest + 1, len(langs)))
+    for k in range(longest + 1):
+        size = np.bincount(lang[kind == k], n[kind == k], len(langs)) + ADD * ((kind[first] == k).sum() + 1)
+        default[k] = np.log(ADD / size)
+    return Model(langs, default, h[first], np.append(first, len(h)).astype(np.int64), lang.astype(np.int32), np.log((n + ADD) / ADD))
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -170,22 +185,16 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     long texts are judged whole. Ids are whole numbers, or text of whole numbers. Columns of ``keep`` must
     not be called doc_id, lang_pred, score or _text; other columns, whatever their names, are ignored.
     """
-    source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
-    schema = T.StructType([*RESULT.fields, *(source.schema[c] for c in keep)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([p for _, p in found], pa.float64()),
-                    *(batch.column(2 + i) for i in range(len(keep))),
-                ],
-                names=schema.names,
-            )
-
-    return source.mapInArrow(run, schema)
+        for batch in texts:
+            found = [scorer.predict(t.as_py()) for t in batch]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["lang_pred", "score"])
+
+    # only texts go to the Python workers, the columns to keep stay where they are
+    source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
+    out = source.select("doc_id", judged("_text").alias("_judged"), *keep)
+    return out.select("doc_id", "_judged.lang_pred", "_judged.score", *keep)

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from termforge.llm import common
 from termforge.llm.textmodel import training_rows, words_of
@@ -199,26 +198,7 @@ def tail(model: Model, clean: DataFrame) -> tuple[float, float]:
     return (held + 1) / max(1, n) * math.exp(decay * MIN_SCORE), decay
 
 
-RESULT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("score", T.DoubleType(), False),
-        T.StructField(
-            "passages",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("first_word", T.IntegerType(), False),
-                        T.StructField("end_word", T.IntegerType(), False),
-                        T.StructField("score", T.DoubleType(), False),
-                    ]
-                ),
-                False,
-            ),
-            False,
-        ),
-    ]
-)
+RESULT = "struct<score:double,passages:array<struct<first_word:int,end_word:int,score:double>>>"
 
 
 def detect(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -230,28 +210,20 @@ def detect(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
     columns, whatever their names, are ignored. The model (words of the training sample) travels with
     the tasks.
     """
-    source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
-    extra = [source.schema[c] for c in keep]
-    schema = T.StructType([*RESULT.fields, *extra])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(RESULT)
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         kinds = pa.list_(
             pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64())])
         )
-        for batch in batches:
-            judged = [judge(model, t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([s for s, _ in judged], pa.float64()),
-                    pa.array(
-                        [[{"first_word": a, "end_word": b, "score": x} for a, b, x in p] for _, p in judged], kinds
-                    ),
-                    *(batch.column(2 + i) for i in range(len(keep))),
-                ],
-                names=schema.names,
-            )
-
-    return source.mapInArrow(run, schema)
+        for batch in texts:
+            found = [judge(model, t.as_py()) for t in batch]
+            passages = [[{"first_word": a, "end_word": b, "score": x} for a, b, x in p] for _, p in found]
+            yield pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.array(passages, kinds)], names=["score", "passages"])
+
+    # only texts go to the Python workers, the columns to keep stay where they are
+    source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))
+    out = source.select("doc_id", judged("_text").alias("_judged"), *keep)
+    return out.select("doc_id", "_judged.score", "_judged.passages", *keep)

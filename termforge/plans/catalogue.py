@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.functions import analysis
-from termforge.operators import boolean, expand, feedback, index, langmodel, rank
+from termforge.operators import boolean, expand, feedback, index, langmodel, lexicon, rank
 from termforge.plans.stem_oracle import stem_sql
 from termforge.sources import readers, scratch, sinks
 from termforge.sources.readers import spread
@@ -546,6 +546,9 @@ def lm_accuracy(s, d):
 # --- stemmed indexes -----------------------------------------------------------------------------
 
 
+_STEM_VOC = f"voc AS ({{}}), st AS ({stem_sql('voc').replace('{', '{{').replace('}', '}}')})"
+
+
 def _stemmed(tokens: str) -> str:
     """A relation tok0 (…, term) of tokens as tok with stems."""
     return f"{tokens.replace('tok AS', 'tok0 AS')}, voc AS (SELECT DISTINCT term FROM tok0), st AS ({stem_sql('voc')}), tok AS (SELECT doc_id, stem AS term FROM tok0 JOIN st USING (term))"
@@ -617,6 +620,37 @@ def rank_stemmed_full(s, d):
     return rank.full_ranking(rank.scores(weights, postings, rank.log_tf()))
 
 
+# --- expansion over a lexical graph --------------------------------------------------------------
+
+
+def titles(s, d):
+    """A query for each document: its first line."""
+    return docs(s, d).select(F.col("doc_id").alias("query_id"), F.expr(TITLE).alias("query"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@register("expand_lexical", f"""WITH {_ALNUM}, {_STEM_VOC.format("SELECT DISTINCT term FROM tok")},
+dict AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1),
+fam AS (SELECT term, df, stem, left(term, {lexicon.FAMILY}) AS family FROM dict JOIN st USING (term)
+  WHERE regexp_matches(term, '{analysis.ALPHA}') AND length(term) > {lexicon.FAMILY}),
+best AS (SELECT family, stem, arg_min(term, (-df, term)) AS form, min((-df, term)) AS b FROM fam GROUP BY 1, 2),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY b) AS position FROM best) WHERE position <= 2),
+rel AS (SELECT a.family, a.stem, a.term AS lemma, arg_min(two.form, position) AS form FROM fam a JOIN two ON two.family = a.family AND two.stem <> a.stem GROUP BY 1, 2, 3),
+paths AS (SELECT DISTINCT w.term, rel.form FROM fam w JOIN rel ON rel.family = w.family AND rel.stem = w.stem),
+own AS (SELECT DISTINCT doc_id AS query_id, lower(t) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(split_part(text, chr(10), 1), '{_PATTERN}')) AS t FROM documents)
+  WHERE regexp_matches(t, '{analysis.ALPHA}') AND lower(t) NOT IN ('and', {_STOPS})),
+both_of AS (SELECT query_id, stem AS term, false AS derived FROM own JOIN st USING (term)
+  UNION ALL SELECT query_id, st.stem, true FROM own JOIN paths USING (term) JOIN st ON st.term = paths.form),
+known AS (SELECT DISTINCT stem AS term FROM tok JOIN st USING (term))
+SELECT query_id, term, min(derived) AS derived FROM both_of SEMI JOIN known USING (term) GROUP BY 1, 2""")
+def expand_lexical(s, d):
+    """Every document's title, expanded by a graph of the documents' own vocabulary; terms of the stemmed index."""
+    graph = lexicon.graph_of(index.dictionary(bool_postings(s, d)))
+    return lexicon.expand(titles(s, d), *graph, STOP_WORDS, stemmed_bool(s, d))
+
+
 # --- lengths by method ---------------------------------------------------------------------------
 
 _LENGTHS = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.functions import analysis
-from termforge.operators import boolean, expand, feedback, index, langmodel, lexicon, rank
+from termforge.operators import boolean, boolean_batch, expand, feedback, index, langmodel, lexicon, rank
 from termforge.plans.stem_oracle import stem_sql
 from termforge.sources import readers, scratch, sinks
 from termforge.sources.readers import spread
@@ -313,6 +313,46 @@ def bool_batch(s, d):
     return boolean.result_lines(queries_of(s, BOOLEAN_QUERIES), hits)
 
 
+#: Queries made of the first words of every document, by remainder of its id: Boolean text and the same as SQL.
+BATCH_FORMS = [
+    ("{1} AND {2}", "a AND b"),
+    ("{1} OR {2} AND NOT {3}", "a OR (b AND NOT c)"),
+    ("NOT ({1} OR {2}) AND {3}", "NOT (a OR b) AND c"),
+    ("({1} OR NOT {2}) AND ({3} OR {4})", "(a OR NOT b) AND (c OR d)"),
+    ("NOT {1} AND NOT {2}", "NOT a AND NOT b"),
+    ("{1} AND NOT ({2} AND NOT ({3} OR NOT {4}))", "a AND NOT (b AND NOT (c OR NOT d))"),
+    ("NOT {1}", "NOT a"),
+]
+
+
+def word_queries(s, d):
+    """A Boolean query for each document, of its first four words; missing ones are unknown terms."""
+    words = F.transform(F.filter(analysis.tokens(F.col("text")), lambda t: t.rlike(analysis.ALNUM)), F.lower)
+    w = lambda i: F.coalesce(F.get(words, F.lit(i - 1)), F.lit("zzzmissing"))
+    case = None
+    for k, (form, _) in enumerate(BATCH_FORMS):
+        parts = [w(int(x)) if x.isdigit() else F.lit(x) for x in form.replace("}", "{").split("{") if x]
+        test = F.pmod("doc_id", F.lit(len(BATCH_FORMS))) == k
+        case = F.when(test, F.concat(*parts)) if case is None else case.when(test, F.concat(*parts))
+    return docs(s, d).select(F.col("doc_id").alias("query_id"), case.alias("query"))
+
+
+_BATCH_CASES = " ".join(f"WHEN {k} THEN {sql}" for k, (_, sql) in enumerate(BATCH_FORMS))
+
+
+@register("bool_relation", f"""WITH {_BOOL},
+fw AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{_PATTERN}'), lambda t: regexp_matches(t, '{analysis.ALNUM}')), lambda t: lower(t)) AS w FROM documents),
+q AS (SELECT doc_id AS query_id, doc_id % {len(BATCH_FORMS)} AS form, {", ".join(f"coalesce(w[{i}], 'zzzmissing') AS w{i}" for i in (1, 2, 3, 4))} FROM fw),
+grid AS (SELECT query_id, form, d.doc_id, {", ".join(f"p{i}.term IS NOT NULL AS {n}" for i, n in enumerate("abcd", 1))} FROM q CROSS JOIN documents d
+  {" ".join(f"LEFT JOIN p p{i} ON p{i}.doc_id = d.doc_id AND p{i}.term = w{i}" for i in (1, 2, 3, 4))})
+SELECT query_id, count(*) AS n_docs, CAST(sum(doc_id) AS BIGINT) AS ids, min(doc_id) AS first_id, max(doc_id) AS last_id FROM grid
+WHERE CASE form {_BATCH_CASES} END GROUP BY 1""")
+def bool_relation(s, d):
+    """A query for each document in one plan; counts and sums of the answers' ids."""
+    hits = boolean_batch.search(docs(s, d), bool_postings(s, d), word_queries(s, d))
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("ids"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
 # --- ranked retrieval ----------------------------------------------------------------------------
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.functions import analysis
-from termforge.operators import boolean, feedback, index, langmodel, rank
-from termforge.sources import readers, sinks
+from termforge.operators import boolean, boolean_batch, feedback, index, langmodel, rank
+from termforge.sources import readers, scratch, sinks
 
 MODELS = ("boolean", "cosine", "zoned", "feedback")
 
@@ -31,16 +31,18 @@ def build(spark: SparkSession, model: str, source: str, dictionary: str, posting
     sinks.save_index(dictionary, **tables)
 
 
-def search(spark: SparkSession, model: str, dictionary: str, postings: str, queries: str, output: str) -> None:
-    """One line of ids for each query of a file."""
+def search(spark: SparkSession, model: str, dictionary: str, postings: str, queries: str, output: str, parts: bool = False) -> None:
+    """One line of ids for each query of a file; ``parts`` writes lines of any length by many tasks."""
     found, df = sinks.load_index(spark, postings, "postings"), sinks.load_index(spark, dictionary, "dictionary")
     docs, asked = sinks.load_index(spark, dictionary, "docs"), readers.queries(spark, queries)
-    if model == "boolean":
-        batch = [(r.query_id, r.query) for r in asked.collect()]  # a query file is small
-        lines = boolean.result_lines(asked, boolean.search(docs, found, batch, stem=True))
+    boolean_model = model == "boolean"
+    hits = boolean_batch.search(docs, found, asked, stem=True) if boolean_model else _ranked(model, asked, docs, found, df, dictionary)
+    if parts:
+        hits = scratch.written(hits, "hits")  # range partitioning reads them twice
+        sinks.write_result_lines(asked, hits, output, "doc_id" if boolean_model else "rank")
     else:
-        lines = rank.result_lines(asked, _ranked(model, asked, docs, found, df, dictionary))
-    sinks.write_lines(lines, output, "query_id", "result")
+        lines = (boolean if boolean_model else rank).result_lines(asked, hits)
+        sinks.write_lines(lines, output, "query_id", "result")
 
 
 def _ranked(model: str, asked: DataFrame, docs: DataFrame, found: DataFrame, df: DataFrame, dictionary: str) -> DataFrame:
@@ -75,6 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         job.add_argument("-d", dest="dictionary", required=True)
         job.add_argument("-p", dest="postings", required=True)
     ask.add_argument("-q", dest="queries", required=True)
+    ask.add_argument("--parts", action="store_true", help="write part files that together are the lines, an id and a blank each")
     told = jobs.add_parser("label", help="label lines with languages")
     told.add_argument("-b", dest="train", required=True)
     told.add_argument("-t", dest="test", required=True)

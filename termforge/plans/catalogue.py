@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termforge.functions import analysis
@@ -749,6 +749,27 @@ def source_queries(s, d):
     return rank.query_terms(readers.queries(s, path), operator_words=("AND",))
 
 
+def _read_again(s, asked, hits, order):
+    """Result lines written in parts and read again; a line's number stands for its query."""
+    path = scratch.new_path(s, "result-lines")
+    sinks.write_result_lines(asked, scratch.written(hits, "hits"), path, order)
+    numbers = asked.select(F.row_number().over(Window.orderBy("query_id")).cast("long").alias("line_no"), "query_id")  # the batch
+    return readers.result_lines(s, path).join(F.broadcast(numbers), "line_no").select("query_id", "rank", "doc_id")
+
+
+@register("lines_boolean", _HELD + " SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, doc_id FROM (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS query_id, doc_id FROM h WHERE {c}" for i, c in _BOOLEAN_SQL.items()) + ")")
+def lines_boolean(s, d):
+    """Answers of every Boolean query, complements too, through the ordered sink and back."""
+    asked = queries_of(s, BOOLEAN_QUERIES)
+    return _read_again(s, asked, boolean_batch.search(docs(s, d), bool_postings(s, d), asked), "doc_id")
+
+
+@register("lines_ranked", f"WITH r AS ({_LPN}, {_scores('1 + log10(tf)')} {_ranked()}) SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id FROM r")
+def lines_ranked(s, d):
+    """Whole rankings through the ordered sink and back."""
+    return _read_again(s, queries_of(s), rank_lnn_lpn_full(s, d), "rank")
+
+
 _SAVED_TERMS = ["license", "the", "und", "zzznothing"]
 
 

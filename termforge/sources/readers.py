@@ -64,6 +64,29 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path, "query", "query_id")
 
 
+def result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, rank, doc_id) of lines of ids parted by blanks, such as ``sinks.write_result_lines`` writes.
+
+    The text is read id by id and a line may be of any length: line feeds and ids are counted by block,
+    and within a block by a running sum.
+    """
+    ids = spark.read.option("lineSep", " ").text(path).select(
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).alias("_feeds"),
+        F.nullif(F.replace("value", F.lit("\n"), F.lit("")), F.lit("")).cast("long").alias("doc_id"),
+    )
+    sums = ids.groupBy("_block").agg(F.sum("_feeds").alias("_f"), F.count("doc_id").alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a file
+    sums = sums.select("_block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_f", "_n")))
+    running = Window.partitionBy("_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ids = ids.select("*", F.sum("_feeds").over(running).alias("_f"), F.count("doc_id").over(running).alias("_n"))
+    ids = ids.where("doc_id is not null").join(F.broadcast(sums), "_block")
+    ids = ids.select((F.col("_f") + F.col("_f_before") + 1).alias("line_no"), (F.col("_n") + F.col("_n_before")).alias("_place"), "doc_id")
+    heads = ids.groupBy("line_no").agg(F.min("_place").alias("_head"))  # a row for each line
+    return ids.join(heads, "line_no").select("line_no", (F.col("_place") - F.col("_head") + 1).alias("rank"), "doc_id")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew only where the scan has fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -33,6 +33,26 @@ def write_lines(df: DataFrame, path: str, key: str, value: str, single: bool = T
     (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
 
+def write_result_lines(queries: DataFrame, results: DataFrame, path: str, order: str) -> None:
+    """Result lines of any length, written by many tasks: no line is ever one value.
+
+    ``results`` has query_id, doc_id and a column of the ids' order in their query (rank, or doc_id itself),
+    ``queries`` all query_ids. Rows are cut into ranges of (query, order), so a query with very many answers
+    is written by several tasks; the part files in the order of their names are the lines: an id and a blank each,
+    and a line feed before every query but the first. ``readers.result_lines`` reads them again.
+    """
+    first = results.groupBy("query_id").agg(F.min(order).alias("_first"))  # a row for each query with answers
+    asked = queries.select("query_id").distinct()
+    none = asked.join(first, "query_id", "left_anti").select("query_id", F.lit(None).cast(results.schema[order].dataType).alias("_order"), F.lit(True).alias("_head"), F.lit("").alias("_id"))
+    some = results.join(first, "query_id").select("query_id", F.col(order).alias("_order"), (F.col(order) == F.col("_first")).alias("_head"), F.col("doc_id").cast("string").alias("_id"))
+    least = asked.agg(F.min("query_id").alias("_least"))
+    rows = some.unionAll(none).crossJoin(F.broadcast(least))  # one row
+    text = F.when(F.col("_head") & (F.col("query_id") > F.col("_least")), F.concat(F.lit("\n"), "_id")).otherwise(F.col("_id"))
+    rows = rows.select("query_id", "_order", text.alias("value"))
+    rows = rows.repartitionByRange("query_id", "_order").sortWithinPartitions("query_id", "_order")
+    rows.select("value").write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def write_cases(df: DataFrame, path: str) -> None:
     """Zoned documents as CSV files with a header, as ``readers.zoned_csv`` reads them."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

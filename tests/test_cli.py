@@ -37,6 +37,13 @@ def test_cosine(spark, texts):
     assert lines(texts / "out") == ["3 2 1", ""]
 
 
+def test_boolean_in_parts(spark, texts):
+    at = ["-d", f"{texts}/d", "-p", f"{texts}/p"]
+    main(["index", "-i", f"{texts}/docs", *at], spark)
+    main(["search", "--parts", *at, "-q", f"{texts}/q.txt", "-o", f"{texts}/out"], spark)
+    assert [x.strip() for x in lines(texts / "out")] == ["3", "", "3 4"]
+
+
 @pytest.mark.parametrize("model", ["zoned", "feedback"])
 def test_zoned(spark, texts, model):
     at = ["-m", model, "-d", f"{texts}/d", "-p", f"{texts}/p"]

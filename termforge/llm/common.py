@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +106,26 @@ def joined_salted(big: DataFrame, small: DataFrame, key: str, salt: str, per: in
     return big.join(small, [key, "_salt"]).drop("_salt")
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the machine: Python workers are used again by later stages,
+    and what one stage has needed would stay with them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(work):
+    """A function over batches that gives memory back when a task has ended."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def fold_remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null ids count as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))

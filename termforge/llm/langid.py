@@ -141,7 +141,7 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, longest: int = LONGEST)
             names=["lang", "word", "n"],
         )
 
-    counted = texts.select("lang", "text").mapInArrow(tally, "lang string, word string, n long")
+    counted = texts.select("lang", "text").mapInArrow(common.trimmed(tally), "lang string, word string, n long")
     counted = common.written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not langs:
@@ -193,6 +193,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
         for batch in texts:
             found = [scorer.predict(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["lang_pred", "score"])
+        del scorer
+        common.give_back()
 
     # only texts go to the Python workers, the columns to keep stay where they are
     source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))

@@ -108,7 +108,7 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = N
                 names=["doc_id", "doc_tokens", "pieces"],
             )
 
-    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, PIECES)
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(common.trimmed(run), PIECES)
 
 
 def fullest_subset(counts: dict[int, int], room: int) -> dict[int, int]:

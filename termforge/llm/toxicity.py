@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
                         seen = set()
         yield made(seen)
 
-    contexts = texts.select("toxic", "kept", "text").mapInArrow(pairs, "toxic int, kept int, before string, word string")
+    contexts = texts.select("toxic", "kept", "text").mapInArrow(common.trimmed(pairs), "toxic int, kept int, before string, word string")
     contexts = contexts.groupBy("toxic", "before", "word").agg((1 - F.min("kept")).alias("rest"))
     of = lambda toxic, what: F.sum(F.when(F.col("toxic") == toxic, what).otherwise(0))
     both = contexts.groupBy("word").agg(
@@ -192,7 +192,7 @@ def tail(model: Model, clean: DataFrame) -> tuple[float, float]:
                 excess += sum(over)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([held]), pa.array([excess])], names=["n", "held", "excess"])
 
-    sums = clean.select("text").mapInArrow(tally, "n long, held long, excess double").agg(F.sum("n"), F.sum("held"), F.sum("excess")).first()
+    sums = clean.select("text").mapInArrow(common.trimmed(tally), "n long, held long, excess double").agg(F.sum("n"), F.sum("held"), F.sum("excess")).first()
     n, held, excess = (x or 0 for x in sums)
     decay = min(1.0, (held + 1) / (excess + 1))
     return (held + 1) / max(1, n) * math.exp(decay * MIN_SCORE), decay
@@ -222,6 +222,7 @@ def detect(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
             found = [judge(model, t.as_py()) for t in batch]
             passages = [[{"first_word": a, "end_word": b, "score": x} for a, b, x in p] for _, p in found]
             yield pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.array(passages, kinds)], names=["score", "passages"])
+        common.give_back()
 
     # only texts go to the Python workers, the columns to keep stay where they are
     source = common.spread(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *keep))

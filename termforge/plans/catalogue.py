@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termforge.functions import analysis
+from termforge.functions import analysis, porter, sentences, treebank
 from termforge.operators import boolean, boolean_batch, expand, feedback, index, langmodel, lexicon, rank
+from termforge.plans import sentence_oracle
 from termforge.plans.stem_oracle import stem_sql
 from termforge.sources import readers, scratch, sinks
 from termforge.sources.readers import spread
@@ -660,6 +661,61 @@ def rank_stemmed_full(s, d):
     return rank.full_ranking(rank.scores(weights, postings, rank.log_tf()))
 
 
+# --- learned sentence ends and Treebank words ----------------------------------------------------
+
+
+def learned(s, d):
+    """The corpus's abbreviations and sentence starters."""
+    short = _kept(s, d, "abbreviations", lambda: sentences.abbreviations(docs(s, d)))
+    return short, _kept(s, d, "starters", lambda: sentences.starters(docs(s, d), short))
+
+
+@register("abbreviations", f"WITH {sentence_oracle.CHUNKS}, {sentence_oracle.ABBREVIATIONS} SELECT word, with_point, without, round(score, 6) AS score FROM ab")
+def abbreviations(s, d):
+    return rounded(learned(s, d)[0], "score")
+
+
+@register("sentence_starters", f"WITH {sentence_oracle.LEARNED} SELECT word, after_point, times, round(score, 5) AS score FROM starting")
+def sentence_starters(s, d):
+    return learned(s, d)[1].withColumn("score", F.round("score", 5))
+
+
+@register("sentences_learned", f"WITH {sentence_oracle.LEARNED}, {sentence_oracle.ENDS} SELECT doc_id, count(*) FILTER (ends) AS n_sentences, count(*) AS n_chunks, CAST(sum(pos) FILTER (ends) AS BIGINT) AS places FROM ended GROUP BY 1")
+def sentences_learned(s, d):
+    """By document the number of its sentences and the sum of their ends' places."""
+    rows = sentences.ends(docs(s, d), *learned(s, d))
+    return rows.groupBy("doc_id").agg(F.count_if("ends").alias("n_sentences"), F.count("*").alias("n_chunks"), F.sum(F.when(F.col("ends"), F.col("pos"))).alias("places"))
+
+
+_TREEBANK = f"{sentence_oracle.WORDS}, tok AS (SELECT doc_id, lower(t) AS term FROM raw)"
+_TREEBANK_STEMMED = f"{_stemmed(_TREEBANK)}, p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), dict AS (SELECT term, count(*) AS df FROM p GROUP BY 1)"
+
+
+def treebank_tf(s, d):
+    """(term, doc_id, tf) of stemmed Treebank words."""
+    make = lambda: porter.stemmed(treebank.exploded(docs(s, d), *learned(s, d))).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return _kept(s, d, "tf_treebank", make)
+
+
+@register("index_treebank", f"WITH {_TREEBANK_STEMMED} SELECT term, doc_id, tf FROM p")
+def index_treebank(s, d):
+    return treebank_tf(s, d).select("term", "doc_id", "tf")
+
+
+@register("cosine_treebank_top10", f"""WITH {_TREEBANK_STEMMED},
+qt AS (SELECT CAST(query_id AS BIGINT) AS query_id, term, count(*) AS qtf, min(place) AS first_pos FROM (VALUES
+  (1, 'do', 0), (1, 'n''t', 1), (1, 'licens', 2), (1, 'the', 3), (1, 'thing', 4), (1, '.', 5), (2, 'can', 0), (2, 'not', 1), (2, 'version', 2), (2, '2.0', 3), (2, ',', 4), (2, 'of', 5), (2, '``', 6), (2, 'mit', 7), (2, '''''', 8)) x(query_id, term, place) GROUP BY 1, 2),
+q AS (SELECT DISTINCT query_id FROM qt), {_weights('t')}, {_COSINE.removeprefix(_LTC + ', ')} SELECT * FROM top""")
+def cosine_treebank_top10(s, d):
+    """Queries told apart like the documents: ``don't`` is ``do`` and ``n't``, the last point a word by itself."""
+    asked = s.createDataFrame([(1, "Don't license the things."), (2, 'Cannot versions 2.0, of "mit"')], "doc_id long, text string")
+    rows = porter.stemmed(treebank.exploded(asked, *learned(s, d)))
+    terms = rows.groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("first_pos"))
+    postings = treebank_tf(s, d)
+    weights = rank.query_weights(terms, index.dictionary(postings, terms), n_docs(s, d), "t")
+    return rank.top_k(rank.cosine(weights, postings, index.doc_norms(postings)), K)
+
+
 # --- expansion over a lexical graph --------------------------------------------------------------
 
 

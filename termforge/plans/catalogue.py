@@ -37,7 +37,6 @@ BOOLEAN_QUERIES = [
 DERIVATIONS = [("license", "licensed"), ("thing", "things"), ("version", "versions"), ("version", "versioned")]
 STOP_WORDS = ["the", "of", "in", "la", "que", "der", "und"]
 STEMMED_QUERIES = [(1, "licenses AND versions"), (2, "licensing OR thing"), (3, "NOT things AND Licensed"), (4, "versioned AND NOT (licenses OR zzznothing)")]
-PHRASE_QUERIES = [(1, '"the thing" AND "version of"'), (2, "the thing"), (3, ""), (4, '"and" AND "or not" OR')]
 COURT_WEIGHTS = [("src0", 1.4), ("src1", 1.4), ("src2", 1.2), ("src3", 1.2), ("src4", 1.2)]
 TITLE = "substring_index(text, chr(10), 1)"
 K = 10
@@ -357,9 +356,18 @@ def bool_relation(s, d):
 # --- ranked retrieval ----------------------------------------------------------------------------
 
 
-@register("query_tf", f"WITH {_query_terms(True, True)} SELECT query_id, term, qtf, CAST(first_pos AS INTEGER) AS first_pos FROM qt")
+_TITLES = "q AS (SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS query FROM documents)"
+
+
+def titles(s, d):
+    """A query for each document: its first line."""
+    return docs(s, d).select(F.col("doc_id").alias("query_id"), F.expr(TITLE).alias("query"))
+
+
+@register("query_tf", f"WITH {_query_terms(True, True).replace(_Q, _TITLES)} SELECT query_id, term, qtf, CAST(first_pos AS INTEGER) AS first_pos FROM qt")
 def query_tf(s, d):
-    return rank.query_terms(queries_of(s), operator_words=("AND",))
+    """Terms of every document's title as a query."""
+    return rank.query_terms(titles(s, d), operator_words=("AND",))
 
 
 @register("query_weights_ltc", f"{_LTC} SELECT query_id, term, round(wq, 6) AS wq FROM w")
@@ -441,9 +449,14 @@ own AS (SELECT DISTINCT query_id, lower(t) AS term FROM (SELECT CAST(query_id AS
 ex AS (SELECT query_id, term FROM own UNION SELECT query_id, derived FROM own JOIN dv USING (term))"""
 
 
-@register("expand_derivations", f"WITH {_Q}, {_EXPANDED} SELECT query_id, term FROM ex")
+def _expanded(s, queries):
+    return expand.expand(queries, s.createDataFrame(DERIVATIONS, "term string, derived string"), STOP_WORDS, stem=False)
+
+
+@register("expand_derivations", f"WITH {_TITLES}, {_EXPANDED} SELECT query_id, term FROM ex")
 def expand_derivations(s, d):
-    return expand.expand(queries_of(s), s.createDataFrame(DERIVATIONS, "term string, derived string"), STOP_WORDS, stem=False)
+    """Terms of every document's title and their derived forms."""
+    return _expanded(s, titles(s, d))
 
 
 @register("smart_grid", f"""{_LT}, {_STATS}, {_EXPANDED},
@@ -452,7 +465,7 @@ w_on AS (SELECT query_id, term, 1 AS qtf, 0 AS first_pos, {_IDF['t']} AS wq FROM
 {" UNION ALL ".join(_grid_part(x, m) for x in ("off", "on") for m in "nlaL")}""")
 def smart_grid(s, d):
     """Four tf methods with and without expansion; expanded terms count once each."""
-    expanded = expand_derivations(s, d).select("query_id", "term", F.lit(1).cast("long").alias("qtf"), F.lit(0).alias("first_pos"))
+    expanded = _expanded(s, queries_of(s)).select("query_id", "term", F.lit(1).cast("long").alias("qtf"), F.lit(0).alias("first_pos"))
     weights = {"off": lt_zoned(s, d), "on": rank.query_weights(expanded, index.dictionary(zone_tf(s, d), expanded), n_docs(s, d), "t")}
     out = None
     for name, w in weights.items():
@@ -719,11 +732,6 @@ def cosine_treebank_top10(s, d):
 # --- expansion over a lexical graph --------------------------------------------------------------
 
 
-def titles(s, d):
-    """A query for each document: its first line."""
-    return docs(s, d).select(F.col("doc_id").alias("query_id"), F.expr(TITLE).alias("query"))
-
-
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -794,17 +802,42 @@ def source_zoned_csv(s, d):
     return readers.zoned_csv(s, path)
 
 
-@register("source_queries", "SELECT * FROM (VALUES " + ", ".join(
-    f"(CAST({i} AS BIGINT), '{t}', CAST({n} AS BIGINT), {p})"
-    for i, t, n, p in [(1, "the", 1, 1), (1, "thing", 1, 2), (1, "version", 1, 6), (1, "of", 1, 7), (2, "the", 1, 0), (2, "thing", 1, 1), (4, "and", 1, 1), (4, "or", 2, 5), (4, "not", 1, 6)]
-) + ") x(query_id, term, qtf, first_pos)")
+_PHRASES = f"""q AS (SELECT row_number() OVER (ORDER BY doc_id) AS query_id, '"' || w[1] || ' ' || coalesce(w[2], 'and') || '" AND "' || coalesce(w[3], 'or') || '" OR' AS query FROM (
+  SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '{_PATTERN}'), lambda t: regexp_matches(t, '{analysis.ALNUM}')), lambda t: lower(t)) AS w FROM documents))"""
+
+
+@register("source_queries", f"WITH {_query_terms(True, True).replace(_Q, _PHRASES)} SELECT query_id, term, qtf, CAST(first_pos AS INTEGER) AS first_pos FROM qt")
 def source_queries(s, d):
-    """Quoted phrases in a query file fall apart into their words; AND as an operator word goes."""
+    """A file of queries, one of each document's first words: quoted phrases fall apart into their words; AND as an operator word goes."""
+    words = F.transform(F.filter(analysis.tokens(F.col("text")), lambda t: t.rlike(analysis.ALNUM)), F.lower)
+    w = lambda i, other: F.coalesce(F.get(words, F.lit(i)), other)
+    line = F.concat(F.lit('"'), w(0, F.lit(None)), F.lit(" "), w(1, F.lit("and")), F.lit('" AND "'), w(2, F.lit("or")), F.lit('" OR'))
     path = scratch.new_path(s, "queries")
-    sinks.write_lines(queries_of(s, PHRASE_QUERIES), path, "query_id", "query")
+    sinks.write_lines(docs(s, d).select("doc_id", F.coalesce(line, F.lit("")).alias("line")), path, "doc_id", "line", single=False)
     return rank.query_terms(readers.queries(s, path), operator_words=("AND",))
 
 
+@register("source_directory", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def source_directory(s, d):
+    """A file for each document, written by tasks and read again."""
+    path = scratch.new_path(s, "directory")
+    sinks.write_directory(docs(s, d), path)
+    return readers.directory(s, path)
+
+
+_LOOKED_UP = f"SELECT DISTINCT lower(w[1]) AS term FROM (SELECT list_filter(regexp_extract_all(text, '{_PATTERN}'), lambda t: regexp_matches(t, '{analysis.ALNUM}')) AS w FROM benchmark) WHERE len(w) > 0"
+
+
+@register("postings_joined", f"WITH {_TF}, wanted AS ({_LOOKED_UP}) SELECT term, doc_id, tf FROM p SEMI JOIN wanted USING (term)")
+def postings_joined(s, d):
+    """Postings, saved by buckets of terms, of every benchmark item's first word."""
+    path = scratch.new_path(s, "postings")
+    sinks.save_postings(path, tf_postings(s, d).select("term", "doc_id", "tf"), 64)
+    words = F.filter(analysis.tokens(F.col("text")), lambda t: t.rlike(analysis.ALNUM))
+    terms = s.read.parquet(f"{d}/benchmark.parquet").select(F.lower(F.get(words, F.lit(0))).alias("term"))
+    return sinks.lookup(s, path, terms).select("term", "doc_id", "tf")
+
+
 def _read_again(s, asked, hits, order):
     """Result lines written in parts and read again; a line's number stands for its query."""
     path = scratch.new_path(s, "result-lines")

@@ -41,9 +41,16 @@ def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text) of a directory with one file per document, named by its integer id."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").cast("long").alias("doc_id"), F.col("value").alias("text")
+    """(doc_id, text) of a directory with one file per document: named by its integer id, or in a folder
+    ``doc_id=N`` as ``sinks.write_directory`` writes it, where a last line feed is no part of the text.
+
+    A task reads many small files, as many as fit in a partition's bytes.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/doc_id=(-?\d+)/[^/]+$", 1)
+    return rows.select(
+        F.when(folder != "", folder.try_cast("long")).otherwise(F.col("_metadata.file_name").try_cast("long")).alias("doc_id"),
+        F.when(folder != "", F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value")).alias("text"),
     )
 
 

@@ -21,6 +21,42 @@ def load_index(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+#: Folders that postings are dealt to by the hash of their term.
+BUCKETS = 256
+#: Terms that are looked up by a broadcast (some 60 bytes each).
+LOOKED_UP = 200_000
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def save_postings(path: str, postings: DataFrame, buckets: int = BUCKETS) -> None:
+    """Write postings for look-ups by joins: a folder for each bucket of terms, sorted by term within.
+
+    Rows are cut into ranges of (bucket, term, doc_id), so that a very frequent term is written by several tasks.
+    """
+    rows = postings.withColumn("bucket", _bucket(buckets)).repartitionByRange("bucket", "term", "doc_id")
+    rows.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark = postings.sparkSession
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def lookup(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """The postings of the terms of a DataFrame (term), each looked up once; unknown and null terms have none.
+
+    The join is on bucket and term: the buckets that the terms are in are known when the query runs, and only
+    their folders are read. Postings are not shuffled where at most LOOKED_UP terms, which are counted, are
+    looked up.
+    """
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    wanted = terms.select("term").where("term <> ''").distinct()
+    wanted = wanted.withColumn("bucket", _bucket(buckets))
+    postings = spark.read.parquet(f"{path}/postings")
+    small = wanted.count() <= LOOKED_UP
+    return postings.join(F.broadcast(wanted) if small else wanted, ["bucket", "term"]).drop("bucket")
+
+
 def postings_of(postings: DataFrame, terms: list[str]) -> DataFrame:
     """Point look-up: the filter reaches the scan."""
     return postings.where(F.col("term").isin(terms))
@@ -53,6 +89,15 @@ def write_result_lines(queries: DataFrame, results: DataFrame, path: str, order:
     rows.select("value").write.mode("overwrite").option("lineSep", " ").text(path)
 
 
+def write_directory(docs: DataFrame, path: str) -> None:
+    """A file for each document (doc_id, text), in a folder of its id; tasks write them, one after another.
+
+    Ids are unique; null texts are empty. ``readers.directory`` reads them again.
+    """
+    text = F.coalesce("text", F.lit("")).alias("text")
+    docs.select("doc_id", text).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def write_cases(df: DataFrame, path: str) -> None:
     """Zoned documents as CSV files with a header, as ``readers.zoned_csv`` reads them."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termforge.functions.smart import exact_sum
 from termforge.operators import rank
+from termforge.sources import scratch
 
 BETA, GAMMA, SET_SIZE = 0.75, 0.15, 10
 
@@ -38,7 +39,8 @@ def rocchio_weights(weights: DataFrame, postings: DataFrame, sets: DataFrame) ->
         + BETA * F.coalesce("s_top", F.lit(0.0)) / SET_SIZE
         - GAMMA * F.coalesce("s_low", F.lit(0.0)) / SET_SIZE
     )
-    return weights.join(sums, ["query_id", "term"], "left").select("query_id", "term", "first_pos", moved.alias("wq"))
+    out = weights.join(sums, ["query_id", "term"], "left").select("query_id", "term", "first_pos", moved.alias("wq"))
+    return scratch.written(out, "moved-weights")  # as small as the batch
 
 
 def rerank_last_term(scored: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:

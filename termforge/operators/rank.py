@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from termforge.functions import analysis, porter, smart
 from termforge.functions.smart import exact_sum
+from termforge.sources import scratch
 
 PLACES = 6
 TITLE_BOOST = 1.4
 #: Batches of up to so many query terms are broadcast (some 100 bytes each).
 BATCH_TERMS = 200_000
-#: Full rankings: parts by score, and parts by id of a score that very many documents have.
-SCORE_PARTS, ID_PARTS = 200, 256
 
 
 def query_terms(queries: DataFrame, keep: str | None = analysis.ALNUM, operator_words: tuple[str, ...] = (), stem: bool = False) -> DataFrame:
@@ -37,14 +36,15 @@ def query_terms(queries: DataFrame, keep: str | None = analysis.ALNUM, operator_
 def query_weights(terms: DataFrame, dictionary: DataFrame, n_docs: DataFrame, idf: str) -> DataFrame:
     """(query_id, term, qtf, first_pos, wq) of known terms; ``n_docs`` is one row with ``n``.
 
-    The result is as small as the batch of queries and is broadcast where it meets postings, if the
-    batch has at most BATCH_TERMS terms.
+    The result is as small as the batch of queries. It is written once, for all its uses, and is broadcast
+    where it meets postings, if the batch has at most BATCH_TERMS terms.
     """
     known = terms.join(dictionary, "term").crossJoin(F.broadcast(n_docs))
     out = known.select(
         "query_id", "term", "qtf", "first_pos", smart.query_weight(F.col("qtf"), F.col("n"), F.col("df"), idf).alias("wq")
     )
-    return F.broadcast(out) if terms.count() <= BATCH_TERMS else out
+    out = scratch.written(out, "weights")
+    return F.broadcast(out) if out.count() <= BATCH_TERMS else out
 
 
 def scores(weights: DataFrame, postings: DataFrame, doc_weight: Column) -> DataFrame:
@@ -79,39 +79,25 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def full_ranking(scored: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): ties in order of the first matching query term, then descending id.
 
-    With ``k`` every task keeps its own first k before they meet. A whole ranking is cut into parts of
-    scores by approximate quantiles, where a quantile's own score is a part by itself that is cut
-    further by first term and id; ranks within a part follow those of the parts before, so that no
-    task sorts a query's whole result.
+    With ``k`` every task keeps its own first k before they meet. A whole ranking is scored once, cut into
+    ranges of its order and written sorted, so that no task sorts a query's whole result; a row's rank
+    follows from its place in its file, the rows of the files before and the place of the query's first row.
     """
     rows = scored.select("query_id", "doc_id", F.round("score", PLACES).alias("score"), "first_pos")
     order = [F.desc("score"), F.asc("first_pos"), F.desc("doc_id")]
     if k:
         out = rows.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank"), "doc_id", "score")
         return out.where(F.col("rank") <= k)
-    shares = [i / SCORE_PARTS for i in range(1, SCORE_PARTS)]
-    cuts = rows.groupBy("query_id").agg(
-        F.array_distinct(F.percentile_approx("score", F.lit(shares), 10_000)).alias("cuts"),
-        F.max("doc_id").alias("_top"),
-        F.greatest((F.max("doc_id") - F.min("doc_id")) / ID_PARTS, F.lit(1.0)).alias("_width"),
+    rows = scratch.written(rows, "scored")  # range partitioning reads it twice
+    cut = rows.repartitionByRange(F.asc("query_id"), *order).sortWithinPartitions(F.asc("query_id"), *order)
+    placed = scratch.written(cut.select("query_id", "doc_id", "score"), "ranked").select(
+        "query_id", "doc_id", "score", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
     )
-    above = F.size(F.filter("cuts", lambda c: c > F.col("score")))
-    at_cut = F.array_contains("cuts", F.col("score"))
-    part = [
-        (2 * above + at_cut.cast("int")).alias("_a"),
-        F.when(at_cut, F.col("first_pos")).otherwise(0).alias("_b"),
-        F.when(at_cut, F.floor((F.col("_top") - F.col("doc_id")) / F.col("_width"))).otherwise(0).alias("_c"),
-    ]
-    # a row for each query of the batch
-    rows = rows.join(F.broadcast(cuts), "query_id").select("query_id", "doc_id", "score", "first_pos", *part)
-    keys = ["query_id", "_a", "_b", "_c"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("query_id").orderBy("_a", "_b", "_c")) - F.col("_n")
-    # for each query at most 2 SCORE_PARTS parts, and ID_PARTS for each query term of a quantile's score
-    offsets = sizes.select(*keys, before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ranked = rows.withColumn("_r", within).join(offsets, keys)
-    return ranked.select("query_id", (F.col("_before") + F.col("_r")).cast("int").alias("rank"), "doc_id", "score")
+    files = placed.groupBy("_file").agg((F.max("_at") + 1).alias("_n"))  # a row for each file
+    offsets = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    placed = placed.join(F.broadcast(offsets), "_file").withColumn("_place", F.col("_before") + F.col("_at"))
+    heads = placed.groupBy("query_id").agg(F.min("_place").alias("_head"))  # a row for each query of the batch
+    return placed.join(heads, "query_id").select("query_id", (F.col("_place") - F.col("_head") + 1).cast("int").alias("rank"), "doc_id", "score")
 
 
 def title_factor(column: str = "tf_title", boost: float = TITLE_BOOST) -> Column:

@@ -487,7 +487,7 @@ w2 AS (SELECT query_id, term, first_pos, wq + 0.75 * coalesce(s_top, 0) / 10 - 0
 
 def _first_pass(s, d):
     w = lpn(s, d)
-    scored = rank.scores(w, zone_tf(s, d), rank.log_tf() * rank.title_factor())
+    scored = scratch.written(rank.scores(w, zone_tf(s, d), rank.log_tf() * rank.title_factor()), "first-pass")
     moved = feedback.rocchio_weights(w, zone_tf(s, d), feedback.feedback_sets(scored))
     return scored, moved
 

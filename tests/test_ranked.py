@@ -130,13 +130,19 @@ def test_order_free_sum(spark):
     assert rows.agg(exact_sum(F.col("x")).alias("s")).first().s == pytest.approx(0.6)
 
 
-def test_whole_ranking_in_parts(spark, monkeypatch):
-    """Scores that repeat very often are cut by first term and id; ranks are those of one sort."""
-    monkeypatch.setattr(rank, "SCORE_PARTS", 8)
-    monkeypatch.setattr(rank, "ID_PARTS", 5)
+@pytest.mark.parametrize("coalesce", ["false", "true"])
+def test_whole_ranking_in_parts(spark, coalesce):
+    """A query's results, and those of one score, are cut into several files; ranks are those of one sort."""
     rows = [(q, i, float((i * 7919) % (3 if q == 1 else 50)), i % 2) for q in (1, 2) for i in range(300)] + [(3, -5, 1.5, 0)]
     scored = spark.createDataFrame(rows, "query_id long, doc_id long, score double, first_pos int")
-    got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in rank.full_ranking(scored).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        ranked = rank.full_ranking(scored)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert coalesce == "true" or len({f for f in ranked.inputFiles() if "ranked-" in f}) > 2
+    assert rank.full_ranking(scored.limit(0)).collect() == []
+    got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in ranked.collect())
     expected = []
     for q in (1, 2, 3):
         own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[3], -r[1]))

@@ -61,7 +61,7 @@ def _ranked(model: str, asked: DataFrame, docs: DataFrame, found: DataFrame, df:
 
 def label(spark: SparkSession, train: str, test: str, output: str) -> None:
     """Each line of a file after the language that a model of labelled lines gives it."""
-    model = langmodel.probabilities(langmodel.gram_counts(readers.labelled_lines(spark, train)))
+    model = langmodel.gram_counts(readers.labelled_lines(spark, train))
     lines = readers.numbered_lines(spark, test)
     sinks.write_lines(sinks.prediction_lines(lines, langmodel.predict(lines, model)), output, "line_no", "line")
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions import analysis
+from termforge.sources import scratch
 
 GRAM = 4
 OTHER = "other"
-#: Grams of a model that is broadcast (some 100 bytes each).
+#: Grams that are broadcast, the most frequent (some 100 bytes each).
 MODEL_GRAMS = 500_000
 #: Logarithms are whole numbers of this fraction, so that sums do not depend on their order.
 SCALE = 1e10
@@ -44,27 +45,66 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return rows.select("l.lang", "gram", ((n + 1) / F.col("l.total")).alias("p"))
 
 
-def line_scores(tests: DataFrame, model: DataFrame, key: str = "line_no", n: int = GRAM) -> DataFrame:
-    """(key, lang, score): summed log probability of known grams; unknown grams are skipped.
+def _marks(counts: DataFrame, sums: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model as (gram, total, marks) and one row of all languages with their logarithm of an unseen gram.
 
-    A model of up to MODEL_GRAMS grams is broadcast with all its languages in one row for each gram, and
-    grams are summed in the task that reads their line. A larger one is joined by gram, after counting.
+    ``marks`` has a language only where it has seen the gram, with what its logarithm is above that of an
+    unseen one: the table grows with the counts, not with grams times languages.
     """
-    logs = model.select("gram", F.struct("lang", F.round(F.ln("p") * SCALE).cast("long").alias("lp")).alias("l"))
-    logs = logs.groupBy("gram").agg(F.collect_list("l").alias("logs"))
-    if model.select("gram").distinct().count() <= MODEL_GRAMS:
-        out = tests.select(key, F.explode_outer(analysis.char_ngrams(F.col("text"), n)).alias("gram"))
-        hits = out.where(F.col("gram").isNotNull()).join(F.broadcast(logs), "gram").select(key, F.explode("logs").alias("l"), F.lit(1).alias("n"))
+    log = lambda n: F.round(F.ln(n / F.col("total")) * SCALE).cast("long")
+    langs = sums.select("lang", log(F.lit(1)).alias("least"))  # a row for each language
+    seen = counts.join(F.broadcast(sums), "lang").select("gram", "n", F.struct("lang", (log(F.col("n") + 1) - log(F.lit(1))).alias("more")).alias("m"))
+    grams = seen.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list("m").alias("marks"))
+    return grams, langs.agg(F.collect_list(F.struct("lang", "least")).alias("langs"))
+
+
+def frequent_from(grams: DataFrame, most: int) -> int:
+    """The least total of grams that are broadcast: at most ``most`` grams have it. 1 if these are all."""
+    halves = grams.groupBy(F.floor(F.log2("total")).cast("int").alias("h")).agg(F.count("*").alias("n"))
+    held = 0
+    for h, n in sorted(((r.h, r.n) for r in halves.collect()), reverse=True):  # at most 63 rows
+        held += n
+        if held > most:
+            return 1 << (h + 1)
+    return 1
+
+
+def line_scores(tests: DataFrame, counts: DataFrame, key: str = "line_no", n: int = GRAM, most: int | None = None) -> DataFrame:
+    """(key, lang, score): summed log probability of known grams in every language; unknown grams are skipped.
+
+    ``counts`` is ``gram_counts`` of the training lines; keys of ``tests`` are unique. The most frequent grams,
+    at most ``most`` (MODEL_GRAMS), are broadcast and met in the task that reads a line. The others are
+    counted by line and joined by gram: they are rare, so that no gram gathers many rows of the model's own kind.
+    """
+    most = MODEL_GRAMS if most is None else most
+    grams, langs = _marks(counts, totals(counts))
+    grams = scratch.written(grams, "model-grams")
+    least = frequent_from(grams, most)
+    read = tests.select(key, F.explode_outer(analysis.char_ngrams(F.col("text"), n)).alias("gram")).where("gram is not null")
+    frequent = F.broadcast(grams.where(F.col("total") >= least).select("gram", "marks"))
+    if least == 1:
+        met = read.join(frequent, "gram").select(key, "marks", F.lit(1).alias("n"))
     else:
-        hits = grams_of(tests, key, n).join(logs, "gram").select(key, F.explode("logs").alias("l"), "n")
-    score = F.sum(F.col("l.lp") * F.col("n")) / SCALE
-    return hits.groupBy(key, F.col("l.lang").alias("lang")).agg(score.alias("score"))
+        met = read.join(frequent, "gram").select(key, "marks", F.lit(1).alias("n"))
+        rest = read.join(frequent.select("gram"), "gram", "left_anti").groupBy(key, "gram").agg(F.count("*").alias("n"))
+        met = met.unionByName(rest.join(grams.where(F.col("total") < least), "gram").select(key, "marks", "n"))
+    # a mark without a language counts the known grams
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1).cast("long").alias("more")))
+    each = met.select(key, "n", F.explode(F.concat("marks", whole)).alias("m"))
+    sums = each.groupBy(key, F.col("m.lang").alias("lang")).agg(F.sum(F.col("m.more") * F.col("n")).alias("s"))
+    lines = sums.groupBy(key).agg(
+        F.max(F.when(F.col("lang").isNull(), F.col("s"))).alias("known"),
+        F.map_from_entries(F.filter(F.collect_list(F.struct("lang", "s")), lambda x: x["lang"].isNotNull())).alias("more"),
+    )
+    rows = lines.crossJoin(F.broadcast(langs)).select(key, "known", "more", F.explode("langs").alias("l"))
+    score = (F.col("known") * F.col("l.least") + F.coalesce(F.try_element_at("more", F.col("l.lang")), F.lit(0))) / SCALE
+    return rows.select(key, "l.lang", score.alias("score"))
 
 
-def predict(tests: DataFrame, model: DataFrame, key: str = "line_no", n: int = GRAM) -> DataFrame:
-    """(key, label): the likeliest language, ties by name; ``other`` where no gram is known."""
+def predict(tests: DataFrame, counts: DataFrame, key: str = "line_no", n: int = GRAM, most: int | None = None) -> DataFrame:
+    """(key, label): the likeliest language, ties by name; ``other`` where no gram is known. Keys are unique."""
     best = (
-        line_scores(tests, model, key, n)
+        line_scores(tests, counts, key, n, most)
         .groupBy(key)
         .agg(F.min(F.struct((-F.col("score")).alias("s"), "lang")).alias("b"))
         .select(key, F.col("b.lang").alias("label"))

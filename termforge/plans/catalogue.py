@@ -565,12 +565,18 @@ def lm_probs(s, d):
 
 @register("lm_scores", f"{_LM_SCORES} SELECT doc_id, lang, round(score * 10000) / 10000 AS score FROM sc")
 def lm_scores(s, d):
-    found = langmodel.line_scores(lm_docs(s, d), langmodel.probabilities(lm_all_counts(s, d)), "doc_id")
+    found = langmodel.line_scores(lm_docs(s, d), lm_all_counts(s, d), "doc_id")
     return found.select("doc_id", "lang", (F.round(F.col("score") * 10000) / 10000).alias("score"))
 
 
 def _predicted(s, d, counts=None):
-    return langmodel.predict(lm_docs(s, d), langmodel.probabilities(counts or lm_all_counts(s, d)), "doc_id")
+    return langmodel.predict(lm_docs(s, d), counts or lm_all_counts(s, d), "doc_id")
+
+
+@register("lm_predict_large", f"{_LM_SCORES} SELECT doc_id, label FROM pr")
+def lm_predict_large(s, d):
+    """As with a model of which only the few most frequent grams are broadcast."""
+    return langmodel.predict(lm_docs(s, d), lm_all_counts(s, d), "doc_id", most=2_000)
 
 
 @register("lm_predict", f"{_LM_SCORES} SELECT doc_id, label || ' ' || text AS line FROM pr")

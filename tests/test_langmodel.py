@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 
 from termforge.operators import langmodel
@@ -28,7 +31,29 @@ def test_probabilities(model):
 def test_predictions(spark, model):
     lines = [(1, "abcde"), (2, "bcdef"), (3, "zzzz"), (4, "abc"), (5, "abcdzzzz"), (6, None)]
     tests = spark.createDataFrame(lines, "line_no long, text string")
-    got = langmodel.predict(tests, model[1])
+    got = langmodel.predict(tests, model[0])
     assert {r.line_no: r.label for r in got.collect()} == {1: "x", 2: "y", 3: "other", 4: "other", 5: "x", 6: "other"}
     out = {r.line_no: r.line for r in prediction_lines(tests, got).collect()}
     assert out[1] == "x abcde" and out[4] == "other abc"
+
+
+@pytest.mark.parametrize("most", [10**6, 40, 0])
+def test_split_models_score_alike(spark, most):
+    """Few or no grams are broadcast: scores are those of the whole table of grams and languages."""
+    rng = random.Random(1)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    train = [(lang, text(60, letters)) for lang, letters in (("x", "aab"), ("y", "abc"), ("z", "bcd")) for _ in range(20)] + [("x", "aaaa" * 200)]
+    lines = [(i, text(rng.randint(0, 30), "abcde")) for i in range(60)] + [(60, "aaaa" * 500), (61, None)]
+    counts = langmodel.gram_counts(spark.createDataFrame(train, "lang string, text string")).cache()
+    if most == 40:
+        assert 1 < langmodel.frequent_from(counts.groupBy("gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "total"), most)
+    p = {(r.lang, r.gram): r.p for r in langmodel.probabilities(counts).collect()}
+    got = {(r.line_no, r.lang): r.score for r in langmodel.line_scores(spark.createDataFrame(lines, "line_no long, text string"), counts, most=most).collect()}
+    expected = {}
+    for i, t in lines:
+        grams = [t[k : k + 4] for k in range(len(t) - 3)] if t else []
+        known = [g for g in grams if ("x", g) in p]
+        for lang in "xyz" if known else "":
+            expected[i, lang] = sum(round(math.log(p[lang, g]) * 1e10) for g in known) / 1e10
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-6) for k in got)

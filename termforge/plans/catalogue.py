@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termforge.functions import analysis, porter, sentences, treebank
-from termforge.operators import boolean, boolean_batch, expand, feedback, index, langmodel, lexicon, rank
+from termforge.operators import boolean, boolean_batch, expand, feedback, grid, index, langmodel, lexicon, rank
 from termforge.plans import sentence_oracle
 from termforge.plans.stem_oracle import stem_sql
 from termforge.sources import readers, scratch, sinks
@@ -474,6 +474,46 @@ def smart_grid(s, d):
     return out
 
 
+_FLAG_SUMS = [(m, t, f"{'ave' if m == 'L' else m}{int(t)}") for m in "nlaL" for t in (False, True)]
+_FLAG_GRID = f"""{_LT}, {_STATS}, {_EXPANDED},
+wx AS (SELECT false AS expansion, query_id, term, first_pos, wq FROM w UNION ALL SELECT true, query_id, term, 0, {_IDF['t']} FROM ex JOIN dict USING (term), nd),
+g AS (SELECT expansion, query_id, doc_id, min(first_pos) AS first_pos, {", ".join(f"{_sum('wq * (' + _METHOD_SQL[m][0] + ')' + (' * CASE WHEN tf_title > 0 THEN 1.4 ELSE 1.0 END' if t else ''))} AS {n}_sum" for m, t, n in _FLAG_SUMS)}
+  FROM p JOIN wx USING (term) JOIN b USING (doc_id) GROUP BY 1, 2, 3),
+l AS ({" UNION ALL ".join(f"SELECT expansion, '{m}' AS tf_method, {str(t).lower()} AS with_titles, query_id, doc_id, first_pos, {n}_sum AS score FROM g" for m, t, n in _FLAG_SUMS)}),
+cw(court, weight) AS (VALUES {", ".join(f"('{c}', {w})" for c, w in COURT_WEIGHTS)}),
+s AS (SELECT expansion, tf_method, with_titles, with_courts, query_id, doc_id, first_pos, CASE WHEN with_courts THEN score * coalesce(CAST(weight AS DOUBLE), 1.0) ELSE score END AS score
+  FROM l JOIN documents d USING (doc_id) LEFT JOIN cw ON cw.court = d.source CROSS JOIN (VALUES (false), (true)) f(with_courts)),
+rk AS (SELECT * FROM (SELECT expansion, tf_method, with_titles, with_courts, query_id,
+  CAST(row_number() OVER (PARTITION BY expansion, tf_method, with_titles, with_courts, query_id ORDER BY round(score, 6) DESC, first_pos, doc_id DESC) AS INTEGER) AS rank,
+  doc_id, round(score, 6) AS score FROM s) WHERE rank <= {K})"""
+
+
+def _flag_rankings(s, d):
+    plain = lt_zoned(s, d).select(F.lit(False).alias("expansion"), "query_id", "term", "wq", "first_pos")
+    terms = _expanded(s, queries_of(s)).select("query_id", "term", F.lit(1).cast("long").alias("qtf"), F.lit(0).alias("first_pos"))
+    more = rank.query_weights(terms, index.dictionary(zone_tf(s, d), terms), n_docs(s, d), "t")
+    weights = F.broadcast(plain.unionByName(more.select(F.lit(True).alias("expansion"), "query_id", "term", "wq", "first_pos")))  # two small batches
+    courts = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("court"))
+    scored = grid.scores(grid.all_configs(s), weights, zone_tf(s, d), stats(s, d), courts, s.createDataFrame(COURT_WEIGHTS, "court string, weight double"))
+    return grid.rankings(scored, K)
+
+
+@register("grid_flags", f"{_FLAG_GRID} SELECT * FROM rk")
+def grid_flags(s, d):
+    """All 32 configurations of expansion, weight, titles and courts in one scoring pass."""
+    return _flag_rankings(s, d)
+
+
+@register("grid_report", f"""{_FLAG_GRID},
+cf AS (SELECT * FROM (VALUES (false), (true)) a(expansion), (VALUES ('n'), ('l'), ('a'), ('L')) m(tf_method), (VALUES (false), (true)) t(with_titles), (VALUES (false), (true)) c(with_courts))
+SELECT cf.expansion, cf.tf_method, cf.with_titles, cf.with_courts, CAST(q.query_id AS BIGINT) AS query_id, query, coalesce(string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank), '') AS result
+FROM cf CROSS JOIN q LEFT JOIN rk ON rk.expansion = cf.expansion AND rk.tf_method = cf.tf_method AND rk.with_titles = cf.with_titles AND rk.with_courts = cf.with_courts AND rk.query_id = q.query_id
+GROUP BY 1, 2, 3, 4, 5, 6""")
+def grid_report(s, d):
+    """The experiments' report: flags, query and result line."""
+    return grid.report(grid.all_configs(s), queries_of(s), _flag_rankings(s, d))
+
+
 # --- feedback ------------------------------------------------------------------------------------
 
 _FEEDBACK = f"""{_LPN}, {_scores(_BOOST)},

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent, a folder is set: on a cluster one in the warehouse, which is shared too,
-    and in local mode (tests), where one machine is all there is, a temporary one.
+    Where the setting is absent, local mode (tests), where one machine is all there is, sets a temporary
+    folder; on a cluster no folder is known to be shared, and that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = re.match(r"local(\[|$)", spark.sparkContext.master)
-        base = f"{tempfile.gettempdir() if local else spark.conf.get('spark.sql.warehouse.dir')}/termforge-scratch"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/termforge-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -36,11 +37,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again."""
+def written_path(df: DataFrame, name: str) -> str:
+    """Write to the shared folder; the table's path."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name))
 
 
 def mark() -> int:

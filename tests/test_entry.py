@@ -25,10 +25,11 @@ def test_flagship(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["tokens_stemmed", "bool_batch", "cosine_lnc_ltc_top10", "rocchio_rerank", "lm_predict_other", "index_zoned_stemmed", "bool_stemmed", "cosine_stemmed_top10", "smart_normalised", "source_lines", "source_zoned_csv", "source_queries", "index_saved"])
+@pytest.mark.parametrize("name", ["tokens_stemmed", "bool_batch", "cosine_lnc_ltc_top10", "rocchio_rerank", "lm_predict_other", "index_zoned_stemmed", "bool_stemmed", "cosine_stemmed_top10", "smart_normalised", "source_lines", "source_zoned_csv", "source_queries", "index_saved", "expand_lexical", "bool_relation", "lines_boolean", "lines_ranked", "cosine_treebank_top10", "abbreviations", "grid_report", "lm_predict_large", "postings_joined", "source_directory", "query_tf", "expand_derivations"])
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = catalogue.QUERIES[name](spark, SF)
     expected = c.sql(catalogue.ORACLES[name])
     names = list(got.columns)

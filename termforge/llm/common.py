@@ -1,19 +1,15 @@
-"""Helpers that several operators share: scratch tables, samples, partition spreading."""
+"""Helpers that several operators share: samples, salted joins, partition spreading; scratch tables by name."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termforge.sources.scratch import discard, mark as scratch_mark, shared_dir, written, written_path  # noqa: F401
 
 #: Tables of ids and hashes up to this many rows are broadcast (some 20 bytes a row).
 BROADCAST_ROWS = 1_000_000
@@ -25,59 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a folder is set: on a cluster one in the warehouse, which is shared too,
-    and in local mode (tests), where one machine is all there is, a temporary one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = re.match(r"local(\[|$)", spark.sparkContext.master)
-        base = f"{tempfile.gettempdir() if local else spark.conf.get('spark.sql.warehouse.dir')}/termforge-scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-#: Folders that ``written`` has made in this process, oldest first.
-_scratch: list[str] = []
-
-
-def written_path(df: DataFrame, name: str) -> str:
-    """Write to the shared folder; the table's path."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name))
-
-
-def scratch_mark() -> int:
-    """A point in the list of scratch tables, for ``discard``."""
-    return len(_scratch)
-
-
-def discard(spark: SparkSession, since: int, until: int | None = None) -> None:
-    """Delete the scratch tables made between two marks; only when nothing will read them any more."""
-    jvm = spark.sparkContext._jvm
-    for i in range(since, len(_scratch) if until is None else until):
-        path = jvm.org.apache.hadoop.fs.Path(_scratch[i])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    """When the process ends, delete the scratch tables that it made, if its session still runs."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _scratch:
-        with contextlib.suppress(Exception):
-            discard(spark, 0)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew only where the scan has fewer partitions than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

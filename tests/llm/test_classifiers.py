@@ -135,6 +135,52 @@ def test_language_scores_against_brute_force(spark, corpus):
         assert got[i].score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs))
 
 
+def test_back_off_scores_against_brute_force(spark, corpus):
+    """Unseen words score by their longest n-grams that any word of the training texts has, counted word by word."""
+    d, _ = frames(spark, corpus)
+    model = langid.fit(d)
+    train = [(t, x) for i, t, x in [*corpus[0], corpus[0][0]] if not held_out(i, 3, 1)]
+    langs = sorted({x for _, x in train})
+    words = {x: Counter() for x in langs}
+    for t, x in train:
+        words[x].update(re.findall(r"[^\W\d_]+", t.lower()))
+    grams = {n: {x: Counter(f"<{w}>"[k : k + n] for w in words[x] for k in range(len(w) + 3 - n)) for x in langs} for n in range(1, 6)}
+
+    def expected(w):
+        for n in range(5, 0, -1):
+            text = f"<{w}>" if n > 1 else w
+            keys = set().union(*grams[n].values())
+            known = [text[k : k + n] for k in range(len(text) - n + 1) if text[k : k + n] in keys]
+            if known:
+                size = {x: sum(grams[n][x].values()) + langid.ADD * (len(keys) + 1) for x in langs}
+                return [sum(math.log((grams[n][x][g] + langid.ADD) / size[x]) for g in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    seen = {w for c in words.values() for w, n in c.items() if n > 1}
+    unseen = ["schungthq", "ververungoi", "qqthqq", "zzéz", "qeauq", "jjj", "v", "onx"]
+    assert not seen & set(unseen)
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(unseen)), "doc_id long, text string"), model).collect()}
+    lengths = set()
+    for i, w in enumerate(unseen):
+        logs = expected(w)
+        best = max(range(len(langs)), key=lambda k: logs[k])  # noqa: B023
+        assert got[i].lang_pred == langs[best], w
+        assert got[i].score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs)), w
+        lengths.add(next((n for n in range(5, 0, -1) if any((f"<{w}>" if n > 1 else w)[k : k + n] in grams[n][x] for x in langs for k in range(len(w) + 3))), 0))
+    assert len(lengths) >= 4  # several lengths of back-off are met
+
+
+def test_many_languages_keep_all_keys(spark):
+    """With very many languages the model grows with what was seen, and nothing is left out."""
+    rows = [(3 * i, f"common word{chr(97 + i % 26)}{chr(97 + i // 26)} common", f"l{i:03}") for i in range(400)]
+    rows = [(i, t, x) for i, t, x in rows if not held_out(i, 3, 1)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == len(rows) and model.rows_of(0, ["common"])[0] >= 0
+    assert len(model.more) < 60 * len(rows)
+    (r,) = model.rows_of(0, ["common"])
+    assert model.ends[r + 1] - model.ends[r] == len(rows)
+
+
 def test_letters():
     latin = "".join(map(chr, range(256)))
     for text in (latin, latin.replace("²", "a"), "abc d1e_f", "ÀÉ×÷ß²x"):

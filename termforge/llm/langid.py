@@ -23,8 +23,10 @@ from termforge.llm.textmodel import training_rows, words_of
 TRAIN_PER_LANG = 3_000
 LONGEST = 5
 ADD = 0.5
-#: Back-off scores of so many unseen words, and so many numbers, are kept by a task.
-CACHED, CACHED_NUMBERS = 50_000, 1 << 21
+#: The places of so many words, and so many numbers of back-off scores, are kept by a task.
+CACHED, CACHED_NUMBERS = 100_000, 1 << 21
+#: Different words of a text that are looked up at a time.
+WORDS = 10_000
 UNDETERMINED = "und"
 #: Seed of Spark's xxhash64, which names words and n-grams in the model.
 SEED = 42
@@ -55,61 +57,88 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, at, -1)
 
+    def _entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many languages have seen each row, and the places of all their entries."""
+        n = self.ends[rows + 1] - self.ends[rows]
+        return n, np.arange(n.sum()) + np.repeat(self.ends[rows] - (np.cumsum(n) - n), n)
+
     def total(self, kind: int, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Log frequencies by language, summed over rows of a kind."""
-        n = self.ends[rows + 1] - self.ends[rows]
-        at = np.arange(n.sum()) + np.repeat(self.ends[rows] - (np.cumsum(n) - n), n)
+        n, at = self._entries(rows)
         own = np.bincount(self.langs_of[at], self.more[at] * np.repeat(times, n), len(self.langs))
         return self.default[kind] * times.sum() + own
 
-    def backed_off(self, w: str) -> np.ndarray | None:
-        """Mean log frequencies of the longest n-grams of an unseen word that are known; None if none is."""
-        padded = f"<{w}>"
-        for n in range(min(len(self.default) - 1, len(padded)), 0, -1):
-            whole = padded if n > 1 else w  # the marks of beginning and end alone say nothing
-            rows = self.rows_of(n, [whole[i : i + n] for i in range(len(whole) - n + 1)])
-            known = rows[rows >= 0]
-            if len(known):
-                return self.total(n, known, np.full(len(known), 1 / len(known)))
-        return None
+    def backed_off(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By unseen word the mean log frequencies of its longest n-grams that are known, and whether any is; 0 if none is."""
+        size = len(self.langs)
+        out, found, left = np.zeros((len(words), size)), np.zeros(len(words), bool), range(len(words))
+        for n in range(len(self.default) - 1, 0, -1):
+            # the marks of beginning and end alone say nothing
+            wholes = [(i, f"<{words[i]}>" if n > 1 else words[i]) for i in left]
+            grams = [(i, x[k : k + n]) for i, x in wholes for k in range(len(x) - n + 1)]
+            rows = self.rows_of(n, [g for _, g in grams])
+            of = np.array([i for i, _ in grams], np.int64)[rows >= 0]
+            rows = rows[rows >= 0]
+            entries, at = self._entries(rows)
+            sums = np.bincount(np.repeat(of, entries) * size + self.langs_of[at], self.more[at], len(words) * size)
+            times = np.bincount(of, minlength=len(words))
+            hit = times > 0
+            out[hit] = self.default[n] + sums.reshape(-1, size)[hit] / times[hit, None]
+            found |= hit
+            left = [i for i in left if not hit[i]]
+            if not left:
+                break
+        return out, found
 
     def word(self, w: str) -> np.ndarray | None:
+        """A word's log frequencies by language, its back-off if it is unseen; None if nothing of it is known."""
         (r,) = self.rows_of(0, [w])
-        return self.backed_off(w) if r < 0 else self.total(0, np.array([r]), np.ones(1))
+        if r >= 0:
+            return self.total(0, np.array([r]), np.ones(1))
+        (score,), (found,) = self.backed_off([w])
+        return score if found else None
 
 
 class Scorer:
-    """Predicts by a model; keeps the back-off scores of recent unseen words."""
+    """Predicts by a model; remembers where recent words are in it, and the back-off scores of those that are not."""
 
     def __init__(self, model: Model):
         self.model = model
         self.most = max(1, min(CACHED, CACHED_NUMBERS // max(1, len(model.langs))))
         self.scores = np.empty((self.most, len(model.langs)))
-        self.unseen: dict[str, int] = {}
-
-    def row(self, w: str) -> int:
-        r = self.unseen.get(w)
-        if r is None:
-            r = self.unseen[w] = len(self.unseen)
-            v = self.model.backed_off(w)
-            self.scores[r] = 0.0 if v is None else v
-        return r
+        self.places: dict[str, int] = {}  # row of the model, or -1 - row of scores
+        self.unseen = 0
+
+    def places_of(self, names: list[str]) -> np.ndarray:
+        """The places of at most ``most`` words."""
+        out = list(map(self.places.get, names))
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(self.places) + len(new) > self.most:
+            self.places.clear()
+            self.unseen, new = 0, list(range(len(names)))
+        rows = self.model.rows_of(0, [names[i] for i in new])
+        unseen = np.flatnonzero(rows < 0)
+        if len(unseen):
+            end = self.unseen + len(unseen)
+            self.scores[self.unseen : end] = self.model.backed_off([names[new[j]] for j in unseen.tolist()])[0]
+            rows[unseen] = -1 - np.arange(self.unseen, end)
+            self.unseen = end
+        for i, r in zip(new, rows.tolist()):
+            self.places[names[i]] = out[i] = r
+        return np.array(out)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of the posterior). No letter at all gives ``und`` with 0."""
         counts = Counter(words_of(text))
         if not counts or not self.model.langs:
             return UNDETERMINED, 0.0
-        names, times = list(counts), np.fromiter(counts.values(), float, len(counts))
-        rows = self.model.rows_of(0, names)
-        known = rows >= 0
-        total = self.model.total(0, rows[known], times[known])
-        rest = np.flatnonzero(~known)
-        for at in range(0, len(rest), self.most):
-            part = rest[at : at + self.most]
-            if len(self.unseen) + len(part) > self.most:
-                self.unseen.clear()
-            total += times[part] @ self.scores[[self.row(names[i]) for i in part.tolist()]]
+        total, names, times = np.zeros(len(self.model.langs)), list(counts), np.fromiter(counts.values(), float, len(counts))
+        step = min(self.most, WORDS)
+        for at in range(0, len(names), step):
+            part, n = self.places_of(names[at : at + step]), times[at : at + step]
+            known = part >= 0
+            total += self.model.total(0, part[known], n[known])
+            total += n[~known] @ self.scores[-1 - part[~known]]
         best = int(np.argmax(total))
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 

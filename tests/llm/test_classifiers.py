@@ -100,6 +100,35 @@ def test_toxicity_scores_against_brute_force(spark, corpus):
         assert r.score == pytest.approx(model.share / (model.share + (1 - model.share) * chance) if kept else 0.0)
 
 
+def test_token_scores_from_plain_counts(spark, corpus):
+    """Log-odds under the prior, their margins and the choice of tokens, from distinct preceding words counted one by one."""
+    d, lab = frames(spark, corpus)
+    model = toxicity.fit(d, lab)
+    label = {i: t for i, _, t in corpus[1] if not held_out(i, 5, 0)}
+    contexts = {0: set(), 1: set()}
+    for i, text, _ in corpus[0]:
+        if i in label:
+            words = re.findall(r"[^\W\d_]+", text.lower())
+            contexts[label[i]].update(zip(["", *words], words))
+    y = {k: Counter(w for _, w in v) for k, v in contexts.items()}
+    n = {k: sum(c.values()) for k, c in y.items()}
+    expected = {}
+    for w in y[0].keys() | y[1].keys():
+        prior = toxicity.PRIOR_BASE + toxicity.PRIOR_WEIGHT * (y[0][w] + y[1][w]) / (n[0] + n[1])
+        p = {k: y[k][w] + prior for k in (0, 1)}
+        odds = {k: math.log(p[k] / (n[k] + toxicity.PRIOR_WEIGHT - p[k])) for k in (0, 1)}
+        delta, error = odds[1] - odds[0], math.sqrt(1 / p[0] + 1 / p[1])
+        low, high = delta - toxicity.MARGIN * error, delta + toxicity.MARGIN * error
+        if y[1][w] >= toxicity.MIN_CONTEXTS and low >= toxicity.MIN_SCORE and delta / error >= toxicity.MIN_Z:
+            expected[w] = low
+        elif high < toxicity.BACKGROUND:
+            expected[w] = high
+    assert {w for w, s in expected.items() if s > 0} and {w for w, s in expected.items() if s < 0}
+    assert model.tokens == pytest.approx(expected)
+    shown = [label[i] for i, *_ in corpus[0] if i in label]
+    assert model.share == pytest.approx(min(0.5, max(0.01, (sum(shown) + label.get(corpus[0][0][0], 0)) / (len(shown) + (corpus[0][0][0] in label)))))
+
+
 def test_tail_of_known_law(spark):
     """Lambda and K from texts whose segments are single words of drawn scores."""
     model = toxicity.Model({"a": 2.5, "b": 3.0, "c": 6.0})
@@ -206,6 +235,24 @@ def test_held_out_texts_do_not_teach(spark):
     assert langid.fit(d).langs == []
 
 
+def test_quality_scores_over_all_pairs(spark, corpus):
+    """Returned scores from every pair of a text's inputs, one by one, instead of sums of squares."""
+    d, lab = frames(spark, corpus)
+    machine = quality.fit(d, lab)
+    rows = [(1, corpus[0][0][1]), (2, "Some Words, some 12 words | here\nsome"), (3, ""), (4, None), (5, "x " * 400 + "Y")]
+    got = {r.doc_id: r.score for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string"), machine).collect()}
+    for i, text in rows:
+        words = (text or "").split()
+        buckets = sorted({zlib.crc32(w.lower().encode()) % quality.BUCKETS for w in words})
+        stats = np.array(quality.structure(text or "", words, Counter(words)))
+        x = {b: quality.WORD_WEIGHT / math.sqrt(max(1, len(buckets))) for b in buckets}
+        x |= {quality.BUCKETS + k: v for k, v in enumerate(np.clip((stats - machine.mean) / machine.scale, -8, 8))}
+        inputs = list(x)
+        raw = sum(machine.linear[a] * x[a] for a in inputs)
+        raw += sum(float(machine.factors[a] @ machine.factors[b]) * x[a] * x[b] for k, a in enumerate(inputs) for b in inputs[k + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, float(raw))))), rel=1e-6)
+
+
 def test_quality(spark, corpus):
     d, lab = frames(spark, corpus)
     machine = quality.fit(d, lab)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termforge.sources import scratch
+
 C, V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
 #: Up to the end of the first vowels; a y at the very beginning is a consonant.
 FIRST = f"^({C}{V}|[aeiou]+)"
@@ -95,17 +97,43 @@ def _whole(term: str, extended: bool) -> str:
 
 def stems(vocabulary: DataFrame, term: str = "term", extended: bool = True) -> DataFrame:
     """(term, stem) of a DataFrame of distinct terms in lower case; words of up to two letters stay."""
-    out = vocabulary.selectExpr(term, f"{term} AS s")
-    for e in steps("regexp_like", extended):
-        out = out.selectExpr(term, f"{e} AS s")
-    # a generated column stops filters on stems, which would multiply the expressions of all steps
-    return out.select(term, F.explode_outer(F.array(F.expr(_whole(term, extended)))).alias("stem"))
+    return _chain(vocabulary.select(term), term, extended)
 
 
-def stemmed(df: DataFrame, term: str = "term", extended: bool = True) -> DataFrame:
-    """``df`` with its terms stemmed: the vocabulary is stemmed once and joined back."""
-    found = stems(df.select(term).distinct(), term, extended)
-    return df.join(found, term).drop(term).withColumnRenamed("stem", term)
+def _chain(rows: DataFrame, term: str, extended: bool, known: str | None = None) -> DataFrame:
+    """``rows`` with a column stem; where column ``known`` has it already, the steps are not taken."""
+    rest = [F.col(c) for c in rows.columns if c != known]
+    told = F.col(known) if known else F.lit(None).cast("string")
+    out = rows.select(*rest, told.alias("_told"), F.when(told.isNull(), F.col(term)).alias("s"))
+    for e in steps("regexp_like", extended):
+        out = out.select(*rest, "_told", F.expr(f"CASE WHEN _told IS NULL THEN {e} END").alias("s"))
+    # a generated column stops filters on stems, which would multiply the expressions of all steps
+    stem = F.coalesce("_told", F.expr(_whole(term, extended)))
+    return out.select(*rest, F.explode_outer(F.array(stem)).alias("stem"))
+
+
+#: Stems that are broadcast, those of the most frequent terms (some 80 bytes each).
+STEMS = 500_000
+
+
+def stemmed(df: DataFrame, term: str = "term", extended: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """``df`` with its terms stemmed: the vocabulary is stemmed once and broadcast, so that no rows are shuffled.
+
+    Of a vocabulary of more than STEMS terms the most frequent are broadcast, and the rows of the others are stemmed
+    where they lie. With ``only`` (term: stems, a small relation) rows of other stems are left out, and the terms of these stems alone are looked up.
+    """
+    df, rest = df.where(F.col(term).isNotNull()), [c for c in df.columns if c != term]
+    if only is not None:
+        found = stems(df.select(term).distinct(), term, extended)
+        wanted = F.broadcast(only.select(F.col("term").alias("stem")).distinct())
+        found = scratch.written(found.join(wanted, "stem", "left_semi"), "stems")
+        found = F.broadcast(found) if found.count() <= STEMS else found
+        return df.join(found, term).select(*rest, F.col("stem").alias(term))
+    vocabulary = scratch.written(df.groupBy(term).agg(F.count("*").alias("total")), "vocabulary")
+    least = scratch.frequent_from(vocabulary, STEMS)
+    found = stems(vocabulary.where(F.col("total") >= least).select(term), term, extended)
+    told = df.join(F.broadcast(found.withColumnRenamed("stem", "_known")), term, "left")
+    return _chain(told, term, extended, "_known").select(*rest, F.col("stem").alias(term))
 
 
 def stems_of(spark: SparkSession, words: list[str]) -> dict[str, str]:

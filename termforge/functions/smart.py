@@ -37,6 +37,7 @@ def query_weight(qtf: Column, n: Column, df: Column, idf: str) -> Column:
     return IDF[idf](n, df) * _log_tf(qtf)
 
 
-def exact_sum(weight: Column) -> Column:
-    """A sum that does not depend on the order of its terms, which must be below 10**8 each."""
-    return F.sum(weight.cast("decimal(20,12)")).cast("double")
+def exact_sum(weight: Column, times: Column | None = None) -> Column:
+    """A sum that does not depend on the order of its terms, which must be below 10**8 each; ``times`` counts equal ones (a long number below 10**9)."""
+    term = weight.cast("decimal(20,12)")
+    return F.sum(term if times is None else term * times.cast("decimal(9,0)")).cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termforge.functions import analysis
 from termforge.sources import scratch
+from termforge.sources.scratch import frequent_from  # noqa: F401
 
 GRAM = 4
 OTHER = "other"
@@ -58,17 +59,6 @@ def _marks(counts: DataFrame, sums: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grams, langs.agg(F.collect_list(F.struct("lang", "least")).alias("langs"))
 
 
-def frequent_from(grams: DataFrame, most: int) -> int:
-    """The least total of grams that are broadcast: at most ``most`` grams have it. 1 if these are all."""
-    halves = grams.groupBy(F.floor(F.log2("total")).cast("int").alias("h")).agg(F.count("*").alias("n"))
-    held = 0
-    for h, n in sorted(((r.h, r.n) for r in halves.collect()), reverse=True):  # at most 63 rows
-        held += n
-        if held > most:
-            return 1 << (h + 1)
-    return 1
-
-
 def line_scores(tests: DataFrame, counts: DataFrame, key: str = "line_no", n: int = GRAM, most: int | None = None) -> DataFrame:
     """(key, lang, score): summed log probability of known grams in every language; unknown grams are skipped.
 
@@ -79,7 +69,7 @@ def line_scores(tests: DataFrame, counts: DataFrame, key: str = "line_no", n: in
     most = MODEL_GRAMS if most is None else most
     grams, langs = _marks(counts, totals(counts))
     grams = scratch.written(grams, "model-grams")
-    least = frequent_from(grams, most)
+    least = scratch.frequent_from(grams, most)
     read = tests.select(key, F.explode_outer(analysis.char_ngrams(F.col("text"), n)).alias("gram")).where("gram is not null")
     frequent = F.broadcast(grams.where(F.col("total") >= least).select("gram", "marks"))
     if least == 1:

@@ -120,7 +120,11 @@ def smart_table(weights: DataFrame, postings: DataFrame, stats: DataFrame, metho
     Postings of the queries' terms alone meet the documents' statistics. ``title`` boosts terms of the
     title; ``normalised`` (SMART's c) divides by the document's length under the same weight.
     """
-    hits = postings.join(weights, "term").join(stats.select("doc_id", "max_tf", "ave_tf", *LENGTHS.values()), "doc_id")
+    hits = postings.join(weights, "term")
+    if normalised or not set(methods) <= {"n", "l"}:  # natural and logarithmic weights are of tf alone
+        hits = hits.join(stats.select("doc_id", "max_tf", "ave_tf", *LENGTHS.values()), "doc_id")
+    else:
+        hits = hits.withColumns({"max_tf": F.lit(None).cast("long"), "ave_tf": F.lit(None).cast("double")})
     factor = title_factor() if title else F.lit(1.0)
     sums = []
     for m in methods:

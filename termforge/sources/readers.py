@@ -94,6 +94,20 @@ def result_lines(spark: SparkSession, path: str) -> DataFrame:
     return ids.join(heads, "line_no").select("line_no", (F.col("_place") - F.col("_head") + 1).alias("rank"), "doc_id")
 
 
+#: Characters of text that a task of ``by_document`` gets, about.
+TASK_CHARS = 8_000_000
+
+
+def by_document(df: DataFrame, *texts: str) -> DataFrame:
+    """``df`` dealt out by doc_id, about TASK_CHARS characters of ``texts`` to a task.
+
+    What is grouped by document and something else behind it is not shuffled again, so that texts are
+    shuffled once instead of their words, and a task's groups fit in its memory.
+    """
+    chars = df.agg(sum(F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in texts)).first()[0]
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, chars // TASK_CHARS + 1), "doc_id")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out anew only where the scan has fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

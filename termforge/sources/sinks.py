@@ -95,7 +95,9 @@ def write_directory(docs: DataFrame, path: str) -> None:
     Ids are unique; null texts are empty. ``readers.directory`` reads them again.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
-    docs.select("doc_id", text).write.mode("overwrite").partitionBy("doc_id").text(path)
+    # by the second algorithm the tasks move their own files to their places, not the driver those of all
+    own = docs.select("doc_id", text).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    own.partitionBy("doc_id").text(path)
 
 
 def write_cases(df: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ from termforge.functions import sentences
 
 #: Fixed values, after the Penn Treebank's conventions: words that are written as one and are two.
 CONTRACTIONS = [("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n"), ("wan", "na"), ("'t", "is"), ("'t", "was")]
+PLAIN_CONTRACTIONS = "(?i)^(" + "|".join(a + b for a, b in CONTRACTIONS if "'" not in a + b) + ")$"
 CLITICS = "'[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T|'"
 
 #: Rewrites before and after the point of a sentence's end, in order.
@@ -38,13 +39,16 @@ CLOSING = [
 
 def words(chunk: Column, ends: Column) -> Column:
     """The words of a chunk; ``ends`` tells whether it ends a sentence."""
+    whole = chunk
     for pattern, to in OPENING:
         chunk = F.regexp_replace(chunk, pattern, to)
     # one alternative of two arguments, so that the chain before stands in the expression once
     chunk = F.regexp_replace(chunk, F.when(ends, F.lit(END[0])).otherwise(F.lit("$^")), F.lit(END[1]))
     for pattern, to in CLOSING:
         chunk = F.regexp_replace(chunk, pattern, to)
-    return F.filter(F.split(chunk, " +"), lambda x: x != "")
+    # letters and numbers alone are one word, unless they are a contraction: no rewrite fits them
+    plain = whole.rlike("^[\\p{L}\\p{N}]+$") & ~whole.rlike(PLAIN_CONTRACTIONS)
+    return F.when(plain, F.array(whole)).otherwise(F.filter(F.split(chunk, " +"), lambda x: x != ""))
 
 
 def exploded(docs: DataFrame, abbreviated: DataFrame, starting: DataFrame, keep: str | None = None) -> DataFrame:

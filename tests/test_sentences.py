@@ -93,3 +93,16 @@ def test_words_of_documents(learned):
     got = {i: [r.term for r in sorted(rows.collect()) if r.doc_id == i] for i in (41, 42)}
     assert got == {41: ["he", "said", "stop", "then", "he", "met", "smith", "why", "she", "asked", "ok"], 42: ["it", "was", "late", "etc", "the", "end"]}
     assert {r.term for r in porter.stemmed(rows).collect()} >= {"ask", "end"}
+
+
+def test_learning_counts_chunks_once(spark):
+    """Learning reads counts of equal chunks, from which texts can be left out; rows of texts are not needed again."""
+    docs = spark.createDataFrame([(i, "Mr. Smith went. The end. The dog, cf. Smith. The cat ran. It sat. The") for i in range(20)], "doc_id long, text string")
+    counts = sentences.counted(docs)
+    assert {r.chunk: r.n for r in counts[0].collect()}["The"] == 80
+    assert {(r.chunk, r.next): r.n for r in counts[1].collect()}["Mr.", "Smith"] == 20
+    short = sentences.abbreviations(docs)
+    none = docs.limit(0)
+    assert sorted(map(tuple, sentences.abbreviations(none, counts).collect())) == sorted(map(tuple, short.collect()))
+    found = sorted(map(tuple, sentences.starters(docs, short).collect()))
+    assert found == sorted(map(tuple, sentences.starters(none, short, counts).collect())) and found

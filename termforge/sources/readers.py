@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,13 +57,17 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zoned_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, content, title, date_posted, court) of a CSV file with a header; fields may hold line breaks."""
+    """(doc_id, content, title, date_posted, court) of a CSV file with a header; fields may hold line breaks.
+
+    Nothing between two commas is null, a pair of quotes is an empty text; blanks at the ends of a field belong to it.
+    """
     return (
         spark.read.schema(CASES)
         .option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", uuid.uuid4().hex)  # what a field of nothing is called on its way; by default empty texts would be null too
         .csv(path)
     )
 

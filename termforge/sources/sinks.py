@@ -101,8 +101,10 @@ def write_directory(docs: DataFrame, path: str) -> None:
 
 
 def write_cases(df: DataFrame, path: str) -> None:
-    """Zoned documents as CSV files with a header, as ``readers.zoned_csv`` reads them."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """Zoned documents as CSV files with a header, as ``readers.zoned_csv`` reads them: nulls and empty texts
+    stay apart (so not all fields are quoted), and blanks and line feeds at the ends of a text stay on it."""
+    own = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    own.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def prediction_lines(tests: DataFrame, predicted: DataFrame, key: str = "line_no") -> DataFrame:

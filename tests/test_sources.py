@@ -70,3 +70,12 @@ def test_query_file(spark, tmp_path):
     rows = rank.query_terms(readers.queries(spark, str(tmp_path / "q.txt")), operator_words=("AND",)).collect()
     expected = [(1, "the", 1, 1), (1, "thing", 1, 2), (1, "version", 1, 6), (1, "of", 1, 7), (2, "the", 1, 0), (2, "thing", 1, 1), (4, "and", 1, 1), (4, "or", 2, 5), (4, "not", 1, 6)]
     assert sorted(map(tuple, rows)) == sorted(expected)
+
+
+def test_zoned_csv_round_trip_of_blanks_nulls_and_empty_texts(spark, tmp_path):
+    texts = ["", None, " ", "  lead", "trail \t", "\n", "x\n", "\nx", "\r", "a\r\nb", "\x00z", 'a,b\n\n,"\n', '"', ' "a" ', '""', "\\", 'a\\"b\\', "#c"]
+    rows = [(i, t, t, "2000-01-01", t) for i, t in enumerate(texts)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, readers.CASES).repartition(3)
+    sinks.write_cases(df, str(tmp_path / "c"))
+    got = readers.zoned_csv(spark, str(tmp_path / "c")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)

@@ -97,3 +97,21 @@ def test_stems(spark):
     queries = spark.createDataFrame([(1, "license AND NOT things"), (2, "NOT licensed")], "query_id long, query string")
     rows = boolean_batch.search(docs, index.boolean_index(docs, stem=True), queries, stem=True).collect()
     assert sorted(map(tuple, rows)) == [(1, 2), (2, 3)]
+
+
+def test_sums_of_answers_without_rows_of_answers(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [*DOCS, (99, ""), (99, ""), (-7, "apple"), (None, "apple")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = [(i, random_query(rng)) for i in range(300)] + [(300, ""), (301, None), (302, "(apple"), (303, "zzz"), (303, "NOT zzz"), (304, "NOT apple AND NOT durian")]
+    monkeypatch.setattr(boolean_batch, "QUERY_CHUNK", 100)
+    monkeypatch.setattr(boolean_batch, "DOC_BLOCK", 4)
+    monkeypatch.setattr(boolean_batch, "search", None)
+    df = spark.createDataFrame(queries, "query_id long, query string")
+    got = {r[0]: tuple(r)[1:] for r in boolean_batch.answer_sums(docs, index.boolean_index(docs), df).collect()}
+    expected = {}
+    for i, q in queries:
+        if q and q != "(apple":
+            expected.setdefault(i, []).extend(d for d, t in rows if holds(parse(q), set(t.split()) if d is not None else set()))
+    sums = lambda x: (len(x), sum(n), min(n), max(n)) if (n := [d for d in x if d is not None]) else (len(x), None, None, None)
+    assert got == {i: sums(x) for i, x in expected.items() if x}

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,20 +47,70 @@ def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("lang"), F.get(parts, F.lit(1)).alias("text"))
 
 
+#: The folder of documents without an id.
+NO_ID = "__HIVE_DEFAULT_PARTITION__"
+
+
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of a directory with one file per document: named by its integer id, or in a folder
     ``doc_id=N`` as ``sinks.write_directory`` writes it, where a last line feed is no part of the text.
 
-    A task reads many small files, as many as fit in a partition's bytes.
+    A task reads many small files. A plain folder is listed by a task and read by others, so that the driver
+    does not hold every file's name and status; other paths are left to Spark's reader.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/doc_id=(-?\d+)/[^/]+$", 1)
+    local = re.sub(r"^file:/*", "/", path)
+    rows = _files_of(spark, local) if os.path.isdir(local) else None
+    if rows is None:
+        found = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+        rows = found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
+    folder = F.regexp_extract("path", rf"/doc_id=(-?\d+|{NO_ID})/[^/]+$", 1)
     return rows.select(
-        F.when(folder != "", folder.try_cast("long")).otherwise(F.col("_metadata.file_name").try_cast("long")).alias("doc_id"),
+        F.when(folder != "", folder.try_cast("long")).otherwise(F.col("name").try_cast("long")).alias("doc_id"),
         F.when(folder != "", F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value")).alias("text"),
     )
 
 
+def _files_of(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, value) of the files below a folder; hidden ones are left out, as Spark does."""
+
+    def shown(name: str) -> bool:
+        return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with os.scandir(root) as entries:
+                names = (e.name for e in entries if shown(e.name))
+                while some := list(itertools.islice(names, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["entry"])
+
+    def files_in(path: str) -> Iterator[str]:
+        if os.path.isdir(path):
+            for name in filter(shown, os.listdir(path)):
+                yield from files_in(f"{path}/{name}")
+        else:
+            yield path
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "name", "value"]
+        out: list[tuple[str, str, bytes]] = []
+        held = 0
+        for batch in batches:
+            for entry in batch.column(0).to_pylist():
+                for path in files_in(f"{root}/{entry}"):
+                    with open(path, "rb") as f:
+                        out.append((path, os.path.basename(path), f.read()))
+                    held += len(out[-1][2])
+                    if held > 4_000_000 or len(out) >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+
+    entries = spark.range(0, 1, 1, 1).mapInArrow(listed, "entry string")
+    entries = entries.repartition(4 * spark.sparkContext.defaultParallelism, "entry")
+    return entries.mapInArrow(read, "path string, name string, value binary").withColumn("value", F.col("value").cast("string"))
+
+
 def zoned_csv(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, content, title, date_posted, court) of a CSV file with a header; fields may hold line breaks.
 

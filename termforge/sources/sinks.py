@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termforge.sources import scratch
+from termforge.sources.readers import NO_ID
+
 RELATIONS = ("postings", "dictionary", "doc_stats", "docs")
 
 
@@ -92,12 +100,34 @@ def write_result_lines(queries: DataFrame, results: DataFrame, path: str, order:
 def write_directory(docs: DataFrame, path: str) -> None:
     """A file for each document (doc_id, text), in a folder of its id; tasks write them, one after another.
 
-    Ids are unique; null texts are empty. ``readers.directory`` reads them again.
+    Ids are unique; null texts are empty. ``readers.directory`` reads them again. Tasks make the files themselves:
+    Spark's writer would sort the rows and move every file twice. A file has its name when it is whole, and a task
+    that is run again makes the same names.
     """
-    text = F.coalesce("text", F.lit("")).alias("text")
-    # by the second algorithm the tasks move their own files to their places, not the driver those of all
-    own = docs.select("doc_id", text).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    own.partitionBy("doc_id").text(path)
+    spark = docs.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    target = folder.toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = scratch.file_system(target)
+        files.create_dir(root, recursive=True)
+        task, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = f"{root}/doc_id={NO_ID if i is None else i}"
+                name = f"part-{task:05d}-{at}.txt"
+                files.create_dir(own)
+                fresh = f"{own}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(fresh) as out:
+                    out.write(text + b"\n")
+                files.move(fresh, f"{own}/{name}")
+                at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def write_cases(df: DataFrame, path: str) -> None:

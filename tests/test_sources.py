@@ -79,3 +79,17 @@ def test_zoned_csv_round_trip_of_blanks_nulls_and_empty_texts(spark, tmp_path):
     sinks.write_cases(df, str(tmp_path / "c"))
     got = readers.zoned_csv(spark, str(tmp_path / "c")).collect()
     assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+
+
+def test_directory_is_not_listed_by_the_driver(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(200)] + [(None, "none")]
+    sinks.write_directory(spark.createDataFrame([(7, "old")], "doc_id long, text string"), str(tmp_path / "d"))
+    sinks.write_directory(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"file:{tmp_path}/d")
+    assert not [p for p in (tmp_path / "d").rglob("*") if p.name.endswith(".crc") or p.name.startswith("_")]
+    (tmp_path / "d" / "_hidden").write_text("no")
+    (tmp_path / "d" / "deeper").mkdir()
+    (tmp_path / "d" / "deeper" / "900").write_text("named\n")
+    for path in (f"{tmp_path}/d", f"file://{tmp_path}/d"):
+        got = readers.directory(spark, path)
+        assert got.inputFiles() == []  # no file's status reaches the driver
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([*rows, (900, "named\n")], key=str)
